@@ -63,7 +63,7 @@ ACTIVE_COLUMN_NAMES = ["active", "is_active", "status_active"]
 TRUTHY_TARGET_VALUES = ["1", "true", "yes", "churned", "churn", "exited", "left", "cancelled"]
 TRUTHY_ACTIVE_VALUES = ["1", "true", "yes", "active"]
 # Markers that make a file "churn-like" (I7); three or more must be present.
-CHURN_MARKER_COLUMNS = ["customer_id", "tenure_months", "monthly_charges", "contract_type",
+CHURN_MARKER_COLUMNS = ["tenure_months", "monthly_charges", "contract_type", "region",
                         "support_tickets", "customer_satisfaction_score", "churned"]
 # Id aliases for arbitrary datasets (I16).
 ARBITRARY_ID_ALIASES = ["id", "client_id", "customer"]

@@ -287,3 +287,453 @@ FROM (SELECT contract_type AS campaign_name, avg(predicted_probability) AS pr, a
              count(*) AS sample_size FROM scored WHERE contract_type IS NOT NULL GROUP BY contract_type) t"""))
 def _ab_outcomes(spark, sf_dir):
     return A.ab_outcomes(A.ab_tests_from_scored(W(spark, sf_dir).active_scored()))
+
+
+# ---------------------------------------------------------------- top-k lists (K1–K6)
+
+from ebbtide.operators import campaigns as C  # noqa: E402
+from ebbtide.operators import ingest as I  # noqa: E402
+from ebbtide.operators import joins as J  # noqa: E402
+from ebbtide.operators import operations as O  # noqa: E402
+from ebbtide.operators import projections as PR  # noqa: E402
+from ebbtide.operators import registry as R  # noqa: E402
+from ebbtide.operators import topk as K  # noqa: E402
+from ebbtide.sources import sinks as S  # noqa: E402
+
+TITLE_SQL = "array_to_string(list_transform(regexp_extract_all(lower({x}), '(\\p{{L}}+|\\P{{L}}+)'), lambda s: upper(s[1]) || s[2:]), '')"
+
+
+def title_sql(x: str) -> str:
+    return TITLE_SQL.format(x=x)
+
+
+@register("top_vulnerable", q(f"""
+SELECT customer_id, predicted_probability, prediction_label, monthly_charges, tenure_months, contract_type,
+       payment_method, region,
+       CASE WHEN prediction_label = 'high_risk' THEN '{K.HIGH_ACTION}' ELSE '{K.LOW_ACTION}' END AS action
+FROM scored ORDER BY predicted_probability DESC, customer_id LIMIT 25"""))
+def _top_vulnerable(spark, sf_dir):
+    return K.top_vulnerable(W(spark, sf_dir).active_scored(), 25)
+
+
+@register("top_risk", q("""
+SELECT customer_id, predicted_probability, prediction_label, monthly_charges, tenure_months, contract_type, region,
+       support_tickets
+FROM scored ORDER BY predicted_probability DESC, customer_id LIMIT 15"""))
+def _top_risk(spark, sf_dir):
+    return K.top_risk(W(spark, sf_dir).active_scored(), 15)
+
+
+@register("high_risk_list", q(f"""
+SELECT customer_id, predicted_probability, monthly_charges,
+       {title_sql("replace(coalesce(contract_type, 'unknown'), '_', ' ')")} AS contract_display
+FROM allscored WHERE prediction_label = 'high_risk' ORDER BY predicted_probability DESC, customer_id LIMIT 8"""))
+def _high_risk_list(spark, sf_dir):
+    return K.high_risk_list(W(spark, sf_dir).all_scored(), 8)
+
+
+_AUDIT_SQL = """SELECT event_id AS log_id, event_type AS user_role, props AS action,
+       concat('C', lpad(CAST(user_id AS VARCHAR), 9, '0')) AS target_customer, ts AS "timestamp" FROM events"""
+
+
+@register("recent_audit", f"""
+SELECT * FROM ({_AUDIT_SQL}) a ORDER BY "timestamp" DESC, log_id DESC LIMIT 50""")
+def _recent_audit(spark, sf_dir):
+    return K.recent_audit(fixtures.audit_logs(spark, sf_dir), 50)
+
+
+_LATEST_ASSIGN_SQL = """
+SELECT customer_id, csm_name, status, notes, last_updated, update_seq FROM (
+  SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS customer_id, o_orderpriority AS csm_name,
+         o_orderstatus AS status, concat('order ', CAST(o_orderkey AS VARCHAR)) AS notes, o_orderdate AS last_updated,
+         o_orderkey AS update_seq,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders {where}) t WHERE rn = 1"""
+
+
+@register("recent_assignments", f"""
+SELECT customer_id, csm_name, status, notes, last_updated
+FROM ({_LATEST_ASSIGN_SQL.format(where='')}) l ORDER BY last_updated DESC, customer_id DESC LIMIT 8""")
+def _recent_assignments(spark, sf_dir):
+    return K.recent_assignments(O.latest_assignments(fixtures.assignment_updates(spark, sf_dir)), 8)
+
+
+# ---------------------------------------------------------------- projections and scans
+
+_P1_COLS = ("customer_id, predicted_probability, prediction_label, '[]' AS risk_drivers, ci_lower, ci_upper, region, "
+            "contract_type, tenure_months, churned, support_tickets, payment_delays, product_usage, complaint_count, "
+            "customer_satisfaction_score")
+
+
+@register("predictions_list", q(f"SELECT {_P1_COLS} FROM scored ORDER BY predicted_probability DESC, customer_id"))
+def _predictions_list(spark, sf_dir):
+    return PR.predictions_list(W(spark, sf_dir).active_scored())
+
+
+@register("filter_predictions", q("""
+SELECT customer_id, predicted_probability, prediction_label FROM scored
+WHERE prediction_label = 'high_risk' AND contains(lower(customer_id), '12')"""))
+def _filter_predictions(spark, sf_dir):
+    return PR.filter_predictions(W(spark, sf_dir).active_scored(), "high_risk", " 12 ").select(
+        "customer_id", "predicted_probability", "prediction_label")
+
+
+_P1_NAMES = ["risk_drivers", "ci_lower", "ci_upper", "region", "contract_type", "tenure_months", "support_tickets",
+             "payment_delays", "product_usage", "complaint_count", "customer_satisfaction_score"]
+
+
+@register("visible_columns", q(f"""
+, head AS (SELECT {_P1_COLS} FROM scored ORDER BY predicted_probability DESC, customer_id LIMIT 50),
+counts AS ({' UNION ALL '.join(f"SELECT {i + 1} AS ordinal, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '') AS n FROM head" for i, c in enumerate(_P1_NAMES))})
+SELECT ordinal, column_name FROM counts WHERE n > 0 ORDER BY ordinal LIMIT 7"""))
+def _visible_columns(spark, sf_dir):
+    rows = PR.predictions_list(W(spark, sf_dir).active_scored())
+    return PR.visible_columns(rows, [F.col("predicted_probability").desc(), F.col("customer_id")], 7, 50)
+
+
+def _payload_sql(table: str, key: str, col: str) -> str:
+    sqli = " OR ".join(f"regexp_matches(lower({col}), '{p.replace(chr(39), chr(39) * 2)}')" for p in PR.SQLI_PATTERNS)
+    xss = " OR ".join(f"regexp_matches(lower({col}), '{p.replace(chr(39), chr(39) * 2)}')" for p in PR.XSS_PATTERNS)
+    return f"""
+SELECT {key}, reason FROM (
+  SELECT {key}, CASE WHEN {sqli} THEN '{PR.SQLI_REASON}' WHEN {xss} THEN '{PR.XSS_REASON}' END AS reason FROM {table}) t
+WHERE reason IS NOT NULL"""
+
+
+@register("payload_scan_documents", _payload_sql("documents", "doc_id", "text"))
+def _payload_docs(spark, sf_dir):
+    from ebbtide.sources.tables import table
+    return PR.payload_scan(table(spark, sf_dir, "documents"), ["text"], "doc_id")
+
+
+@register("payload_scan_pages", _payload_sql("pages", "page_id", "html"))
+def _payload_pages(spark, sf_dir):
+    from ebbtide.sources.tables import table
+    return PR.payload_scan(table(spark, sf_dir, "pages"), ["html"], "page_id")
+
+
+@register("payload_scan_conversations", _payload_sql("conversations", "conv_id, turn", "text").replace(
+    "SELECT conv_id, turn, reason FROM", "SELECT conv_id, turn, reason FROM"))
+def _payload_conv(spark, sf_dir):
+    from ebbtide.sources.tables import table
+    c = table(spark, sf_dir, "conversations")
+    return PR.payload_scan(c.withColumn("_k", F.struct("conv_id", "turn")), ["text"], "_k").select(
+        "_k.conv_id", "_k.turn", "reason")
+
+
+@register("file_search")
+def _file_search(spark, sf_dir):
+    return PR.file_search(spark, sf_dir, "ORDER")
+
+
+@register("risk_band", q("""
+SELECT customer_id, CASE WHEN predicted_probability * 100 >= 65 THEN 'high' WHEN predicted_probability * 100 >= 35
+                         THEN 'watch' ELSE 'healthy' END AS risk_band FROM scored"""))
+def _risk_band(spark, sf_dir):
+    return PR.watch_band(W(spark, sf_dir).active_scored()).select("customer_id", "risk_band")
+
+
+# ---------------------------------------------------------------- registry
+
+@register("active_customers", q("SELECT cc.* FROM cc JOIN ds ON cc.source_id = ds.source_id WHERE ds.is_active = 1"))
+def _active_customers(spark, sf_dir):
+    w = W(spark, sf_dir)
+    return R.active_customers(w.customers, w.sources)
+
+
+@register("toggle_source", q("""
+SELECT source_id, filename, row_count, created_at, CASE WHEN source_id = 'src_furniture' THEN 1 ELSE is_active END AS is_active
+FROM ds"""))
+def _toggle_source(spark, sf_dir):
+    return R.toggle_source(W(spark, sf_dir).sources, "src_furniture", True)
+
+
+@register("delete_source", q("""
+SELECT prediction_label, count(*) AS customers FROM cp
+WHERE customer_id NOT IN (SELECT customer_id FROM cc WHERE source_id = 'src_automobile') GROUP BY prediction_label"""))
+def _delete_source(spark, sf_dir):
+    w = W(spark, sf_dir)
+    preds, _, _ = R.delete_source(w.predictions, w.customers, w.sources, "src_automobile")
+    return preds.groupBy("prediction_label").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@register("set_mode_custom", q("""
+SELECT source_id, filename, row_count, created_at, CASE WHEN source_id <> 'sample_data' THEN 1 ELSE 0 END AS is_active
+FROM ds"""))
+def _set_mode(spark, sf_dir):
+    return R.set_mode(W(spark, sf_dir).sources, "custom")
+
+
+@register("list_sources", q("""
+SELECT source_id, filename, row_count, created_at, is_active,
+       CASE WHEN is_active = 1 THEN 'ACTIVE' ELSE 'INACTIVE' END AS status
+FROM ds WHERE source_id <> 'sample_data'"""))
+def _list_sources(spark, sf_dir):
+    return R.list_sources(W(spark, sf_dir).sources)
+
+
+@register("is_sample_only", q("""
+SELECT count(*) AS active_sources, count(*) = 1 AND count(*) FILTER (WHERE source_id = 'sample_data') = 1 AS sample_only
+FROM ds WHERE is_active = 1"""))
+def _is_sample_only(spark, sf_dir):
+    return R.is_sample_only(W(spark, sf_dir).sources)
+
+
+# ---------------------------------------------------------------- joins
+
+@register("all_scored", q("SELECT prediction_label, count(*) AS customers, count(source_id) AS matched FROM allscored GROUP BY 1"))
+def _all_scored(spark, sf_dir):
+    return W(spark, sf_dir).all_scored().groupBy("prediction_label").agg(
+        F.count(F.lit(1)).alias("customers"), F.count("source_id").alias("matched"))
+
+
+@register("customer_profile", q(f"""
+, ids AS (SELECT DISTINCT upper(lower(customer_id)) AS k FROM cc WHERE churned = 1),
+la AS ({_LATEST_ASSIGN_SQL.format(where='')})
+SELECT cc.customer_id, cc.source_id, cc.monthly_charges, cc.contract_type, cp.predicted_probability, cp.prediction_label,
+       la.csm_name, la.status AS assignment_status, la.last_updated
+FROM cc JOIN ids ON upper(cc.customer_id) = ids.k
+LEFT JOIN cp ON upper(cp.customer_id) = upper(cc.customer_id)
+LEFT JOIN la ON upper(la.customer_id) = upper(cc.customer_id)"""))
+def _customer_profile(spark, sf_dir):
+    w = W(spark, sf_dir)
+    ids = w.customers.where(F.col("churned") == 1).select(F.lower("customer_id").alias("lookup_id"))
+    assign = O.latest_assignments(fixtures.assignment_updates(spark, sf_dir))
+    prof = J.customer_profile(w.customers, w.predictions, assign, ids)
+    return prof.select("customer_id", "source_id", "monthly_charges", "contract_type", "predicted_probability",
+                       "prediction_label", "csm_name", "assignment_status", "last_updated")
+
+
+@register("customers_without_orders", """
+SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+def _anti(spark, sf_dir):
+    from ebbtide.sources.tables import table
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return J.anti_ids(cust, orders, "c_custkey")
+
+
+@register("customers_with_urgent_orders", """
+SELECT c_custkey, c_mktsegment FROM customer
+WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def _semi(spark, sf_dir):
+    from ebbtide.sources.tables import table
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    urgent = (table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+              .select(F.col("o_custkey").alias("c_custkey")))
+    return J.semi_ids(cust, urgent, "c_custkey")
+
+
+# ---------------------------------------------------------------- exports and sink
+
+@register("export_predictions", q("""
+SELECT customer_id, predicted_probability, prediction_label, source_id, tenure_months, monthly_charges, total_charges,
+       contract_type, internet_service, payment_method, region, support_tickets, payment_delays, product_usage,
+       complaint_count, customer_satisfaction_score, churned
+FROM scored ORDER BY predicted_probability DESC, customer_id"""))
+def _export_predictions(spark, sf_dir):
+    return S.export_predictions(W(spark, sf_dir).active_scored())
+
+
+@register("export_audit", f"""
+SELECT CAST("timestamp" AS VARCHAR) AS "Timestamp", user_role AS "User/Role", coalesce(target_customer, 'n/a') AS "Action Target",
+       replace(action, '"', '{S.QUOTE_REPLACEMENT}') AS "Action Taken"
+FROM ({_AUDIT_SQL}) a ORDER BY "timestamp" DESC, log_id DESC""")
+def _export_audit(spark, sf_dir):
+    return S.export_audit(fixtures.audit_logs(spark, sf_dir))
+
+
+@register("merge_predictions", q(f"""
+, fresh AS (SELECT customer_id, least(1.0, predicted_probability + 0.05) AS predicted_probability FROM cp
+            WHERE customer_id IN (SELECT customer_id FROM cc WHERE source_id = 'src_building')),
+kept AS (SELECT customer_id, predicted_probability FROM cp
+         WHERE customer_id NOT IN (SELECT customer_id FROM cc JOIN ds USING (source_id) WHERE ds.is_active = 1)
+           AND customer_id NOT IN (SELECT customer_id FROM fresh))
+SELECT customer_id, round(predicted_probability, 6) AS predicted_probability, false AS is_new FROM kept
+UNION ALL SELECT customer_id, round(predicted_probability, 6), true FROM fresh""".replace("0.05", d(0.05)).replace("least(1.0", f"least({d(1.0)}")))
+def _merge_predictions(spark, sf_dir):
+    w = W(spark, sf_dir)
+    new = (w.predictions.join(w.customers.where(F.col("source_id") == "src_building").select("customer_id"), "customer_id",
+                              "left_semi")
+           .select("customer_id", F.least(F.lit(1.0), F.col("predicted_probability") + F.lit(0.05)).alias("predicted_probability")))
+    merged = S.merge_predictions(w.predictions.select("customer_id", "predicted_probability"), new, w.customers, w.sources,
+                                 stamp=fixtures._ntz("2024-01-03 00:00:00"))
+    return merged.select("customer_id", F.round("predicted_probability", 6).alias("predicted_probability"),
+                         (F.col("created_at").isNotNull()).alias("is_new"))
+
+
+# ---------------------------------------------------------------- campaigns
+
+_AUDIENCE_SQL = """
+SELECT customer_id, CASE WHEN predicted_probability IS NULL OR predicted_probability = 0 THEN 0.0 ELSE predicted_probability END AS predicted_probability,
+       CASE WHEN prediction_label IS NULL OR prediction_label = '' THEN 'low_risk' ELSE prediction_label END AS prediction_label,
+       CASE WHEN monthly_charges IS NULL OR monthly_charges = 0 THEN 0.0 ELSE monthly_charges END AS monthly_charges,
+       CASE WHEN contract_type IS NULL OR contract_type = '' THEN 'N/A' ELSE contract_type END AS contract_type,
+       CASE WHEN tenure_months IS NULL OR tenure_months = 0 THEN 0 ELSE tenure_months END AS tenure_months,
+       CASE WHEN support_tickets IS NULL OR support_tickets = 0 THEN 0 ELSE support_tickets END AS support_tickets,
+       CASE WHEN payment_delays IS NULL OR payment_delays = 0 THEN 0 ELSE payment_delays END AS payment_delays,
+       concat(lower(customer_id), '@example.com') AS email
+FROM scored WHERE prediction_label = 'high_risk'"""
+
+
+@register("audience_high_risk", q(_AUDIENCE_SQL))
+def _audience(spark, sf_dir):
+    return C.audience(W(spark, sf_dir).active_scored(), "high_risk")
+
+
+@register("audience_preview", q(f"SELECT * FROM ({_AUDIENCE_SQL}) a ORDER BY predicted_probability DESC, customer_id LIMIT 20"))
+def _audience_preview(spark, sf_dir):
+    return C.audience_preview(C.audience(W(spark, sf_dir).active_scored(), "high_risk"), 20)
+
+
+# A campaign template (configuration of the fixture campaign); it carries "$" and "\" on purpose.
+TEMPLATE_SUBJECT = "{{Customer_Name}}, a note from {{company_name}} about your {{RISK_LABEL}} plan"
+TEMPLATE_BODY = ("<p>Hi {{customer_name}} ({{customer_id}}),</p><p>Your {{contract_type}} plan at {{monthly_charges}} "
+                 "after {{tenure_months}} months and {{support_tickets}} tickets scores {{risk_score}} ({{risk_label}}). "
+                 "Save 20$ \\o/ with {{COMPANY_NAME}}.</p>")
+
+
+def _render_sql(template: str) -> str:
+    vals = {
+        "customer_name": "'Valued Customer'",
+        "company_name": f"'{DEFAULT_CONFIG.company_name}'",
+        "risk_label": title_sql("replace(prediction_label, '_', ' ')"),
+        "risk_score": "printf('%.1f%%', round(coalesce(predicted_probability, 0.0) * 100, 1))",
+        "contract_type": "CAST(contract_type AS VARCHAR)",
+        "monthly_charges": "printf('$%.2f', CAST(monthly_charges AS DOUBLE))",
+        "tenure_months": "CAST(tenure_months AS VARCHAR)",
+        "support_tickets": "CAST(support_tickets AS VARCHAR)",
+        "customer_id": "CAST(customer_id AS VARCHAR)",
+    }
+    out = "'" + template.replace("'", "''") + "'"
+    for name in C.PLACEHOLDERS:
+        out = (f"list_reduce(string_split_regex({out}, '(?i)\\{{\\{{{name}\\}}\\}}'), "
+               f"lambda a, b: a || coalesce({vals[name]}, '') || b)")
+    return out
+
+
+@register("render_messages", q(f"""
+SELECT customer_id, email, {_render_sql(TEMPLATE_SUBJECT)} AS subject, {_render_sql(TEMPLATE_BODY)} AS body
+FROM ({_AUDIENCE_SQL}) a"""))
+def _render(spark, sf_dir):
+    aud = C.audience(W(spark, sf_dir).active_scored(), "high_risk")
+    return C.render(aud, TEMPLATE_SUBJECT, TEMPLATE_BODY).select("customer_id", "email", "subject", "body")
+
+
+@register("send_plan", q(f"""
+SELECT row_number() OVER w AS log_id, 'cmp_001' AS campaign_id, email AS recipient_email, customer_id,
+       {_render_sql(TEMPLATE_SUBJECT)} AS subject, 'queued' AS status,
+       substr(sha256(concat_ws(':', 'cmp_001', customer_id, 'fixture')), 1, 40) AS tracking_token,
+       CAST((row_number() OVER w - 1) // 10 AS BIGINT) AS batch
+FROM ({_AUDIENCE_SQL}) a WINDOW w AS (ORDER BY predicted_probability DESC, customer_id)"""))
+def _send_plan(spark, sf_dir):
+    aud = C.audience(W(spark, sf_dir).active_scored(), "high_risk")
+    return C.send_plan(C.render(aud, TEMPLATE_SUBJECT, TEMPLATE_BODY), "cmp_001", salt="fixture")
+
+
+@register("strip_tags_pages", "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages")
+def _strip_tags(spark, sf_dir):
+    from ebbtide.sources.tables import table
+    return table(spark, sf_dir, "pages").select("page_id", C.strip_tags(F.col("html")).alias("text"))
+
+
+_ENGAGEMENT_SQL = """
+WITH ev AS (
+  SELECT DISTINCT event_id, CAST(user_id AS VARCHAR) AS tracking_token,
+         CASE event_type WHEN 'signup' THEN 'sent' WHEN 'view' THEN 'open' WHEN 'click' THEN 'click' ELSE 'bounce' END AS kind, ts
+  FROM events WHERE event_type IN ('signup', 'view', 'click', 'error')),
+g AS (
+  SELECT tracking_token, bool_or(kind = 'sent') AS sent, bool_or(kind = 'bounce') AS bounced,
+         min(ts) FILTER (WHERE kind = 'open') AS first_open, min(ts) FILTER (WHERE kind = 'click') AS first_click,
+         max(ts) FILTER (WHERE kind = 'click') AS clicked_at, count(*) FILTER (WHERE kind = 'click') AS clicks
+  FROM ev GROUP BY tracking_token),
+s AS (
+  SELECT *, sent AND first_open IS NOT NULL AND (first_click IS NULL OR first_open < first_click) AS opened FROM g)"""
+
+
+@register("engagement", _ENGAGEMENT_SQL + """
+SELECT tracking_token, sent, bounced, opened, CASE WHEN opened THEN first_open END AS opened_at, clicks, clicked_at,
+       CASE WHEN clicks > 0 THEN 'clicked' WHEN opened THEN 'opened' WHEN sent THEN 'sent' WHEN bounced THEN 'failed'
+            ELSE 'queued' END AS status
+FROM s""")
+def _engagement(spark, sf_dir):
+    return C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"]))
+
+
+@register("funnel", _ENGAGEMENT_SQL + """
+SELECT 'all' AS campaign_id, count(*) FILTER (WHERE sent) AS sent_count, count(*) FILTER (WHERE bounced) AS bounced_count,
+       count(*) FILTER (WHERE opened) AS opened_count, count(*) FILTER (WHERE clicks > 0) AS clicked_recipients,
+       sum(clicks) AS clicked_count
+FROM s""")
+def _funnel(spark, sf_dir):
+    return C.funnel(C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"])))
+
+
+@register("campaign_detail", _ENGAGEMENT_SQL + """
+SELECT 'cmp_001' AS campaign_id, 'tpl_001' AS template_id, 'Retention outreach' AS name,
+       TIMESTAMP '2024-01-01 00:00:00' AS created_at, 'Retention template' AS template_name,
+       'Checking in' AS template_subject, count(*) AS total_recipients,
+       count(*) FILTER (WHERE clicks > 0 OR opened OR sent) AS sent_count,
+       count(*) FILTER (WHERE NOT (clicks > 0 OR opened OR sent) AND bounced) AS bounced_count,
+       count(*) FILTER (WHERE clicks > 0 OR opened) AS opened_count, count(*) FILTER (WHERE clicks > 0) AS clicked_count
+FROM s""")
+def _campaign_detail(spark, sf_dir):
+    state = C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"]))
+    logs = state.select(F.lit("cmp_001").alias("campaign_id"), "status")
+    camps = spark.createDataFrame([("cmp_001", "tpl_001", "Retention outreach", "2024-01-01 00:00:00")],
+                                  "campaign_id string, template_id string, name string, created_at string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    tpls = spark.createDataFrame([("tpl_001", "Retention template", "Checking in")], "template_id string, name string, subject string")
+    return C.campaign_detail(camps, tpls, logs)
+
+
+# ---------------------------------------------------------------- operations
+
+@register("merge_assignments", f"""
+WITH old AS ({_LATEST_ASSIGN_SQL.format(where="WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'")}),
+upd AS ({_LATEST_ASSIGN_SQL.format(where="WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'")})
+SELECT customer_id, csm_name, status, notes, last_updated FROM old WHERE customer_id NOT IN (SELECT customer_id FROM upd)
+UNION ALL SELECT customer_id, csm_name, status, notes, last_updated FROM upd""")
+def _merge_assignments(spark, sf_dir):
+    u = fixtures.assignment_updates(spark, sf_dir)
+    cut = fixtures._ntz("1997-01-01 00:00:00")
+    old = O.latest_assignments(u.where(F.col("last_updated") < cut))
+    merged, _ = O.merge_assignments(old, u.where(F.col("last_updated") >= cut))
+    return merged
+
+
+@register("assignment_audit", f"""
+SELECT 'CSM Manager' AS user_role, printf('Assigned %s (%s)', csm_name, status) AS action, customer_id AS target_customer,
+       last_updated AS "timestamp"
+FROM ({_LATEST_ASSIGN_SQL.format(where="WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'")}) u""")
+def _assignment_audit(spark, sf_dir):
+    u = fixtures.assignment_updates(spark, sf_dir)
+    cut = fixtures._ntz("1997-01-01 00:00:00")
+    _, audit = O.merge_assignments(O.latest_assignments(u.where(F.col("last_updated") < cut)),
+                                   u.where(F.col("last_updated") >= cut))
+    return audit
+
+
+@register("snapshot_history", q("""
+SELECT customer_id, round(predicted_probability, 6) AS predicted_probability,
+       CASE WHEN predicted_probability >= 0.5 THEN 'high_risk' ELSE 'low_risk' END AS prediction_label,
+       DATE '2024-01-02' AS recorded_date FROM cp"""))
+def _snapshot(spark, sf_dir):
+    snap = O.snapshot_history(W(spark, sf_dir).predictions, F.lit("2024-01-02").cast("date"))
+    return snap.withColumn("predicted_probability", F.round("predicted_probability", 6))
+
+
+@register("sla_alerts", q(f"""
+, la AS ({_LATEST_ASSIGN_SQL.format(where='')})
+SELECT s.customer_id,
+       printf('HIGH-RISK CHURN ALERT: Customer %s has a predicted churn rate of %s%%!', s.customer_id,
+              printf('%.1f', s.predicted_probability * 100)) AS text,
+       coalesce(la.csm_name, 'CSM Bot') AS csm, s.monthly_charges AS mrr, s.region, s.support_tickets AS tickets
+FROM scored s LEFT JOIN la ON s.customer_id = la.customer_id WHERE s.prediction_label = 'high_risk'"""))
+def _sla_alerts(spark, sf_dir):
+    assign = O.latest_assignments(fixtures.assignment_updates(spark, sf_dir))
+    alerts = O.sla_alerts(W(spark, sf_dir).active_scored(), assign)
+    p = F.from_json("payload", "customer_id string, risk_pct string, mrr double, region string, csm string, tickets long")
+    return alerts.select("customer_id", "text", p.alias("p")).select(
+        "customer_id", "text", F.col("p.csm").alias("csm"), F.col("p.mrr").alias("mrr"), F.col("p.region").alias("region"),
+        F.col("p.tickets").alias("tickets"))
