@@ -67,7 +67,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         if match is not None:
             cols.append(match)
     if not cols:
-        return df.sparkSession.createDataFrame([], "ordinal int, column string, issue string, n long, message string")
+        return df.sparkSession.createDataFrame([], "ordinal int, column_name string, issue string, n long, message string")
     aggs = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
@@ -81,16 +81,16 @@ def quality_report(df: DataFrame) -> DataFrame:
     agg = df.agg(*aggs)
     items = []
     for i, c in enumerate(cols):
-        items.append(F.struct(F.lit(2 * i).alias("ordinal"), F.lit(c).alias("column"), F.lit("null").alias("issue"),
+        items.append(F.struct(F.lit(2 * i).alias("ordinal"), F.lit(c).alias("column_name"), F.lit("null").alias("issue"),
                               F.col(f"null{i}").alias("n")))
-        items.append(F.struct(F.lit(2 * i + 1).alias("ordinal"), F.lit(c).alias("column"),
+        items.append(F.struct(F.lit(2 * i + 1).alias("ordinal"), F.lit(c).alias("column_name"),
                               F.lit("non_numeric").alias("issue"), F.col(f"bad{i}").alias("n")))
     rows = agg.select(F.inline(F.array(*items))).where(F.col("n") > 0)
     msg = F.when(F.col("issue") == "null", F.format_string(
-        "Column '%s' contains %d missing/null values, which will be filled with standard medians.", "column", "n")
+        "Column '%s' contains %d missing/null values, which will be filled with standard medians.", "column_name", "n")
     ).otherwise(F.format_string(
         "Column '%s' contains %d non-numeric values. These malformed values will be treated as zero or imputed.",
-        "column", "n"))
+        "column_name", "n"))
     return rows.withColumn("message", msg)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.config import DEFAULT_CONFIG
 from ebbtide.operators import aggregates as A
-from ebbtide.plans.sql_twins import BASE, d, q
+from ebbtide.plans.sql_twins import BASE, SCORE as SCORE_SQL, d, q
 from ebbtide.plans.warehouse import warehouse
 from ebbtide.sources import fixtures
 
@@ -737,3 +737,167 @@ def _sla_alerts(spark, sf_dir):
     return alerts.select("customer_id", "text", p.alias("p")).select(
         "customer_id", "text", F.col("p.csm").alias("csm"), F.col("p.mrr").alias("mrr"), F.col("p.region").alias("region"),
         F.col("p.tickets").alias("tickets"))
+
+
+# ---------------------------------------------------------------- ingest
+
+def _raw_customers(spark, sf_dir):
+    """The customer model before storage (re-derived from the driver tables)."""
+    return fixtures.customer_churn(spark, sf_dir)
+
+
+@register("quality_report", q("""
+SELECT * FROM (
+  SELECT 0 AS ordinal, 'monthly_charges' AS column_name, 'null' AS issue, count(*) FILTER (WHERE monthly_charges IS NULL OR isnan(monthly_charges)) AS n FROM cc
+  UNION ALL SELECT 2, 'tenure_months', 'null', count(*) FILTER (WHERE tenure_months IS NULL) FROM cc
+  UNION ALL SELECT 4, 'support_tickets', 'null', count(*) FILTER (WHERE support_tickets IS NULL) FROM cc
+  UNION ALL SELECT 6, 'payment_delays', 'null', count(*) FILTER (WHERE payment_delays IS NULL) FROM cc
+  UNION ALL SELECT 8, 'product_usage', 'null', count(*) FILTER (WHERE product_usage IS NULL OR isnan(product_usage)) FROM cc
+  UNION ALL SELECT 10, 'complaint_count', 'null', count(*) FILTER (WHERE complaint_count IS NULL) FROM cc
+  UNION ALL SELECT 12, 'customer_satisfaction_score', 'null', count(*) FILTER (WHERE customer_satisfaction_score IS NULL OR isnan(customer_satisfaction_score)) FROM cc
+  UNION ALL SELECT 14, 'churned', 'null', count(*) FILTER (WHERE churned IS NULL) FROM cc) t
+WHERE n > 0""".replace("FROM cc) t", "FROM cc) t").replace(
+    "WHERE n > 0", "WHERE n > 0")).replace("SELECT * FROM (", "SELECT ordinal, column_name, issue, n, printf('Column ''%s'' contains %d missing/null values, which will be filled with standard medians.', column_name, n) AS message FROM ("))
+def _quality_report(spark, sf_dir):
+    return I.quality_report(W(spark, sf_dir).customers.select(*I.QUALITY_COLUMNS))
+
+
+# Text versions of the features: the rule score must read numbers out of text exactly like a
+# Python float() would (dirty-string path of I15).
+_TEXT_FEATURES = ["tenure_months", "monthly_charges", "support_tickets", "payment_delays", "product_usage",
+                  "complaint_count", "customer_satisfaction_score"]
+
+
+@register("heuristic_target_text", q(f"""
+SELECT customer_id, CASE WHEN {SCORE_SQL} >= {d(0.55)} THEN 1 ELSE 0 END AS churned_rule FROM cc"""))
+def _heuristic_text(spark, sf_dir):
+    from ebbtide.functions.scalars import heuristic_target
+    c = W(spark, sf_dir).customers
+    text = c.select("customer_id", "contract_type", *[F.col(x).cast("string").alias(x) for x in _TEXT_FEATURES])
+    return text.select("customer_id", heuristic_target(text).alias("churned_rule"))
+
+
+@register("target_encoders", q(f"""
+SELECT customer_id,
+       coalesce(CASE lower(trim(CAST(churned AS VARCHAR))) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in __import__('ebbtide.config', fromlist=['x']).TARGET_VOCABULARY.items())} END,
+                CAST(trunc(TRY_CAST(CAST(churned AS VARCHAR) AS DOUBLE)) AS INTEGER), 0) AS encoded,
+       CASE WHEN lower(trim(CAST(churned AS VARCHAR))) IN ('1','true','yes','churned','churn','exited','left','cancelled') THEN 1 ELSE 0 END AS binarised,
+       CASE WHEN lower(trim(CAST(churned AS VARCHAR))) IN ('1','true','yes','active') THEN 0 ELSE 1 END AS binarised_active,
+       coalesce(CASE lower(trim(contract_type)) WHEN 'no' THEN 0 END, 0) AS encoded_contract
+FROM cc"""))
+def _target_encoders(spark, sf_dir):
+    from ebbtide.functions.scalars import binarise_active, binarise_target, encode_target
+    c = W(spark, sf_dir).customers
+    return c.select("customer_id", encode_target(F.col("churned")).alias("encoded"),
+                    binarise_target(F.col("churned")).alias("binarised"),
+                    binarise_active(F.col("churned")).alias("binarised_active"),
+                    encode_target(F.col("contract_type")).alias("encoded_contract"))
+
+
+@register("generate_ids", """
+SELECT concat('CUST_', CASE WHEN length(CAST(rn AS VARCHAR)) >= 5 THEN CAST(rn AS VARCHAR) ELSE lpad(CAST(rn AS VARCHAR), 5, '0') END) AS customer_id,
+       c_custkey, c_mktsegment
+FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) t""")
+def _generate_ids(spark, sf_dir):
+    from ebbtide.sources.tables import table
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return I.generate_ids(cust, order_cols=[F.col("c_custkey")]).select("customer_id", "c_custkey", "c_mktsegment")
+
+
+@register("normalise_aliased_upload", q(f"""
+SELECT customer_id, CAST(tenure_months AS DOUBLE) AS tenure_months, CAST(monthly_charges AS DOUBLE) AS monthly_charges,
+       CAST(support_tickets AS DOUBLE) AS support_tickets, coalesce(contract_type, 'unknown') AS contract_type,
+       'unknown' AS payment_method, CAST(NULL AS DOUBLE) AS total_charges,
+       CASE WHEN churned = 1 THEN 1 ELSE 0 END AS churned
+FROM cc"""))
+def _normalise_aliased(spark, sf_dir):
+    c = W(spark, sf_dir).customers
+    upload = c.select("customer_id", F.col("tenure_months").alias("tenure"), F.col("monthly_charges").alias("monthly_fee"),
+                      F.col("support_tickets").cast("string").alias("support_calls"), F.col("contract_type").alias("plan"),
+                      F.when(F.col("churned") == 1, F.lit(" Churned")).when(F.col("churned") == 0, F.lit("Retained"))
+                      .alias("status"))
+    n = I.normalise_churn(upload)
+    return n.select("customer_id", "tenure_months", "monthly_charges", "support_tickets", "contract_type", "payment_method",
+                    "total_charges", "churned")
+
+
+@register("import_append", q("""
+SELECT source_id, count(*) AS customers, count(*) FILTER (WHERE support_tickets IS NULL) AS null_tickets FROM (
+  SELECT * FROM cc WHERE source_id <> 'src_building'
+  UNION ALL SELECT * FROM cc WHERE source_id = 'src_building') t GROUP BY source_id"""))
+def _import_append(spark, sf_dir):
+    c = W(spark, sf_dir).customers
+    existing = c.where(F.col("source_id") != "src_building")
+    # the incoming file: the new source plus a re-sent copy of existing rows (ignored by append)
+    incoming = I.with_row_order(c.where(F.col("source_id").isin("src_building", "src_machinery")))
+    out = I.import_append(existing, incoming)
+    return out.groupBy("source_id").agg(F.count(F.lit(1)).alias("customers"),
+                                       F.count_if(F.col("support_tickets").isNull()).alias("null_tickets"))
+
+
+@register("import_upsert", q("""
+SELECT source_id, count(*) AS customers, sum(support_tickets) AS tickets FROM (
+  SELECT customer_id, CASE WHEN source_id = 'src_automobile' THEN 'src_automobile_v2' ELSE source_id END AS source_id,
+         CASE WHEN source_id = 'src_automobile' THEN coalesce(support_tickets, 0) + 2 ELSE support_tickets END AS support_tickets
+  FROM cc) t GROUP BY source_id"""))
+def _import_upsert(spark, sf_dir):
+    c = W(spark, sf_dir).customers
+    auto = c.where(F.col("source_id") == "src_automobile")
+    v1 = auto.select("customer_id", F.lit("src_automobile_v1").alias("source_id"),
+                     (F.coalesce("support_tickets", F.lit(0)) + 1).alias("support_tickets"), F.lit(0).alias("_row"))
+    v2 = auto.select("customer_id", F.lit("src_automobile_v2").alias("source_id"),
+                     (F.coalesce("support_tickets", F.lit(0)) + 2).alias("support_tickets"), F.lit(1).alias("_row"))
+    out, mode = I.import_frame(c, v1.unionByName(v2))
+    assert mode == "upsert"
+    return out.groupBy("source_id").agg(F.count(F.lit(1)).alias("customers"), F.sum("support_tickets").alias("tickets"))
+
+
+@register("dedup_keep_first", """
+SELECT customer_id, csm_name, status, last_updated FROM (
+  SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS customer_id, o_orderpriority AS csm_name,
+         o_orderstatus AS status, o_orderdate AS last_updated,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) t WHERE rn = 1""")
+def _dedup(spark, sf_dir):
+    u = fixtures.assignment_updates(spark, sf_dir)
+    ordered = u.withColumn("_row", F.struct("last_updated", "update_seq"))
+    return I.dedup_keep_first(ordered.select("customer_id", "csm_name", "status", "last_updated", "_row")).drop("_row")
+
+
+@register("sync_feed", q(f"""
+SELECT CASE WHEN source_id = 'src_household' THEN 'crm_sync_hubspot' ELSE source_id END AS source_id, prediction_label,
+       count(*) AS customers, round(avg(p), 6) AS avg_p FROM (
+  SELECT cc.source_id, CASE WHEN cc.source_id = 'src_household'
+                            THEN CASE WHEN coalesce(cc.complaint_count, 0) > 1 THEN 0.85 ELSE 0.15 END
+                            ELSE cp.predicted_probability END AS p,
+         CASE WHEN cc.source_id = 'src_household'
+              THEN CASE WHEN coalesce(cc.complaint_count, 0) > 1 THEN 'high_risk' ELSE 'low_risk' END
+              ELSE cp.prediction_label END AS prediction_label
+  FROM cc JOIN cp ON cc.customer_id = cp.customer_id) t GROUP BY 1, 2"""))
+def _sync_feed(spark, sf_dir):
+    w = W(spark, sf_dir)
+    feed = w.customers.where(F.col("source_id") == "src_household")
+    cust, preds = I.sync_feed(w.customers, w.predictions, feed, "hubspot")
+    return (preds.join(cust.select("customer_id", "source_id"), "customer_id")
+            .groupBy("source_id", "prediction_label")
+            .agg(F.count(F.lit(1)).alias("customers"), F.round(F.avg("predicted_probability"), 6).alias("avg_p")))
+
+
+@register("evolve_schema", q("""
+SELECT count(*) AS customers, count(region) AS with_region, count(csm_name) AS with_csm FROM (
+  SELECT customer_id, region, NULL AS csm_name FROM cc
+  UNION ALL SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), 9, '0')), NULL, o_orderpriority FROM orders) t"""))
+def _evolve(spark, sf_dir):
+    c = W(spark, sf_dir).customers.select("customer_id", "region")
+    u = fixtures.assignment_updates(spark, sf_dir).select("customer_id", "csm_name")
+    e = I.evolve_schema(c, u)
+    return e.agg(F.count(F.lit(1)).alias("customers"), F.count("region").alias("with_region"),
+                 F.count("csm_name").alias("with_csm"))
+
+
+@register("register_source", q("""
+SELECT source_id, filename, row_count, is_active FROM ds
+UNION ALL SELECT 'src_upload', 'upload.csv', count(*), 1 FROM cc WHERE churned = 1"""))
+def _register_source(spark, sf_dir):
+    w = W(spark, sf_dir)
+    reg = R.register_source(spark, w.sources, "src_upload", "upload.csv", w.customers.where(F.col("churned") == 1))
+    return reg.select("source_id", "filename", "row_count", "is_active")
