@@ -901,3 +901,210 @@ def _register_source(spark, sf_dir):
     w = W(spark, sf_dir)
     reg = R.register_source(spark, w.sources, "src_upload", "upload.csv", w.customers.where(F.col("churned") == 1))
     return reg.select("source_id", "filename", "row_count", "is_active")
+
+
+# ---------------------------------------------------------------- model
+
+import threading  # noqa: E402
+
+from ebbtide.functions.scalars import clip01, heuristic_score  # noqa: E402
+from ebbtide.operators import model as M  # noqa: E402
+
+_MODEL_LOCK = threading.Lock()
+_MODELS: dict = {}
+
+
+def trained_model(spark, sf_dir, sources=None):
+    """The churn model fitted on the active customers (one fit per session, input and registry)."""
+    w = W(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "default" if sources is None else "toggled")
+    with _MODEL_LOCK:
+        if key not in _MODELS:
+            _MODELS[key] = M.train(R.active_customers(w.customers, w.sources if sources is None else sources))
+        return _MODELS[key]
+
+
+def _scored_by_model(spark, sf_dir, sources=None):
+    w = W(spark, sf_dir)
+    src = w.sources if sources is None else sources
+    model = trained_model(spark, sf_dir, sources)
+    active = R.active_customers(w.customers, src)
+    scored = model.score(active)
+    stats = M.driver_stats(scored, model.features)
+    return scored.withColumn("risk_drivers", M.risk_drivers(scored, stats, None))
+
+
+@register("train_and_score")
+def _train_and_score(spark, sf_dir):
+    s = _scored_by_model(spark, sf_dir)
+    return s.select("customer_id", F.round(P_COL, 6).alias("predicted_probability"), "prediction_label",
+                    F.round("ci_lower", 6).alias("ci_lower"), F.round("ci_upper", 6).alias("ci_upper"),
+                    F.to_json("risk_drivers").alias("risk_drivers"))
+
+
+P_COL = "predicted_probability"
+
+
+@register("feature_importance")
+def _feature_importance(spark, sf_dir):
+    return M.feature_importance(trained_model(spark, sf_dir))
+
+
+@register("holdout_metrics")
+def _holdout(spark, sf_dir):
+    m = trained_model(spark, sf_dir)
+    row = {k: (float(v) if v is not None else None) for k, v in m.metrics.items()}
+    return spark.createDataFrame([row], "accuracy double, precision double, recall double, auc double, tn double, "
+                                        "fp double, fn double, tp double")
+
+
+@register("retrain_after_toggle")
+def _retrain(spark, sf_dir):
+    w = W(spark, sf_dir)
+    toggled = R.toggle_source(w.sources, "src_furniture", True)
+    s = _scored_by_model(spark, sf_dir, toggled)
+    return s.groupBy("prediction_label").agg(F.count(F.lit(1)).alias("customers"))
+
+
+_AUC_SQL = """
+, r AS (SELECT CAST(churned AS DOUBLE) AS y, predicted_probability AS p,
+               rank() OVER (ORDER BY predicted_probability) + (count(*) OVER (PARTITION BY predicted_probability) - 1) / 2.0 AS rk
+        FROM scored WHERE churned IS NOT NULL),
+c AS (SELECT count(*) FILTER (WHERE p >= 0.6 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.6 AND y <> 1) AS fp,
+             count(*) FILTER (WHERE NOT p >= 0.6 AND y = 1) AS fn, count(*) FILTER (WHERE NOT p >= 0.6 AND y <> 1) AS tn,
+             sum(rk) FILTER (WHERE y = 1) AS rsum FROM r)
+SELECT round((tp + tn) / (tp + fp + fn + tn), 3) AS accuracy,
+       CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 3) ELSE 0.0 END AS precision,
+       CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 3) ELSE 0.0 END AS recall,
+       round((rsum - (tp + fn) * (tp + fn + 1) / 2.0) / ((tp + fn) * (fp + tn)), 3) AS auc, tn, fp, fn, tp
+FROM c""".replace("0.6", d(0.6))
+
+
+@register("evaluate_scores", q(_AUC_SQL))
+def _evaluate(spark, sf_dir):
+    return M.evaluate(W(spark, sf_dir).active_scored())
+
+
+@register("class_report", q("""
+, r AS (SELECT CAST(churned AS INTEGER) AS y, CAST(predicted_probability >= 0.5 AS INTEGER) AS yhat FROM scored WHERE churned IS NOT NULL),
+k AS (SELECT cls, count(*) FILTER (WHERE y = cls AND yhat = cls) AS tp, count(*) FILTER (WHERE yhat = cls) AS pred,
+             count(*) FILTER (WHERE y = cls) AS support FROM r, (VALUES (0), (1)) v(cls) GROUP BY cls)
+SELECT cls AS class, round(CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END, 4) AS precision,
+       round(CASE WHEN support > 0 THEN tp / support ELSE 0.0 END, 4) AS recall,
+       round(CASE WHEN (CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END) + (CASE WHEN support > 0 THEN tp / support ELSE 0.0 END) > 0
+                  THEN 2 * (CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END) * (CASE WHEN support > 0 THEN tp / support ELSE 0.0 END)
+                       / ((CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END) + (CASE WHEN support > 0 THEN tp / support ELSE 0.0 END))
+                  ELSE 0.0 END, 4) AS f1,
+       CAST(support AS BIGINT) AS support
+FROM k""".replace("0.5", d(0.5))))
+def _class_report(spark, sf_dir):
+    return M.class_report(W(spark, sf_dir).active_scored(), 0.5)
+
+
+@register("prior_scores", q("""
+SELECT customer_id, round((SELECT avg(CAST(churned AS DOUBLE)) FROM scored WHERE churned IS NOT NULL), 6) AS predicted_probability
+FROM scored"""))
+def _prior(spark, sf_dir):
+    s = W(spark, sf_dir).active_scored()
+    out = M.prior_scores(s.select("customer_id"), s.where(F.col("churned").isNotNull()))
+    return out.withColumn(P_COL, F.round(P_COL, 6))
+
+
+_NUMS = list(DEFAULT_CONFIG.numeric_features)
+
+
+@register("preprocess_stats", q(" UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, round(avg(coalesce({c}, med)), 6) AS mean, round(stddev_pop(coalesce({c}, med)), 6) AS std,
+        med AS median FROM active, (SELECT quantile_disc({c}, 0.5) AS med FROM active) m GROUP BY med"""
+    for c in _NUMS).join(["\n, active AS (SELECT cc.* FROM cc JOIN ds USING (source_id) WHERE ds.is_active = 1)\n", ""])))
+def _preprocess_stats(spark, sf_dir):
+    w = W(spark, sf_dir)
+    act = R.active_customers(w.customers, w.sources)
+    pp = M.fit_preprocess(act, _NUMS, [])
+    rows = [(c, round(pp.means[c], 6), round(pp.stds[c], 6), float(pp.medians[c])) for c in _NUMS]
+    return spark.createDataFrame(rows, "feature string, mean double, std double, median double")
+
+
+_DRIVER_SQL = """
+, st AS (SELECT avg(support_tickets) AS m_t, stddev_samp(support_tickets) AS s_t, avg(tenure_months) AS m_n,
+                stddev_samp(tenure_months) AS s_n, avg(monthly_charges) AS m_c, stddev_samp(monthly_charges) AS s_c FROM scored),
+items AS (
+  SELECT customer_id, list_filter([
+    CASE WHEN support_tickets > 1 THEN {'s': 0.05 * abs(support_tickets - m_t) / CASE WHEN s_t > 0 THEN s_t ELSE 1 END, 'o': -7,
+         'label': CASE WHEN support_tickets > 2 THEN 'support tickets>' || CAST(support_tickets AS BIGINT) ELSE 'support tickets>1' END} END,
+    CASE WHEN tenure_months < 12 THEN {'s': 0.05 * abs(tenure_months - m_n) / CASE WHEN s_n > 0 THEN s_n ELSE 1 END, 'o': 0,
+         'label': CASE WHEN tenure_months > 0 THEN 'tenure<' || CAST(tenure_months AS BIGINT) || 'mo' ELSE 'tenure<3mo' END} END,
+    CASE WHEN monthly_charges > m_c THEN {'s': 0.05 * abs(monthly_charges - m_c) / CASE WHEN s_c > 0 THEN s_c ELSE 1 END, 'o': -1,
+         'label': 'charges>$' || CAST(trunc(monthly_charges) AS BIGINT)} END], lambda x: x IS NOT NULL) AS fired
+  FROM scored, st)
+SELECT customer_id,
+       CASE WHEN len(fired) > 0 THEN array_to_string(list_transform(list_reverse_sort(fired)[1:3], lambda x: x.label), '|')
+            ELSE 'tenure<3mo|contract=month-to-month' END AS risk_drivers
+FROM items"""
+
+
+@register("risk_drivers", q(_DRIVER_SQL))
+def _risk_drivers(spark, sf_dir):
+    s = W(spark, sf_dir).active_scored()
+    feats = list(DEFAULT_CONFIG.feature_columns)
+    stats = M.driver_stats(s, feats)
+    return s.select("customer_id", F.array_join(M.risk_drivers(s, stats, None), "|").alias("risk_drivers"))
+
+
+@register("attention_rescale", q(f"""
+, raw AS (SELECT customer_id, {SCORE_SQL} AS r FROM cc JOIN ds USING (source_id) WHERE ds.is_active = 1),
+mm AS (SELECT min(r) AS lo, max(r) AS hi, count(*) AS n FROM raw)
+SELECT customer_id, round(CASE WHEN n > 1 AND hi - lo > 1e-4 THEN {d(0.15)} + {d(0.7)} * ((r - lo) / (hi - lo)) ELSE r END, 6) AS p_att
+FROM raw, mm"""))
+def _attention_rescale(spark, sf_dir):
+    w = W(spark, sf_dir)
+    act = R.active_customers(w.customers, w.sources)
+    raw = act.select("customer_id", F.array(heuristic_score(act)).alias("raw"))
+    return M.rescale(raw, 1).select("customer_id", F.round("p_att", 6).alias("p_att"))
+
+
+@register("confidence_band", q("""
+SELECT customer_id,
+       round(greatest(0.0, least(1.0, ci_lower + (predicted_probability - ci_lower) * 0.2)), 6) AS band_lo,
+       round(greatest(0.0, least(1.0, predicted_probability + (ci_upper - predicted_probability) * 0.8)), 6) AS band_hi
+FROM scored""".replace("0.2)", f"{d(0.2)})").replace("0.8)", f"{d(0.8)})")))
+def _band(spark, sf_dir):
+    s = W(spark, sf_dir).active_scored()
+    lo, hi = M.band(F.array("ci_upper", "predicted_probability", "ci_lower"), F.col(P_COL))
+    return s.select("customer_id", F.round(lo, 6).alias("band_lo"), F.round(hi, 6).alias("band_hi"))
+
+
+def _whatif_sql():
+    sc = SCORE_SQL
+    subs = {"support_tickets": "CAST(0 AS BIGINT)",
+            "tenure_months": "coalesce(tenure_months, 12)", "customer_satisfaction_score": "coalesce(customer_satisfaction_score, 4)",
+            "product_usage": "coalesce(product_usage, 0.0)", "complaint_count": "coalesce(complaint_count, 0)",
+            "payment_delays": "coalesce(payment_delays, 0.0)", "monthly_charges": "coalesce(monthly_charges, 0.0)"}
+    return q(f"""
+, s AS (SELECT customer_id AS scenario_id, {', '.join(f'{v} AS {k}' for k, v in subs.items())},
+               coalesce(contract_type, 'No') AS contract_type FROM scored),
+p AS (SELECT scenario_id, least({d(1.0)}, greatest({d(0.0)}, {sc})) AS pp, support_tickets, customer_satisfaction_score, payment_delays FROM s)
+SELECT scenario_id, round(pp, 6) AS predicted_probability,
+       CASE WHEN pp >= {d(0.6)} THEN 'high_risk' ELSE 'low_risk' END AS prediction_label,
+       CASE WHEN pp >= {d(0.6)} THEN array_to_string(list_filter([
+              '{M.WHATIF_HIGH}',
+              CASE WHEN CAST(trunc(CAST(customer_satisfaction_score AS DOUBLE)) AS BIGINT) <= 2
+                   THEN printf('{M.WHATIF_CSAT}', CAST(customer_satisfaction_score AS VARCHAR)) END,
+              CASE WHEN CAST(trunc(CAST(payment_delays AS DOUBLE)) AS BIGINT) > 2
+                   THEN printf('{M.WHATIF_DELAYS}', CAST(payment_delays AS VARCHAR)) END], lambda x: x IS NOT NULL), ' | ')
+            ELSE '{M.WHATIF_LOW} | {M.WHATIF_LOYAL}' END AS recommendations
+FROM p""")
+
+
+@register("what_if_resolve_tickets", _whatif_sql())
+def _what_if(spark, sf_dir):
+    s = W(spark, sf_dir).active_scored()
+    scen = s.select(F.col("customer_id").alias("scenario_id"), F.lit(0).cast("bigint").alias("Support_Tickets"),
+                    *[c for c in DEFAULT_CONFIG.feature_columns if c != "support_tickets"])
+
+    def scorer(df):
+        return df.withColumn(P_COL, clip01(heuristic_score(df)))
+
+    out = M.score_scenarios(scorer, scen, list(DEFAULT_CONFIG.feature_columns))
+    return out.select("scenario_id", F.round(P_COL, 6).alias("predicted_probability"), "prediction_label",
+                      F.array_join("recommendations", " | ").alias("recommendations"))
