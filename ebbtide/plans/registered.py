@@ -1108,3 +1108,50 @@ def _what_if(spark, sf_dir):
     out = M.score_scenarios(scorer, scen, list(DEFAULT_CONFIG.feature_columns))
     return out.select("scenario_id", F.round(P_COL, 6).alias("predicted_probability"), "prediction_label",
                       F.array_join("recommendations", " | ").alias("recommendations"))
+
+
+# ---------------------------------------------------------------- streaming (T1–T3), each against its batch twin
+
+from ebbtide.session import scratch_path  # noqa: E402
+from ebbtide.streaming import jobs as T  # noqa: E402
+
+STREAM_FILES = 4
+
+
+@register("stream_import", q("""
+SELECT customer_id, source_id, CAST(tenure_months AS DOUBLE) AS tenure_months, monthly_charges, total_charges,
+       coalesce(contract_type, 'unknown') AS contract_type, coalesce(internet_service, 'unknown') AS internet_service,
+       coalesce(payment_method, 'unknown') AS payment_method, coalesce(region, 'unknown') AS region,
+       CAST(support_tickets AS DOUBLE) AS support_tickets, CAST(payment_delays AS DOUBLE) AS payment_delays,
+       product_usage, CAST(complaint_count AS DOUBLE) AS complaint_count, customer_satisfaction_score,
+       CAST(coalesce(churned, 0) AS INTEGER) AS churned
+FROM cc"""))
+def _stream_import(spark, sf_dir):
+    cust = W(spark, sf_dir).customers
+    src = scratch_path(spark, "t1-src")
+    cust.repartition(STREAM_FILES).write.option("header", True).csv(src)
+    root, ckpt = scratch_path(spark, "t1-table"), scratch_path(spark, "t1-ckpt")
+    T.stream_import(spark, src, cust.schema, root, ckpt)
+    return T.imported_table(spark, root)
+
+
+@register("stream_engagement", SQL["engagement"])
+def _stream_engagement(spark, sf_dir):
+    from ebbtide.sources.tables import table
+    src = scratch_path(spark, "t2-src")
+    table(spark, sf_dir, "events").repartition(STREAM_FILES, "event_id").write.parquet(src)
+    root, ckpt = scratch_path(spark, "t2-state"), scratch_path(spark, "t2-ckpt")
+    T.stream_engagement(spark, src, root, ckpt, watermark="31 days")
+    return T.engagement_from_state(spark, root)
+
+
+@register("stream_trend", SQL["risk_trend"])
+def _stream_trend(spark, sf_dir):
+    hist = fixtures.risk_history(spark, sf_dir)
+    src = scratch_path(spark, "t3-src")
+    hist.repartition(STREAM_FILES, "history_id").write.parquet(src)
+    root, ckpt = scratch_path(spark, "t3-state"), scratch_path(spark, "t3-ckpt")
+    T.stream_trend(spark, src, hist.schema, root, ckpt, width="1 day", watermark="31 days")
+    return T.trend_from_state(spark, root).select(
+        F.to_date("window_start").alias("recorded_date"), F.round("probability", 6).alias("probability"),
+        F.col("n").alias("snapshots"))
