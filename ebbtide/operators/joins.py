@@ -26,6 +26,11 @@ def active_scored(preds: DataFrame, customers: DataFrame, sources: DataFrame) ->
     return preds.join(cust, "customer_id")
 
 
+def active_only(customers: DataFrame, sources: DataFrame) -> DataFrame:
+    """Customers of active sources (broadcast semi join; no ordering)."""
+    return customers.join(broadcast_if_small(active_sources(sources), MAX_REGISTRY_ROWS), "source_id", "left_semi")
+
+
 def all_scored(preds: DataFrame, customers: DataFrame) -> DataFrame:
     """Predictions ⟕ customers, no active filter."""
     return preds.join(customers, "customer_id", "left")

@@ -920,7 +920,7 @@ def trained_model(spark, sf_dir, sources=None):
     key = (spark.sparkContext.applicationId, sf_dir, "default" if sources is None else "toggled")
     with _MODEL_LOCK:
         if key not in _MODELS:
-            _MODELS[key] = M.train(R.active_customers(w.customers, w.sources if sources is None else sources))
+            _MODELS[key] = M.train(J.active_only(w.customers, w.sources if sources is None else sources))
         return _MODELS[key]
 
 
@@ -928,7 +928,7 @@ def _scored_by_model(spark, sf_dir, sources=None):
     w = W(spark, sf_dir)
     src = w.sources if sources is None else sources
     model = trained_model(spark, sf_dir, sources)
-    active = R.active_customers(w.customers, src)
+    active = J.active_only(w.customers, src)
     scored = model.score(active)
     stats = M.driver_stats(scored, model.features)
     return scored.withColumn("risk_drivers", M.risk_drivers(scored, stats, None))
