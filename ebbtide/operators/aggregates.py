@@ -195,7 +195,7 @@ def contract_risk(all_scored: DataFrame) -> DataFrame:
     """Count and mean p per non-NULL contract, risk desc; no active-source filter."""
     return (all_scored.where(F.col("contract_type").isNotNull())
             .groupBy("contract_type")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.round(F.avg(P), 6).alias("risk"))
+            .agg(F.count(F.lit(1)).alias("cnt"), F.round(F.avg(P), 12).alias("risk"))
             .orderBy(F.desc("risk"), "contract_type"))
 
 
@@ -207,7 +207,7 @@ def tenure_bucket(c: Column) -> Column:
 def tenure_buckets(scored: DataFrame) -> DataFrame:
     """Tenure buckets; a NULL tenure falls through to ``25+ Months``."""
     return (scored.groupBy(tenure_bucket(F.col("tenure_months")).alias("tenure_bucket"))
-            .agg(F.count(F.lit(1)).alias("cnt"), F.round(F.avg(P), 6).alias("avg_prob")))
+            .agg(F.count(F.lit(1)).alias("cnt"), F.round(F.avg(P), 12).alias("avg_prob")))
 
 
 # --- A15 / A16 / A17 / A18 / A19 / A20 --------------------------------------------------------
@@ -330,7 +330,7 @@ def risk_trend(history: DataFrame, customer_id: str | None = None) -> DataFrame:
     if customer_id is not None:
         return (history.where(F.col("customer_id") == F.lit(customer_id))
                 .select("recorded_date", F.col(P).alias("probability")).orderBy("recorded_date"))
-    return (history.groupBy("recorded_date").agg(F.round(F.avg(P), 6).alias("probability"),
+    return (history.groupBy("recorded_date").agg(F.round(F.avg(P), 12).alias("probability"),
                                                  F.count(F.lit(1)).alias("snapshots"))
             .orderBy("recorded_date"))
 

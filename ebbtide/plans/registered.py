@@ -172,7 +172,7 @@ def _contract_breakdown(spark, sf_dir):
 
 
 @register("contract_risk", q("""
-SELECT cc.contract_type, count(*) AS cnt, round(avg(cp.predicted_probability), 6) AS risk
+SELECT cc.contract_type, count(*) AS cnt, round(avg(cp.predicted_probability), 12) AS risk
 FROM cp JOIN cc ON cp.customer_id = cc.customer_id WHERE cc.contract_type IS NOT NULL GROUP BY cc.contract_type"""))
 def _contract_risk(spark, sf_dir):
     w = W(spark, sf_dir)
@@ -184,7 +184,7 @@ _TENURE_CASE = """CASE WHEN tenure_months <= 3 THEN '0-3 Months' WHEN tenure_mon
 
 
 @register("tenure_buckets", q(f"""
-SELECT {_TENURE_CASE} AS tenure_bucket, count(*) AS cnt, round(avg(predicted_probability), 6) AS avg_prob
+SELECT {_TENURE_CASE} AS tenure_bucket, count(*) AS cnt, round(avg(predicted_probability), 12) AS avg_prob
 FROM scored GROUP BY 1"""))
 def _tenure_buckets(spark, sf_dir):
     return A.tenure_buckets(W(spark, sf_dir).active_scored())
@@ -273,7 +273,7 @@ def _executive_summary(spark, sf_dir):
 
 @register("risk_trend", """
 SELECT CAST(ts AS DATE) AS recorded_date,
-       round(avg(least(CAST(1.0 AS DOUBLE), greatest(CAST(0.0 AS DOUBLE), value / CAST(500.0 AS DOUBLE)))), 6) AS probability,
+       round(avg(least(CAST(1.0 AS DOUBLE), greatest(CAST(0.0 AS DOUBLE), value / CAST(500.0 AS DOUBLE)))), 12) AS probability,
        count(*) AS snapshots
 FROM events GROUP BY 1""")
 def _risk_trend(spark, sf_dir):
@@ -865,7 +865,7 @@ def _dedup(spark, sf_dir):
 
 @register("sync_feed", q(f"""
 SELECT CASE WHEN source_id = 'src_household' THEN 'crm_sync_hubspot' ELSE source_id END AS source_id, prediction_label,
-       count(*) AS customers, round(avg(p), 6) AS avg_p FROM (
+       count(*) AS customers, round(avg(p), 12) AS avg_p FROM (
   SELECT cc.source_id, CASE WHEN cc.source_id = 'src_household'
                             THEN CASE WHEN coalesce(cc.complaint_count, 0) > 1 THEN 0.85 ELSE 0.15 END
                             ELSE cp.predicted_probability END AS p,
@@ -879,7 +879,7 @@ def _sync_feed(spark, sf_dir):
     cust, preds = I.sync_feed(w.customers, w.predictions, feed, "hubspot")
     return (preds.join(cust.select("customer_id", "source_id"), "customer_id")
             .groupBy("source_id", "prediction_label")
-            .agg(F.count(F.lit(1)).alias("customers"), F.round(F.avg("predicted_probability"), 6).alias("avg_p")))
+            .agg(F.count(F.lit(1)).alias("customers"), F.round(F.avg("predicted_probability"), 12).alias("avg_p")))
 
 
 @register("evolve_schema", q("""
@@ -1002,27 +1002,28 @@ def _class_report(spark, sf_dir):
 
 
 @register("prior_scores", q("""
-SELECT customer_id, round((SELECT avg(CAST(churned AS DOUBLE)) FROM scored WHERE churned IS NOT NULL), 6) AS predicted_probability
+SELECT customer_id, round((SELECT avg(CAST(churned AS DOUBLE)) FROM scored WHERE churned IS NOT NULL), 12) AS predicted_probability
 FROM scored"""))
 def _prior(spark, sf_dir):
     s = W(spark, sf_dir).active_scored()
     out = M.prior_scores(s.select("customer_id"), s.where(F.col("churned").isNotNull()))
-    return out.withColumn(P_COL, F.round(P_COL, 6))
+    return out.withColumn(P_COL, F.round(P_COL, 12))
 
 
 _NUMS = list(DEFAULT_CONFIG.numeric_features)
 
 
 @register("preprocess_stats", q(" UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, round(avg(coalesce({c}, med)), 6) AS mean, round(stddev_pop(coalesce({c}, med)), 6) AS std,
+    f"""SELECT '{c}' AS feature, round(avg(coalesce({c}, med)), 9) AS mean, round(stddev_pop(coalesce({c}, med)), 9) AS std,
         med AS median FROM active, (SELECT quantile_disc({c}, 0.5) AS med FROM active) m GROUP BY med"""
     for c in _NUMS).join(["\n, active AS (SELECT cc.* FROM cc JOIN ds USING (source_id) WHERE ds.is_active = 1)\n", ""])))
 def _preprocess_stats(spark, sf_dir):
     w = W(spark, sf_dir)
     act = R.active_customers(w.customers, w.sources)
     pp = M.fit_preprocess(act, _NUMS, [])
-    rows = [(c, round(pp.means[c], 6), round(pp.stds[c], 6), float(pp.medians[c])) for c in _NUMS]
-    return spark.createDataFrame(rows, "feature string, mean double, std double, median double")
+    rows = [(c, pp.means[c], pp.stds[c], float(pp.medians[c])) for c in _NUMS]
+    df = spark.createDataFrame(rows, "feature string, mean double, std double, median double")
+    return df.select("feature", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "median")
 
 
 _DRIVER_SQL = """
@@ -1153,5 +1154,5 @@ def _stream_trend(spark, sf_dir):
     root, ckpt = scratch_path(spark, "t3-state"), scratch_path(spark, "t3-ckpt")
     T.stream_trend(spark, src, hist.schema, root, ckpt, width="1 day", watermark="31 days")
     return T.trend_from_state(spark, root).select(
-        F.to_date("window_start").alias("recorded_date"), F.round("probability", 6).alias("probability"),
+        F.to_date("window_start").alias("recorded_date"), F.round("probability", 12).alias("probability"),
         F.col("n").alias("snapshots"))

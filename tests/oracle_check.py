@@ -20,7 +20,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return round(v, 9)
     if hasattr(v, "tolist"):
         return str(v.tolist())
     if isinstance(v, (list, tuple)):
