@@ -1083,16 +1083,17 @@ def _whatif_sql():
             "payment_delays": "coalesce(payment_delays, 0.0)", "monthly_charges": "coalesce(monthly_charges, 0.0)"}
     return q(f"""
 , s AS (SELECT customer_id AS scenario_id, {', '.join(f'{v} AS {k}' for k, v in subs.items())},
-               coalesce(contract_type, 'No') AS contract_type FROM scored),
-p AS (SELECT scenario_id, least({d(1.0)}, greatest({d(0.0)}, {sc})) AS pp, support_tickets, customer_satisfaction_score, payment_delays FROM s)
+               coalesce(contract_type, 'No') AS contract_type, coalesce(payment_delays, 0) AS raw_delays FROM scored),
+p AS (SELECT scenario_id, least({d(1.0)}, greatest({d(0.0)}, {sc})) AS pp, support_tickets, customer_satisfaction_score,
+             raw_delays FROM s)
 SELECT scenario_id, round(pp, 6) AS predicted_probability,
        CASE WHEN pp >= {d(0.6)} THEN 'high_risk' ELSE 'low_risk' END AS prediction_label,
        CASE WHEN pp >= {d(0.6)} THEN array_to_string(list_filter([
               '{M.WHATIF_HIGH}',
               CASE WHEN CAST(trunc(CAST(customer_satisfaction_score AS DOUBLE)) AS BIGINT) <= 2
                    THEN printf('{M.WHATIF_CSAT}', CAST(customer_satisfaction_score AS VARCHAR)) END,
-              CASE WHEN CAST(trunc(CAST(payment_delays AS DOUBLE)) AS BIGINT) > 2
-                   THEN printf('{M.WHATIF_DELAYS}', CAST(payment_delays AS VARCHAR)) END], lambda x: x IS NOT NULL), ' | ')
+              CASE WHEN CAST(trunc(CAST(raw_delays AS DOUBLE)) AS BIGINT) > 2
+                   THEN printf('{M.WHATIF_DELAYS}', CAST(raw_delays AS VARCHAR)) END], lambda x: x IS NOT NULL), ' | ')
             ELSE '{M.WHATIF_LOW} | {M.WHATIF_LOYAL}' END AS recommendations
 FROM p""")
 
