@@ -1157,3 +1157,210 @@ def _stream_trend(spark, sf_dir):
     return T.trend_from_state(spark, root).select(
         F.to_date("window_start").alias("recorded_date"), F.round("probability", 12).alias("probability"),
         F.col("n").alias("snapshots"))
+
+
+# ---------------------------------------------------------------- narrative facts and role advice
+
+from ebbtide.operators import insights as N  # noqa: E402
+
+_P1_ORDER = [F.col("predicted_probability").desc(), F.col("customer_id")]
+_P1_ALL = ["customer_id", "predicted_probability", "prediction_label", "risk_drivers", "ci_lower", "ci_upper"] + _P1_NAMES[3:]
+
+
+def _p1_rows(spark, sf_dir):
+    return PR.predictions_list(W(spark, sf_dir).active_scored())
+
+
+_NUMERIC_P1 = {"predicted_probability", "ci_lower", "ci_upper", "tenure_months", "support_tickets", "payment_delays",
+               "product_usage", "complaint_count", "customer_satisfaction_score", "churned"}
+
+
+def _txt_sql(c: str) -> str:
+    if c in _NUMERIC_P1:
+        return f"CASE WHEN {c} IS NULL OR {c} = 0 THEN '' ELSE CAST({c} AS VARCHAR) END"
+    return f"coalesce(CAST({c} AS VARCHAR), '')"
+
+
+_A22_CANDS = [c for c in _P1_ALL if c.lower() not in N.SKIP]
+
+
+def _a22_sql() -> str:
+    cols = ", ".join(f"{_txt_sql(c)} AS t{i}" for i, c in enumerate(_A22_CANDS))
+    pos = ", ".join(f"sum(CASE WHEN t{i} NOT IN ('', 'nan', 'None') THEN 1 ELSE 0 END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS p{i}"
+                    for i in range(len(_A22_CANDS)))
+    stats = " UNION ALL ".join(
+        f"""SELECT {i + 1} AS ordinal, '{c}' AS column_name,
+            count(*) FILTER (WHERE t{i} NOT IN ('', 'nan', 'None')) AS n,
+            count(DISTINCT CASE WHEN t{i} NOT IN ('', 'nan', 'None') THEN t{i} END) AS dc,
+            count(*) FILTER (WHERE t{i} NOT IN ('', 'nan', 'None') AND TRY_CAST(t{i} AS DOUBLE) IS NOT NULL
+                             AND NOT contains(replace(t{i}, '-', ''), '.') AND p{i} <= 50) AS k FROM pos"""
+        for i, c in enumerate(_A22_CANDS))
+    return q(f"""
+, head AS (SELECT row_number() OVER (ORDER BY predicted_probability DESC, customer_id) AS i, * FROM (
+           SELECT {_P1_COLS} FROM scored ORDER BY predicted_probability DESC, customer_id LIMIT 200) h),
+txt AS (SELECT i, {cols} FROM head),
+pos AS (SELECT *, {pos} FROM txt),
+st AS ({stats})
+SELECT ordinal, column_name FROM st WHERE n > 0 AND dc <= greatest(20, n // 3) AND k < least(n, 50) * 0.6
+ORDER BY ordinal LIMIT 4""")
+
+
+@register("categorical_profile", _a22_sql())
+def _categorical_profile(spark, sf_dir):
+    return N.categorical_profile(_p1_rows(spark, sf_dir), _P1_ORDER, 4, 200)
+
+
+_CATS = list(DEFAULT_CONFIG.categorical_features)
+
+
+def _a23_sql() -> str:
+    u = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, coalesce(nullif(trim(coalesce({c}, '')), ''), 'unknown') AS value, "
+        f"{{'np': -predicted_probability, 'id': customer_id}} AS fk FROM scored WHERE prediction_label = 'high_risk'"
+        for c in _CATS)
+    return f"""
+, v AS ({u}),
+g AS (SELECT column_name, value, count(*) AS customers, min(fk) AS fk FROM v GROUP BY column_name, value),
+r AS (SELECT column_name, value, customers,
+             CAST(row_number() OVER (PARTITION BY column_name ORDER BY customers DESC, fk) AS INTEGER) AS rank FROM g)"""
+
+
+@register("risk_attributes", q(_a23_sql() + "\nSELECT column_name, value, customers, rank FROM r WHERE rank <= 3"))
+def _risk_attributes(spark, sf_dir):
+    return N.risk_attributes(W(spark, sf_dir).active_scored(), _CATS)
+
+
+def _a24_sql() -> str:
+    return q(_a23_sql() + f"""
+, tops AS (SELECT list(value ORDER BY array_position({_CATS}, column_name)) AS vals,
+                  list(replace(column_name, '_', ' ') ORDER BY array_position({_CATS}, column_name)) AS cols FROM r WHERE rank = 1),
+f AS (SELECT count(*) AS total, count(*) FILTER (WHERE prediction_label = 'high_risk') AS high_risk,
+             count(*) FILTER (WHERE prediction_label = 'low_risk') AS low_risk,
+             avg(coalesce(predicted_probability, 0.0)) AS a,
+             min(CASE WHEN prediction_label = 'high_risk' THEN {{'k': -predicted_probability, 'id': customer_id, 'p': predicted_probability}} END) AS top,
+             min(CASE WHEN prediction_label = 'low_risk' THEN {{'k': predicted_probability, 'id': customer_id, 'p': predicted_probability}} END) AS safe
+      FROM scored)
+SELECT printf('%d of %d records need retention attention', high_risk, total) AS headline,
+       printf('Across %d analyzed records, the model estimates an overall churn probability of %d%%. ', total, CAST(round_even(a * 100, 0) AS BIGINT))
+       || printf('%d records (%d%%) are flagged as high risk and %d (%d%%) as lower risk. ', high_risk,
+                 CAST(round_even(100.0 * high_risk / total, 0) AS BIGINT), low_risk, CAST(round_even(100.0 * low_risk / total, 0) AS BIGINT))
+       || CASE WHEN high_risk > 0 AND len(coalesce(tops.vals, [])) > 0
+               THEN 'The highest-risk records are most associated with '
+                    || array_to_string(list_transform(range(1, least(len(tops.vals), 2) + 1), lambda j: printf('''%s'' in %s', tops.vals[j], tops.cols[j])), ' and ')
+                    || '. These patterns together drive the elevated churn likelihood observed in this dataset.'
+               WHEN high_risk > 0 THEN 'A portion of records shows elevated churn likelihood worth prioritizing for retention.'
+               ELSE 'No records currently meet the high-risk threshold, indicating a stable retention profile.' END AS narrative,
+       total, high_risk, low_risk, round(a, 3) AS avg_probability,
+       top.id AS top_record,
+       CASE WHEN top IS NOT NULL THEN printf('%s carries a %d%% churn probability. Review its attributes to understand the dominant risk drivers in this dataset.', top.id, CAST(round_even(top.p * 100, 0) AS BIGINT)) END AS top_detail,
+       safe.id AS stable_record,
+       CASE WHEN safe IS NOT NULL THEN printf('%s shows only a %d%% churn probability, reflecting a healthy profile ideal for loyalty expansion.', safe.id, CAST(round_even(safe.p * 100, 0) AS BIGINT)) END AS stable_detail
+FROM f, tops""")
+
+
+@register("insight_facts", _a24_sql())
+def _insight_facts(spark, sf_dir):
+    return N.insight_facts(W(spark, sf_dir).active_scored(), _CATS)
+
+
+@register("context_summary", q("""
+SELECT count(*) AS total_records, count(*) FILTER (WHERE prediction_label = 'high_risk') AS high_risk FROM scored"""))
+def _context_summary(spark, sf_dir):
+    w = W(spark, sf_dir)
+    return N.context_summary(w.active_scored(), w.sources)["totals"]
+
+
+def _a7_sql() -> str:
+    facts = """
+, fx AS (SELECT count(*) FILTER (WHERE prediction_label = 'high_risk') AS high_count,
+                count(*) FILTER (WHERE prediction_label = 'low_risk') AS low_count,
+                round(round(avg(CASE WHEN prediction_label = 'high_risk' THEN predicted_probability END), 3) * 100, 1) AS avg_prob,
+                count(*) FILTER (WHERE prediction_label = 'high_risk' AND coalesce(support_tickets, 0) >= 3) AS ticket_heavy,
+                count(*) FILTER (WHERE prediction_label = 'high_risk' AND coalesce(complaint_count, 0) >= 3) AS complaint_heavy,
+                count(*) FILTER (WHERE prediction_label = 'high_risk' AND coalesce(customer_satisfaction_score, 0) <= 2) AS low_satisfaction,
+                count(*) FILTER (WHERE prediction_label = 'high_risk' AND coalesce(payment_delays, 0) >= 1) AS payment_delayed
+         FROM allscored)"""
+    parts = []
+    for role, rules in N.ROLE_RULES.items():
+        items, conds = [], []
+        for cond, tmpl in rules:
+            text = "'" + tmpl.replace("'", "''") + "'"
+            for f in N.FACT_FIELDS:
+                text = text.replace("{" + f + "}", f"' || CAST({f} AS VARCHAR) || '")
+            if cond == "always":
+                c = "true"
+            elif cond == "none_above":
+                c = "NOT (" + " OR ".join(conds) + ")" if conds else "true"
+            else:
+                c = f"{cond} > 0"
+            conds.append(c)
+            items.append(f"CASE WHEN {c} THEN {text} END")
+        lst = f"CASE WHEN high_count > 0 THEN list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) ELSE ['{N.NO_ACTIVITY}'] END"
+        parts.append(f"SELECT '{role}' AS role, {lst} AS recs FROM fx")
+    return q(facts + f"""
+, r AS ({' UNION ALL '.join(parts)})
+SELECT role, CAST(j - 1 AS INTEGER) AS ordinal, recs[j] AS text FROM r, range(1, 7) t(j) WHERE j <= len(recs)""")
+
+
+@register("role_recommendations", _a7_sql())
+def _role_recommendations(spark, sf_dir):
+    return N.role_recommendations(N.role_facts(W(spark, sf_dir).all_scored()))
+
+
+# ---------------------------------------------------------------- remaining registrations
+
+@register("recent_sends", q(f"""
+SELECT * FROM (
+  SELECT row_number() OVER w AS log_id, 'cmp_001' AS campaign_id, email AS recipient_email, customer_id, 'queued' AS status,
+         TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (row_number() OVER w) SECOND AS sent_at
+  FROM ({_AUDIENCE_SQL}) a WINDOW w AS (ORDER BY predicted_probability DESC, customer_id)) s
+ORDER BY sent_at DESC, log_id DESC LIMIT 20"""))
+def _recent_sends(spark, sf_dir):
+    aud = C.audience(W(spark, sf_dir).active_scored(), "high_risk")
+    plan = C.send_plan(C.render(aud, TEMPLATE_SUBJECT, TEMPLATE_BODY), "cmp_001", salt="fixture")
+    logs = plan.withColumn("sent_at", fixtures._ntz("2024-01-01 00:00:00") + F.make_dt_interval(secs=F.col("log_id")))
+    return K.recent_sends(logs, "cmp_001", 20)
+
+
+@register("append_audit", f"""
+SELECT user_role, count(*) AS entries FROM (
+  SELECT user_role FROM ({_AUDIT_SQL}) a
+  UNION ALL SELECT 'CSM Manager' FROM ({_LATEST_ASSIGN_SQL.format(where="WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'")}) u) t
+GROUP BY user_role""")
+def _append_audit(spark, sf_dir):
+    u = fixtures.assignment_updates(spark, sf_dir)
+    cut = fixtures._ntz("1997-01-01 00:00:00")
+    _, rows = O.merge_assignments(O.latest_assignments(u.where(F.col("last_updated") < cut)), u.where(F.col("last_updated") >= cut))
+    audit = O.append_audit(fixtures.audit_logs(spark, sf_dir), rows)
+    return audit.groupBy("user_role").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@register("csv_roundtrip", q("SELECT source_id, count(*) AS customers, round(sum(monthly_charges), 2) AS charges FROM cc GROUP BY source_id"))
+def _csv_roundtrip(spark, sf_dir):
+    from ebbtide.sources.tables import read_customers
+    path = scratch_path(spark, "s1-csv")
+    S.write_csv(W(spark, sf_dir).customers, path)
+    back = read_customers(spark, path, "csv")
+    return back.groupBy("source_id").agg(F.count(F.lit(1)).alias("customers"),
+                                         F.round(F.sum("monthly_charges"), 2).alias("charges"))
+
+
+@register("json_roundtrip", q("SELECT contract_type, count(*) AS customers, sum(support_tickets) AS tickets FROM cc GROUP BY contract_type"))
+def _json_roundtrip(spark, sf_dir):
+    from ebbtide.sources.tables import read_customers
+    path = scratch_path(spark, "s2-json")
+    W(spark, sf_dir).customers.write.json(path)
+    back = read_customers(spark, path, "json", json_array=False)
+    return back.groupBy("contract_type").agg(F.count(F.lit(1)).alias("customers"), F.sum("support_tickets").alias("tickets"))
+
+
+@register("detect_target_upload", q("""
+SELECT customer_id, CASE WHEN churned = 1 THEN 1 ELSE 0 END AS churned FROM cc"""))
+def _detect_target(spark, sf_dir):
+    c = W(spark, sf_dir).customers
+    upload = c.select(F.col("customer_id").alias("CustomerID"),
+                      F.when(F.col("churned") == 1, F.lit("no")).otherwise(F.lit("Active")).alias("Is_Active"))
+    df, _ = I.standardise_id(upload)
+    df, kind = I.detect_target(df)
+    assert kind == "active"
+    return df.select("customer_id", "churned")
