@@ -1163,7 +1163,8 @@ def _stream_trend(spark, sf_dir):
 
 from ebbtide.operators import insights as N  # noqa: E402
 
-_P1_ORDER = [F.col("predicted_probability").desc(), F.col("customer_id")]
+def _p1_order():
+    return [F.col("predicted_probability").desc(), F.col("customer_id")]
 _P1_ALL = ["customer_id", "predicted_probability", "prediction_label", "risk_drivers", "ci_lower", "ci_upper"] + _P1_NAMES[3:]
 
 
@@ -1207,7 +1208,7 @@ ORDER BY ordinal LIMIT 4""")
 
 @register("categorical_profile", _a22_sql())
 def _categorical_profile(spark, sf_dir):
-    return N.categorical_profile(_p1_rows(spark, sf_dir), _P1_ORDER, 4, 200)
+    return N.categorical_profile(_p1_rows(spark, sf_dir), _p1_order(), 4, 200)
 
 
 _CATS = list(DEFAULT_CONFIG.categorical_features)
