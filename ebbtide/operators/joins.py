@@ -15,13 +15,18 @@ def active_sources(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("is_active") == 1).select("source_id")
 
 
-def active_scored(preds: DataFrame, customers: DataFrame, sources: DataFrame) -> DataFrame:
+def active_scored(preds: DataFrame, customers: DataFrame, sources: DataFrame, registry_small: bool | None = None) -> DataFrame:
     """J1 ACTIVE_SCORED: predictions ⋈ customers ⋈ active sources (inner).
 
-    The active-source filter is a broadcast semi join on the customer side (checked size), then
-    predictions join customers on ``customer_id`` — co-bucketed when both are stored tables.
+    The active-source filter is a broadcast semi join on the customer side (checked size, or the
+    caller's earlier check in ``registry_small``), then predictions join customers on
+    ``customer_id`` — co-bucketed when both are stored tables.
     """
-    act = broadcast_if_small(active_sources(sources), MAX_REGISTRY_ROWS)
+    act = active_sources(sources)
+    if registry_small is None:
+        act = broadcast_if_small(act, MAX_REGISTRY_ROWS)
+    elif registry_small:
+        act = F.broadcast(act)
     cust = customers.join(act, "source_id", "left_semi")
     return preds.join(cust, "customer_id")
 

@@ -27,8 +27,14 @@ _LOCK = threading.Lock()
 _CACHE: dict[tuple, "Warehouse"] = {}
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 100_000
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets for a customer-keyed table: about two million rows each (a few hundred MB of Parquet),
+    so the count follows the data rather than the session's shuffle setting."""
+    return max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
 
 
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -56,15 +62,20 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: RetentionConfig = DEFAULT_CONFIG):
         self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
-        b = bucket_count(spark)
+        from ebbtide.sources.tables import table
+        # a metadata-only count (no column is read) sizes the buckets
+        b = bucket_count(table(spark, sf_dir, "customer").count())
         self.customers = write_bucketed(fixtures.customer_churn(spark, sf_dir), "customer_churn", "customer_id", b)
         self.predictions = write_bucketed(fixtures.heuristic_predictions(self.customers, cfg), "churn_predictions",
                                           "customer_id", b)
         self.sources = write_plain(fixtures.data_sources(self.customers), "data_sources")
+        # the stored registry does not change: check its size once, not in every query
+        from ebbtide.operators.joins import MAX_REGISTRY_ROWS
+        self.registry_small = self.sources.limit(MAX_REGISTRY_ROWS + 1).count() <= MAX_REGISTRY_ROWS
 
     def active_scored(self) -> DataFrame:
         from ebbtide.operators.joins import active_scored
-        return active_scored(self.predictions, self.customers, self.sources)
+        return active_scored(self.predictions, self.customers, self.sources, self.registry_small)
 
     def all_scored(self) -> DataFrame:
         from ebbtide.operators.joins import all_scored

@@ -56,7 +56,11 @@ def merge_predictions(old: DataFrame, new: DataFrame, customers: DataFrame, sour
     else:
         ids = customers.join(broadcast_if_small(act, MAX_REGISTRY_ROWS), "source_id", "left_semi").select("customer_id")
         kept = old.join(ids, "customer_id", "left_anti")
-    first = new.groupBy("customer_id").agg(F.first(F.struct(*[c for c in new.columns if c != "customer_id"])).alias("_n"))
-    fresh = first.select("customer_id", "_n.*").withColumn("created_at", ts)
+    # first new row per id: by file order when it was captured (``_row``), else by value — deterministic
+    # either way, and combined map-side
+    others = [c for c in new.columns if c not in ("customer_id", "_row")]
+    lead = ["_row"] if "_row" in new.columns else []
+    first = new.groupBy("customer_id").agg(F.min(F.struct(*lead, *others)).alias("_n"))
+    fresh = first.select("customer_id", *[F.col(f"_n.{c}").alias(c) for c in others]).withColumn("created_at", ts)
     kept = kept.join(fresh.select("customer_id"), "customer_id", "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
