@@ -39,14 +39,17 @@ def categorical_profile(rows: DataFrame, order: list, max_cols: int = 4, sample:
     cands = [c for c in rows.columns if c.lower() not in SKIP]
     head = rows.orderBy(*order).limit(sample)
     texts = head.select(F.monotonically_increasing_id().alias("_i"), *[_text_or_empty(rows, c).alias(c) for c in cands])
+    nonempty = {c: ~F.col(c).isin("", "nan", "None") for c in cands}
+    # position of each value among its column's non-empty values: one window over the sample
+    # (``sample`` rows at most, so the single window partition is bounded)
+    w = Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    texts = texts.select("*", *[F.when(nonempty[c], F.sum(nonempty[c].cast("int")).over(w)).alias(f"_p{i}")
+                                for i, c in enumerate(cands)])
     aggs = []
     for i, c in enumerate(cands):
-        ne = ~F.col(c).isin("", "nan", "None")
-        # position of the value among the column's non-empty values (200 rows at most: bounded)
-        pos = F.sum(ne.cast("int")).over(Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
-        texts = texts.withColumn(f"_p{i}", F.when(ne, pos))
+        ne = nonempty[c]
         intlike = ne & parse_float_text(F.col(c)).isNotNull() & ~F.regexp_replace(F.col(c), "-", "").contains(".")
-        aggs += [F.count_if(ne).alias(f"n{i}"), F.count_distinct(F.when(ne, F.col(c))).alias(f"d{i}"),
+        aggs += [F.count_if(ne).alias(f"n{i}"), F.size(F.collect_set(F.when(ne, F.col(c)))).alias(f"d{i}"),
                  F.count_if(intlike & (F.col(f"_p{i}") <= 50)).alias(f"k{i}")]
     agg = texts.agg(*aggs)
     items = []
