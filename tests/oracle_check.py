@@ -40,7 +40,14 @@ def main(argv):
     from ebbtide.session import build_session
     sf_dir = argv[1] if len(argv) > 1 and os.path.isdir(argv[1]) else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not os.path.isdir(a)]
-    spark = build_session()
+    if "--plain" in argv:
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+        argv = [a for a in argv if a != "--plain"]
+        names = [a for a in names if a != "--plain"]
+    else:
+        spark = build_session()
     con = duckdb.connect()
     for t in ("region nation customer supplier part orders lineitem events documents embeddings pages "
               "benchmark labels conversations").split():
