@@ -132,7 +132,8 @@ def engagement(events: DataFrame) -> DataFrame:
         F.min(F.when(k == "open", F.col("ts"))).alias("first_open"),
         F.min(F.when(k == "click", F.col("ts"))).alias("first_click"),
         F.max(F.when(k == "click", F.col("ts"))).alias("clicked_at"),
-        F.count_if(k == "click").alias("clicks"))
+        F.count_if(k == "click").alias("clicks"),
+        F.min("ts").alias("first_ts"))
     return engagement_state(agg)
 
 
@@ -141,9 +142,15 @@ def engagement_state(agg: DataFrame) -> DataFrame:
               & (F.col("first_click").isNull() | (F.col("first_open") < F.col("first_click"))))
     status = (F.when(F.col("clicks") > 0, "clicked").when(opened, "opened").when(F.col("sent"), "sent")
               .when(F.col("bounced"), "failed").otherwise("queued"))
+    extra = ["first_ts"] if "first_ts" in agg.columns else []
     return agg.select("tracking_token", "sent", "bounced", opened.alias("opened"),
                       F.when(opened, F.col("first_open")).alias("opened_at"), "clicks", "clicked_at",
-                      status.alias("status"))
+                      status.alias("status"), *extra)
+
+
+def weekly_campaign(ts: Column) -> Column:
+    """Campaign key of the fixture log: the week (Monday) of a token's first event."""
+    return F.concat(F.lit("cmp_"), F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd"))
 
 
 def funnel(state: DataFrame, campaign_of: Column | None = None) -> DataFrame:

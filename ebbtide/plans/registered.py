@@ -645,7 +645,8 @@ WITH ev AS (
 g AS (
   SELECT tracking_token, bool_or(kind = 'sent') AS sent, bool_or(kind = 'bounce') AS bounced,
          min(ts) FILTER (WHERE kind = 'open') AS first_open, min(ts) FILTER (WHERE kind = 'click') AS first_click,
-         max(ts) FILTER (WHERE kind = 'click') AS clicked_at, count(*) FILTER (WHERE kind = 'click') AS clicks
+         max(ts) FILTER (WHERE kind = 'click') AS clicked_at, count(*) FILTER (WHERE kind = 'click') AS clicks,
+         min(ts) AS first_ts
   FROM ev GROUP BY tracking_token),
 s AS (
   SELECT *, sent AND first_open IS NOT NULL AND (first_click IS NULL OR first_open < first_click) AS opened FROM g)"""
@@ -657,34 +658,43 @@ SELECT tracking_token, sent, bounced, opened, CASE WHEN opened THEN first_open E
             ELSE 'queued' END AS status
 FROM s""")
 def _engagement(spark, sf_dir):
-    return C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"]))
+    return C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"])).drop("first_ts")
 
 
-@register("funnel", _ENGAGEMENT_SQL + """
-SELECT 'all' AS campaign_id, count(*) FILTER (WHERE sent) AS sent_count, count(*) FILTER (WHERE bounced) AS bounced_count,
+_WEEK_SQL = "concat('cmp_', strftime(date_trunc('week', first_ts), '%Y-%m-%d'))"
+
+
+@register("funnel", _ENGAGEMENT_SQL + f"""
+SELECT {_WEEK_SQL} AS campaign_id, count(*) FILTER (WHERE sent) AS sent_count, count(*) FILTER (WHERE bounced) AS bounced_count,
        count(*) FILTER (WHERE opened) AS opened_count, count(*) FILTER (WHERE clicks > 0) AS clicked_recipients,
        sum(clicks) AS clicked_count
-FROM s""")
+FROM s GROUP BY 1""")
 def _funnel(spark, sf_dir):
-    return C.funnel(C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"])))
-
-
-@register("campaign_detail", _ENGAGEMENT_SQL + """
-SELECT 'cmp_001' AS campaign_id, 'tpl_001' AS template_id, 'Retention outreach' AS name,
-       TIMESTAMP '2024-01-01 00:00:00' AS created_at, 'Retention template' AS template_name,
-       'Checking in' AS template_subject, count(*) AS total_recipients,
-       count(*) FILTER (WHERE clicks > 0 OR opened OR sent) AS sent_count,
-       count(*) FILTER (WHERE NOT (clicks > 0 OR opened OR sent) AND bounced) AS bounced_count,
-       count(*) FILTER (WHERE clicks > 0 OR opened) AS opened_count, count(*) FILTER (WHERE clicks > 0) AS clicked_count
-FROM s""")
+    state = C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"]))
+    return C.funnel(state, C.weekly_campaign(F.col("first_ts")))
+
+
+@register("campaign_detail", _ENGAGEMENT_SQL + f"""
+, logs AS (SELECT {_WEEK_SQL} AS campaign_id, first_ts,
+                  CASE WHEN clicks > 0 THEN 'clicked' WHEN opened THEN 'opened' WHEN sent THEN 'sent'
+                       WHEN bounced THEN 'failed' ELSE 'queued' END AS status FROM s)
+SELECT campaign_id, concat('tpl_', campaign_id) AS template_id, concat('Retention outreach ', campaign_id) AS name,
+       min(first_ts) AS created_at, 'Retention template' AS template_name, concat('Checking in (', campaign_id, ')') AS template_subject,
+       count(*) AS total_recipients,
+       count(*) FILTER (WHERE status IN ('sent', 'opened', 'clicked')) AS sent_count,
+       count(*) FILTER (WHERE status = 'failed') AS bounced_count,
+       count(*) FILTER (WHERE status IN ('opened', 'clicked')) AS opened_count,
+       count(*) FILTER (WHERE status = 'clicked') AS clicked_count
+FROM logs GROUP BY campaign_id""")
 def _campaign_detail(spark, sf_dir):
     state = C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"]))
-    logs = state.select(F.lit("cmp_001").alias("campaign_id"), "status")
-    camps = spark.createDataFrame([("cmp_001", "tpl_001", "Retention outreach", "2024-01-01 00:00:00")],
-                                  "campaign_id string, template_id string, name string, created_at string") \
-        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
-    tpls = spark.createDataFrame([("tpl_001", "Retention template", "Checking in")], "template_id string, name string, subject string")
-    return C.campaign_detail(camps, tpls, logs)
+    logs = state.select(C.weekly_campaign(F.col("first_ts")).alias("campaign_id"), "status", "first_ts")
+    camps = logs.groupBy("campaign_id").agg(F.min("first_ts").alias("created_at")).select(
+        "campaign_id", F.concat(F.lit("tpl_"), F.col("campaign_id")).alias("template_id"),
+        F.concat(F.lit("Retention outreach "), F.col("campaign_id")).alias("name"), "created_at")
+    tpls = camps.select("template_id", F.lit("Retention template").alias("name"),
+                        F.concat(F.lit("Checking in ("), F.col("campaign_id"), F.lit(")")).alias("subject"))
+    return C.campaign_detail(camps, tpls, logs.drop("first_ts"))
 
 
 # ---------------------------------------------------------------- operations
@@ -1144,7 +1154,7 @@ def _stream_engagement(spark, sf_dir):
     table(spark, sf_dir, "events").repartition(STREAM_FILES, "event_id").write.parquet(src)
     root, ckpt = scratch_path(spark, "t2-state"), scratch_path(spark, "t2-ckpt")
     T.stream_engagement(spark, src, root, ckpt, watermark="31 days")
-    return T.engagement_from_state(spark, root)
+    return T.engagement_from_state(spark, root).drop("first_ts")
 
 
 @register("stream_trend", SQL["risk_trend"])

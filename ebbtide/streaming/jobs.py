@@ -81,7 +81,8 @@ def engagement_stream(events: DataFrame, watermark: str = "7 days") -> DataFrame
         F.min(F.when(k == "open", ts)).alias("first_open"),
         F.min(F.when(k == "click", ts)).alias("first_click"),
         F.max(F.when(k == "click", ts)).alias("clicked_at"),
-        F.count_if(k == "click").alias("clicks"))
+        F.count_if(k == "click").alias("clicks"),
+        F.min(ts).alias("first_ts"))
 
 
 def stream_engagement(spark: SparkSession, events_dir: str, state_root: str, checkpoint: str,
