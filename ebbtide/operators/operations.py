@@ -9,6 +9,13 @@ from ebbtide.config import DEFAULT_CONFIG, RetentionConfig
 
 P = "predicted_probability"
 
+# Audit texts of an assignment and of an SLA alert, and the alert headline format.
+ASSIGN_ROLE = "CSM"
+ASSIGN_ACTION = "Assigned account to %s and marked status as %s"
+ALERT_TEXT = "🚨 *HIGH-RISK CHURN ALERT*: Customer *%s* has a predicted churn rate of *%s%%*!"
+ALERT_AUDIT_ROLE = "System SLA Alert"
+ALERT_AUDIT_ACTION = "Automated 24-hr SLA alert dispatched to notification channels"
+
 
 def latest_assignments(updates: DataFrame) -> DataFrame:
     """Latest update per customer by (last_updated, update_seq): a struct max, combined map-side."""
@@ -23,8 +30,8 @@ def merge_assignments(old: DataFrame, updates: DataFrame) -> tuple[DataFrame, Da
     latest = latest_assignments(updates)
     cols = ["customer_id", "csm_name", "status", "notes", "last_updated"]
     merged = old.select(*cols).join(latest.select("customer_id"), "customer_id", "left_anti").unionByName(latest.select(*cols))
-    audit = latest.select(F.lit("CSM Manager").alias("user_role"),
-                          F.format_string("Assigned %s (%s)", F.col("csm_name"), F.col("status")).alias("action"),
+    audit = latest.select(F.lit(ASSIGN_ROLE).alias("user_role"),
+                          F.format_string(ASSIGN_ACTION, F.col("csm_name"), F.col("status")).alias("action"),
                           F.col("customer_id").alias("target_customer"), F.col("last_updated").alias("timestamp"))
     return merged, audit
 
@@ -55,9 +62,8 @@ def sla_alerts(scored: DataFrame, assignments: DataFrame, cfg: RetentionConfig =
     j = hi.join(a, "customer_id", "left")
     csm = F.coalesce(F.col("csm_name"), F.lit(default_csm))
     pct = F.format_string("%.1f", F.col(P) * 100)
-    text = F.format_string("HIGH-RISK CHURN ALERT: Customer %s has a predicted churn rate of %s%%!", F.col("customer_id"), pct)
+    text = F.format_string(ALERT_TEXT, F.col("customer_id"), pct)
     payload = F.to_json(F.struct(F.col("customer_id"), pct.alias("risk_pct"), F.col("monthly_charges").alias("mrr"),
                                  F.col("region"), csm.alias("csm"), F.col("support_tickets").alias("tickets")))
     return j.select("customer_id", text.alias("text"), payload.alias("payload"),
-                    F.lit("System SLA Alert").alias("audit_role"),
-                    F.lit("Automated 24-hr SLA alert dispatched to notification channels").alias("audit_action"))
+                    F.lit(ALERT_AUDIT_ROLE).alias("audit_role"), F.lit(ALERT_AUDIT_ACTION).alias("audit_action"))

@@ -36,7 +36,8 @@ def top_vulnerable(scored: DataFrame, k: int = 25, cfg: RetentionConfig = DEFAUL
 def top_risk(scored: DataFrame, k: int = 15) -> DataFrame:
     """K2: the k highest probabilities with the customer columns present."""
     cols = ["customer_id", P, "prediction_label"] + _present(
-        scored, ["monthly_charges", "tenure_months", "contract_type", "region", "support_tickets"])
+        scored, ["region", "contract_type", "tenure_months", "churned", "support_tickets", "payment_delays",
+                 "product_usage", "complaint_count", "customer_satisfaction_score"])
     return top_k(scored.select(*cols), P, k)
 
 

@@ -317,8 +317,8 @@ def _top_vulnerable(spark, sf_dir):
 
 
 @register("top_risk", q("""
-SELECT customer_id, predicted_probability, prediction_label, monthly_charges, tenure_months, contract_type, region,
-       support_tickets
+SELECT customer_id, predicted_probability, prediction_label, region, contract_type, tenure_months, churned,
+       support_tickets, payment_delays, product_usage, complaint_count, customer_satisfaction_score
 FROM scored ORDER BY predicted_probability DESC, customer_id LIMIT 15"""))
 def _top_risk(spark, sf_dir):
     return K.top_risk(W(spark, sf_dir).active_scored(), 15)
@@ -713,7 +713,7 @@ def _merge_assignments(spark, sf_dir):
 
 
 @register("assignment_audit", f"""
-SELECT 'CSM Manager' AS user_role, printf('Assigned %s (%s)', csm_name, status) AS action, customer_id AS target_customer,
+SELECT 'CSM' AS user_role, printf('Assigned account to %s and marked status as %s', csm_name, status) AS action, customer_id AS target_customer,
        last_updated AS "timestamp"
 FROM ({_LATEST_ASSIGN_SQL.format(where="WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'")}) u""")
 def _assignment_audit(spark, sf_dir):
@@ -736,7 +736,7 @@ def _snapshot(spark, sf_dir):
 @register("sla_alerts", q(f"""
 , la AS ({_LATEST_ASSIGN_SQL.format(where='')})
 SELECT s.customer_id,
-       printf('HIGH-RISK CHURN ALERT: Customer %s has a predicted churn rate of %s%%!', s.customer_id,
+       printf('🚨 *HIGH-RISK CHURN ALERT*: Customer *%s* has a predicted churn rate of *%s%%*!', s.customer_id,
               printf('%.1f', s.predicted_probability * 100)) AS text,
        coalesce(la.csm_name, 'CSM Bot') AS csm, s.monthly_charges AS mrr, s.region, s.support_tickets AS tickets
 FROM scored s LEFT JOIN la ON s.customer_id = la.customer_id WHERE s.prediction_label = 'high_risk'"""))
@@ -1336,7 +1336,7 @@ def _recent_sends(spark, sf_dir):
 @register("append_audit", f"""
 SELECT user_role, count(*) AS entries FROM (
   SELECT user_role FROM ({_AUDIT_SQL}) a
-  UNION ALL SELECT 'CSM Manager' FROM ({_LATEST_ASSIGN_SQL.format(where="WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'")}) u) t
+  UNION ALL SELECT 'CSM' FROM ({_LATEST_ASSIGN_SQL.format(where="WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'")}) u) t
 GROUP BY user_role""")
 def _append_audit(spark, sf_dir):
     u = fixtures.assignment_updates(spark, sf_dir)
