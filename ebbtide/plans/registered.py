@@ -667,7 +667,7 @@ _WEEK_SQL = "concat('cmp_', strftime(date_trunc('week', first_ts), '%Y-%m-%d'))"
 @register("funnel", _ENGAGEMENT_SQL + f"""
 SELECT {_WEEK_SQL} AS campaign_id, count(*) FILTER (WHERE sent) AS sent_count, count(*) FILTER (WHERE bounced) AS bounced_count,
        count(*) FILTER (WHERE opened) AS opened_count, count(*) FILTER (WHERE clicks > 0) AS clicked_recipients,
-       sum(clicks) AS clicked_count
+       CAST(sum(clicks) AS BIGINT) AS clicked_count
 FROM s GROUP BY 1""")
 def _funnel(spark, sf_dir):
     state = C.engagement(fixtures.engagement_events(spark, sf_dir).dropDuplicates(["event_id"]))
@@ -846,7 +846,7 @@ def _import_append(spark, sf_dir):
 
 
 @register("import_upsert", q("""
-SELECT source_id, count(*) AS customers, sum(support_tickets) AS tickets FROM (
+SELECT source_id, count(*) AS customers, CAST(sum(support_tickets) AS BIGINT) AS tickets FROM (
   SELECT customer_id, CASE WHEN source_id = 'src_automobile' THEN 'src_automobile_v2' ELSE source_id END AS source_id,
          CASE WHEN source_id = 'src_automobile' THEN coalesce(support_tickets, 0) + 2 ELSE support_tickets END AS support_tickets
   FROM cc) t GROUP BY source_id"""))
@@ -1356,7 +1356,7 @@ def _csv_roundtrip(spark, sf_dir):
                                          F.round(F.sum("monthly_charges"), 2).alias("charges"))
 
 
-@register("json_roundtrip", q("SELECT contract_type, count(*) AS customers, sum(support_tickets) AS tickets FROM cc GROUP BY contract_type"))
+@register("json_roundtrip", q("SELECT contract_type, count(*) AS customers, CAST(sum(support_tickets) AS BIGINT) AS tickets FROM cc GROUP BY contract_type"))
 def _json_roundtrip(spark, sf_dir):
     from ebbtide.sources.tables import read_customers
     path = scratch_path(spark, "s2-json")
