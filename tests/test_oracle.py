@@ -5,6 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle_check import digest
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 SKIP_SLOW = {"train_and_score", "retrain_after_toggle", "feature_importance", "holdout_metrics", "file_search"}
 
 
@@ -28,6 +30,9 @@ def test_query_matches_sql_twin(spark, sf_small, duck, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    dtypes = dict(zip(dcols, [str(t) for t in duck.sql(entry.oracle_sql()[name]).types]))
+    for col, st in sdf.dtypes:
+        assert SPARK_TO_DUCK.get(st, st) == dtypes[col], (col, st, dtypes[col])
     assert len(srows) == len(drows)
     assert digest(srows, sdf.columns) == digest(drows, dcols)
 
