@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ebbtide.config import DEFAULT_CONFIG, RetentionConfig
 from ebbtide.functions.indexing import dense_index
 from ebbtide.functions.scalars import underscore_title
+from ebbtide.session import broadcast_if_small
 
 P = "predicted_probability"
+MAX_TEMPLATES = 100_000  # message templates are configuration rows; broadcast only below this count
 AUDIENCE_COLUMNS = ["customer_id", P, "prediction_label", "monthly_charges", "contract_type", "tenure_months",
                     "support_tickets", "payment_delays"]
 
@@ -171,5 +173,6 @@ def campaign_detail(campaigns: DataFrame, templates: DataFrame, logs: DataFrame)
         F.count_if(F.col("status").isin("opened", "clicked")).alias("opened_count"),
         F.count_if(F.col("status") == "clicked").alias("clicked_count"))
     t = templates.select("template_id", F.col("name").alias("template_name"), F.col("subject").alias("template_subject"))
-    return (campaigns.join(F.broadcast(t), "template_id", "left").join(counts, "campaign_id", "left")
+    t = broadcast_if_small(t, MAX_TEMPLATES)
+    return (campaigns.join(t, "template_id", "left").join(counts, "campaign_id", "left")
             .orderBy(F.desc("created_at"), "campaign_id"))
