@@ -29,3 +29,17 @@ def dense_index(df: DataFrame, order_cols: list, name: str = "row_index") -> Dat
     return (tagged.join(F.broadcast(offsets), pid == offsets._pid)
             .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
             .drop("_mid", "_pid", "_off"))
+
+
+def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int, rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every group, in ``order_cols`` order (a unique tiebreak is expected).
+
+    Two levels, so no task ever holds a whole group: rows are first ranked inside each (input
+    partition, group) slice — bounded by the partition size — and only those local top-k rows
+    (at most k × partitions per group) take part in the final per-group ranking.
+    """
+    local_w = Window.partitionBy(F.col("_pid"), *group_cols).orderBy(*order_cols)
+    local = (df.withColumn("_pid", F.spark_partition_id())
+             .withColumn("_lr", F.row_number().over(local_w)).where(F.col("_lr") <= k).drop("_lr", "_pid"))
+    final_w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return local.withColumn(rank_col, F.row_number().over(final_w)).where(F.col(rank_col) <= k)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.config import DEFAULT_CONFIG, RetentionConfig
+from ebbtide.functions.indexing import top_k_per_group
 from ebbtide.functions.scalars import parse_float_text
 from ebbtide.operators import aggregates as A
 
@@ -73,19 +74,9 @@ def risk_attributes(rows: DataFrame, columns: list[str], cfg: RetentionConfig =
     first = F.struct((-F.col(P)).alias("np"), F.col("customer_id").alias("id"))
     exploded = hi.select(first.alias("_first"), F.inline(vals))
     counts = exploded.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("customers"), F.min("_first").alias("_first"))
-    # top 3 per column as one bounded top-k each (no window holding a column's whole vocabulary)
-    out = None
-    for c in columns:
-        top = (counts.where(F.col("column_name") == F.lit(c)).orderBy(F.desc("customers"), F.col("_first")).limit(3)
-               .select("column_name", "value", "customers", "_first"))
-        out = top if out is None else out.unionByName(top)
-    # rank inside each column: at most 3 rows per column reach this step
-    ranked = out.groupBy("column_name").agg(F.sort_array(F.collect_list(
-        F.struct((-F.col("customers")).alias("nc"), F.col("_first").alias("f"), F.col("value").alias("value"),
-                 F.col("customers").alias("customers")))).alias("_top"))
-    return ranked.select("column_name", F.posexplode("_top").alias("_i", "t")).select(
-        "column_name", F.col("t.value").alias("value"), F.col("t.customers").alias("customers"),
-        (F.col("_i") + 1).cast("int").alias("rank"))
+    # top 3 per column by a two-level top-k: one scan, no task holding a column's whole vocabulary
+    top = top_k_per_group(counts, ["column_name"], [F.desc("customers"), F.col("_first")], 3)
+    return top.select("column_name", "value", "customers", F.col("rank").cast("int").alias("rank"))
 
 
 def _pct0(x: Column) -> Column:

@@ -45,3 +45,13 @@ def test_sync_feed_scores(spark):
     assert {r.customer_id: r.source_id for r in c2.collect()} == {"x": "s1", "HS-001": "crm_sync_hubspot", "HS-002": "crm_sync_hubspot"}
     assert {r.customer_id: (r.predicted_probability, r.prediction_label) for r in p2.collect()} == {
         "x": (0.3, "low_risk"), "HS-001": (0.85, "high_risk"), "HS-002": (0.15, "low_risk")}
+
+
+def test_top_k_per_group_matches_full_ranking(spark):
+    from ebbtide.functions.indexing import top_k_per_group
+    rows = [(g, i, (i * 37 + g * 11) % 101) for g in range(4) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, i int, v int").repartition(7)
+    got = {(r.g, r.rank): (r.v, r.i) for r in top_k_per_group(df, ["g"], [F.desc("v"), F.col("i")], 3).collect()}
+    for g in range(4):
+        exp = sorted([(v, i) for gg, i, v in rows if gg == g], key=lambda t: (-t[0], t[1]))[:3]
+        assert [got[(g, r)] for r in (1, 2, 3)] == exp
