@@ -8,11 +8,18 @@ def plan(df) -> str:
 
 
 def test_registry_is_broadcast_and_filter_pushed(spark, sf_small):
-    p = plan(QUERIES["segment_loss"](spark, sf_small))
+    from ebbtide.operators.joins import active_scored
+    w = W(spark, sf_small)
+    p = plan(active_scored(w.predictions, w.customers, w.sources))
     assert "BroadcastHashJoin" in p and "LeftSemi" in p
     assert "EqualTo(is_active,1)" in p
 
 
+def test_dashboard_question_scans_stored_active_scored(spark, sf_small):
+    p = plan(QUERIES["segment_loss"](spark, sf_small))
+    assert "ebbtide_active_scored" in p and "Join" not in p
+
+
 def test_bucketed_join_has_no_exchange_below_it(spark, sf_small):
     from pyspark.sql import functions as F
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
