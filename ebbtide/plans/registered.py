@@ -1128,6 +1128,7 @@ from ebbtide.session import scratch_path  # noqa: E402
 from ebbtide.streaming import jobs as T  # noqa: E402
 
 STREAM_FILES = 4
+FILES_PER_TRIGGER = 2  # two micro-batches per run: state and idempotent sinks are exercised across batches
 
 
 @register("stream_import", q("""
@@ -1143,7 +1144,7 @@ def _stream_import(spark, sf_dir):
     src = scratch_path(spark, "t1-src")
     cust.repartition(STREAM_FILES).write.option("header", True).csv(src)
     root, ckpt = scratch_path(spark, "t1-table"), scratch_path(spark, "t1-ckpt")
-    T.stream_import(spark, src, cust.schema, root, ckpt)
+    T.stream_import(spark, src, cust.schema, root, ckpt, files_per_batch=FILES_PER_TRIGGER)
     return T.imported_table(spark, root)
 
 
@@ -1153,7 +1154,7 @@ def _stream_engagement(spark, sf_dir):
     src = scratch_path(spark, "t2-src")
     table(spark, sf_dir, "events").repartition(STREAM_FILES, "event_id").write.parquet(src)
     root, ckpt = scratch_path(spark, "t2-state"), scratch_path(spark, "t2-ckpt")
-    T.stream_engagement(spark, src, root, ckpt, watermark="31 days")
+    T.stream_engagement(spark, src, root, ckpt, watermark="31 days", files_per_batch=FILES_PER_TRIGGER)
     return T.engagement_from_state(spark, root).drop("first_ts")
 
 
@@ -1163,7 +1164,8 @@ def _stream_trend(spark, sf_dir):
     src = scratch_path(spark, "t3-src")
     hist.repartition(STREAM_FILES, "history_id").write.parquet(src)
     root, ckpt = scratch_path(spark, "t3-state"), scratch_path(spark, "t3-ckpt")
-    T.stream_trend(spark, src, hist.schema, root, ckpt, width="1 day", watermark="31 days")
+    T.stream_trend(spark, src, hist.schema, root, ckpt, width="1 day", watermark="31 days",
+                   files_per_batch=FILES_PER_TRIGGER)
     return T.trend_from_state(spark, root).select(
         F.to_date("window_start").alias("recorded_date"), F.round("probability", 12).alias("probability"),
         F.col("n").alias("snapshots"))
