@@ -34,27 +34,36 @@ def _run(writer, checkpoint: str, available_now: bool = True):
 
 def stream_import(spark: SparkSession, src_dir: str, schema: StructType, table_root: str, checkpoint: str,
                   cfg: RetentionConfig = DEFAULT_CONFIG, fmt: str = "csv", files_per_batch: int = 1) -> None:
-    """New customer files → normalise (I17) → append rows with unseen ids (I18, first row per
-    id wins) into the customers table. Each micro-batch only writes its new rows; the anti-join
-    reads the keys of earlier batches (never of its own or later ones, so a replay is idempotent)."""
+    """New customer files → normalise (I17) → import with the reference's rule per micro-batch:
+    when at least one id is new, append the unseen ids (first row per id, I18) and leave existing
+    rows untouched; when every id already exists, upsert them (last row per id wins, I19).
+
+    Each micro-batch writes only its own rows into its batch folder; readers take the latest row per
+    id. The anti-join reads the keys of earlier batches only, so a replayed batch is idempotent.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     stream = reader.option("header", True).csv(src_dir) if fmt == "csv" else reader.format(fmt).load(src_dir)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn(I.ROW, F.monotonically_increasing_id())
-        rows = I.normalise_churn(rows, cfg)
-        rows = I.dedup_keep_first(rows, "customer_id", I.ROW).drop(I.ROW)
+        rows = I.normalise_churn(batch.withColumn(I.ROW, F.monotonically_increasing_id()), cfg)
         earlier = read_batches(spark, table_root, below=batch_id)
-        if earlier is not None:
-            rows = rows.join(earlier.select("customer_id"), "customer_id", "left_anti")
-        write_batch(rows, table_root, batch_id)
+        if earlier is None:
+            write_batch(I.dedup_keep_first(rows, "customer_id", I.ROW).drop(I.ROW), table_root, batch_id)
+            return
+        keys = earlier.select("customer_id")
+        fresh = rows.join(keys, "customer_id", "left_anti")
+        if fresh.limit(1).count() > 0:
+            write_batch(I.dedup_keep_first(fresh, "customer_id", I.ROW).drop(I.ROW), table_root, batch_id)
+        else:
+            write_batch(I.dedup_keep_last(rows, "customer_id", I.ROW).drop(I.ROW), table_root, batch_id)
 
     _run(stream.writeStream.foreachBatch(merge), checkpoint)
 
 
 def imported_table(spark: SparkSession, table_root: str) -> DataFrame:
+    """The imported customers: the latest row per id across micro-batches."""
     df = read_batches(spark, table_root)
-    return df.drop("batch_id") if df is not None else None
+    return latest_per_key(df, ["customer_id"]) if df is not None else None
 
 
 # ------------------------------------------------------------------ T2: engagement

@@ -43,3 +43,21 @@ def test_trend_stream_drops_late_rows(spark):
     T.stream_trend(spark, src, sch, root, ck, watermark="1 day")
     got = {r.window_start.date(): r.n for r in T.trend_from_state(spark, root).collect()}
     assert got == {dt.date(2024, 1, 10): 5}
+
+
+def test_stream_import_append_then_upsert(spark):
+    schema = "customer_id string, tenure_months long, support_tickets long, churned long"
+    src = scratch_path(spark, "test-t1-src")
+    root, ck = scratch_path(spark, "test-t1-table"), scratch_path(spark, "test-t1-ck")
+    sch = spark.createDataFrame([], schema).schema
+    first = [("a", 1, 0, 0), ("b", 2, 0, 1), ("a", 9, 9, 1)]          # duplicate id: first row wins
+    spark.createDataFrame(first, schema).coalesce(1).write.option("header", True).mode("append").csv(src)
+    T.stream_import(spark, src, sch, root, ck)
+    mixed = [("a", 50, 5, 1), ("c", 3, 1, 0)]                          # one new id: append only, "a" untouched
+    spark.createDataFrame(mixed, schema).coalesce(1).write.option("header", True).mode("append").csv(src)
+    T.stream_import(spark, src, sch, root, ck)
+    known = [("b", 7, 4, 0), ("b", 8, 6, 0)]                            # all ids known: upsert, last row wins
+    spark.createDataFrame(known, schema).coalesce(1).write.option("header", True).mode("append").csv(src)
+    T.stream_import(spark, src, sch, root, ck)
+    got = {r.customer_id: (r.tenure_months, r.support_tickets) for r in T.imported_table(spark, root).collect()}
+    assert got == {"a": (1.0, 0.0), "b": (8.0, 6.0), "c": (3.0, 1.0)}
