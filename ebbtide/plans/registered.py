@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.config import DEFAULT_CONFIG
 from ebbtide.operators import aggregates as A
-from ebbtide.plans.sql_twins import BASE, SCORE as SCORE_SQL, d, q
+from ebbtide.plans.sql_twins import SCORE as SCORE_SQL, d, q
 from ebbtide.plans.warehouse import warehouse
 from ebbtide.sources import fixtures
 

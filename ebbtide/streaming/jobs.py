@@ -7,7 +7,6 @@ shared checkpoint folder so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
