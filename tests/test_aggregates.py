@@ -61,3 +61,20 @@ def test_registry_ops(spark):
     assert {r.source_id: r.is_active for r in custom.collect()} == {"sample_data": 0, "s1": 1}
     assert R.is_sample_only(R.toggle_source(src, "s1", True)).first().sample_only is False
     assert [r.source_id for r in R.list_sources(src).collect()] == ["s1"]
+
+
+def test_file_search(spark, sf_small):
+    from ebbtide.operators.projections import file_search
+    assert file_search(spark, sf_small, "  ").count() == 0
+    rows = file_search(spark, sf_small, "ORDER").collect()
+    assert [r.name for r in rows] == ["orders.parquet"] and rows[0].ext == "parquet" and rows[0].size > 0
+
+
+def test_delete_source_cascades(spark):
+    preds = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "customer_id string, predicted_probability double")
+    cust = spark.createDataFrame([("a", "s1"), ("b", "s2")], "customer_id string, source_id string")
+    src = spark.createDataFrame([("s1", 1), ("s2", 1)], "source_id string, is_active int")
+    p2, c2, s2 = R.delete_source(preds, cust, src, "s1")
+    assert [r.customer_id for r in p2.collect()] == ["b"]
+    assert [r.customer_id for r in c2.collect()] == ["b"]
+    assert [r.source_id for r in s2.collect()] == ["s2"]
