@@ -15,8 +15,11 @@ from pyspark.sql.types import StructType
 from ebbtide.config import DEFAULT_CONFIG, RetentionConfig
 from ebbtide.operators import campaigns as C
 from ebbtide.operators import ingest as I
+from ebbtide.session import broadcast_if_small
 from ebbtide.streaming.sinks import latest_per_key, read_batches, write_batch
 
+MAX_BATCH_KEYS = 5_000_000  # a micro-batch's distinct ids are broadcast only below this count
+
 
 def _run(writer, checkpoint: str, available_now: bool = True):
     w = writer.option("checkpointLocation", checkpoint)
@@ -49,8 +52,11 @@ def stream_import(spark: SparkSession, src_dir: str, schema: StructType, table_r
         if earlier is None:
             write_batch(I.dedup_keep_first(rows, "customer_id", I.ROW).drop(I.ROW), table_root, batch_id)
             return
-        keys = earlier.select("customer_id")
-        fresh = rows.join(keys, "customer_id", "left_anti")
+        # which of this batch's ids exist already: the batch's own keys (size-checked) are broadcast and
+        # the earlier keys stream past them — the large side is never shuffled
+        batch_keys = broadcast_if_small(rows.select("customer_id").distinct(), MAX_BATCH_KEYS)
+        seen = earlier.select("customer_id").join(batch_keys, "customer_id", "left_semi")
+        fresh = rows.join(seen, "customer_id", "left_anti")
         if fresh.limit(1).count() > 0:
             write_batch(I.dedup_keep_first(fresh, "customer_id", I.ROW).drop(I.ROW), table_root, batch_id)
         else:
