@@ -1025,7 +1025,7 @@ _NUMS = list(DEFAULT_CONFIG.numeric_features)
 
 @register("preprocess_stats", q(" UNION ALL ".join(
     f"""SELECT '{c}' AS feature, round(avg(coalesce({c}, med)), 9) AS mean, round(stddev_pop(coalesce({c}, med)), 9) AS std,
-        med AS median FROM active, (SELECT quantile_disc({c}, 0.5) AS med FROM active) m GROUP BY med"""
+        med AS median FROM active, (SELECT CAST(median({c}) AS DOUBLE) AS med FROM active) m GROUP BY med"""
     for c in _NUMS).join(["\n, active AS (SELECT cc.* FROM cc JOIN ds USING (source_id) WHERE ds.is_active = 1)\n", ""])))
 def _preprocess_stats(spark, sf_dir):
     w = W(spark, sf_dir)

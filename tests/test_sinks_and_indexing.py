@@ -55,3 +55,14 @@ def test_top_k_per_group_matches_full_ranking(spark):
     for g in range(4):
         exp = sorted([(v, i) for gg, i, v in rows if gg == g], key=lambda t: (-t[0], t[1]))[:3]
         assert [got[(g, r)] for r in (1, 2, 3)] == exp
+
+
+def test_exact_medians_with_hot_value(spark):
+    import numpy as np
+    from ebbtide.functions.indexing import exact_medians
+    vals = [0.0] * 400 + [float(i) for i in range(1, 201)] + [None, float("nan")]
+    evens = [float(i) for i in range(10)]
+    df = spark.createDataFrame([(v, evens[i % 10] if i < 10 else None) for i, v in enumerate(vals)], "a double, b double")
+    got = exact_medians(df.repartition(5), ["a", "b"])
+    assert got["a"] == float(np.median([v for v in vals if v is not None and v == v]))
+    assert got["b"] == 4.5
