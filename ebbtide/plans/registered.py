@@ -930,7 +930,7 @@ def trained_model(spark, sf_dir, sources=None):
     key = (spark.sparkContext.applicationId, sf_dir, "default" if sources is None else "toggled")
     with _MODEL_LOCK:
         if key not in _MODELS:
-            _MODELS[key] = M.train(J.active_only(w.customers, w.sources if sources is None else sources))
+            _MODELS[key] = M.train_active(w.customers, w.sources if sources is None else sources)
         return _MODELS[key]
 
 
@@ -955,6 +955,16 @@ def _train_and_score(spark, sf_dir):
 P_COL = "predicted_probability"
 
 
+@register("predict_new_file")
+def _predict_new_file(spark, sf_dir):
+    """The inactive source's customers scored as a newly uploaded file (ids re-sent twice)."""
+    w = W(spark, sf_dir)
+    file_rows = w.customers.where(F.col("source_id") == fixtures.INACTIVE_SOURCE).drop("churned", "source_id")
+    scored = M.predict_new(trained_model(spark, sf_dir), file_rows.unionByName(file_rows))
+    return scored.select("customer_id", F.round(P_COL, 6).alias("predicted_probability"), "prediction_label",
+                         F.to_json("risk_drivers").alias("risk_drivers"))
+
+
 @register("feature_importance")
 def _feature_importance(spark, sf_dir):
     return M.feature_importance(trained_model(spark, sf_dir))

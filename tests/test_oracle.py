@@ -45,4 +45,5 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_a_twin_or_is_rows_only():
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only <= {"file_search", "train_and_score", "feature_importance", "holdout_metrics", "retrain_after_toggle"}
+    assert rows_only <= {"file_search", "train_and_score", "feature_importance", "holdout_metrics", "retrain_after_toggle",
+                         "predict_new_file"}
