@@ -274,9 +274,10 @@ def campaign_roi(scored: DataFrame, threshold: float = 0.6, discount: float = 0.
     out = agg.select("targeted", F.col("_rev").alias("revenue"), cost.alias("cost"), gross.alias("gross"))
     out = out.select("targeted", "revenue", "cost", "gross", (F.col("gross") - F.col("cost")).alias("net"))
     roi = F.when(F.col("cost") > 0, F.col("net") / F.col("cost") * 100).otherwise(F.lit(0.0))
-    out = out.select(*[F.round(c, 2).alias(c) if c != "targeted" else F.col(c) for c in out.columns], F.round(roi, 2).alias("roi_pct"))
-    return out.withColumn("band", F.when(F.col("roi_pct") >= 20, "success").when(F.col("roi_pct") >= 0, "warning")
-                          .otherwise("danger"))
+    # the colour band is decided on the unrounded ROI
+    band = F.when(roi >= 20, "success").when(roi >= 0, "warning").otherwise("danger")
+    return out.select(*[F.round(c, 2).alias(c) if c != "targeted" else F.col(c) for c in out.columns],
+                      F.round(roi, 2).alias("roi_pct"), band.alias("band"))
 
 
 def exposure_tips(scored: DataFrame, cfg: RetentionConfig = DEFAULT_CONFIG, rate: float = 1.0) -> DataFrame:

@@ -70,7 +70,8 @@ def _placeholder_values(df: DataFrame, company: str) -> dict[str, Column]:
         "customer_name": F.col("customer_name").cast("string") if has("customer_name") else F.lit("Valued Customer"),
         "company_name": F.lit(company),
         "risk_label": underscore_title(label),
-        "risk_score": F.format_string("%.1f%%", F.round(p * 100, 1)),
+        # Python's round(): half to even
+        "risk_score": F.format_string("%.1f%%", F.bround(p * 100, 1)),
         "contract_type": F.col("contract_type").cast("string") if has("contract_type") else F.lit("N/A"),
         "monthly_charges": F.format_string("$%.2f", F.col("monthly_charges").cast("double")) if has("monthly_charges")
         else F.lit("$0.00"),

@@ -192,7 +192,8 @@ def role_facts(all_scored: DataFrame, cfg: RetentionConfig = DEFAULT_CONFIG) ->
         cnt("support_tickets", ">=", 3).alias("ticket_heavy"), cnt("complaint_count", ">=", 3).alias("complaint_heavy"),
         cnt("customer_satisfaction_score", "<=", 2).alias("low_satisfaction"),
         cnt("payment_delays", ">=", 1).alias("payment_delayed"))
-    return agg.withColumn("avg_prob", F.round(F.col("_hi_avg") * 100, 1)).drop("_hi_avg")
+    # Python's round(): half to even
+    return agg.withColumn("avg_prob", F.bround(F.col("_hi_avg") * 100, 1)).drop("_hi_avg")
 
 
 def role_recommendations(facts: DataFrame, roles: list[str] | None = None) -> DataFrame:

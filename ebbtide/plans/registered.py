@@ -234,8 +234,8 @@ ROI_PARAMS = dict(threshold=0.5, discount=0.15, success=0.3)
 @register("campaign_roi", q(f"""
 SELECT targeted, round(rev, 2) AS revenue, round(cost, 2) AS cost, round(gross, 2) AS gross, round(gross - cost, 2) AS net,
        round(CASE WHEN cost > 0 THEN (gross - cost) / cost * 100 ELSE 0.0 END, 2) AS roi_pct,
-       CASE WHEN round(CASE WHEN cost > 0 THEN (gross - cost) / cost * 100 ELSE 0.0 END, 2) >= 20 THEN 'success'
-            WHEN round(CASE WHEN cost > 0 THEN (gross - cost) / cost * 100 ELSE 0.0 END, 2) >= 0 THEN 'warning'
+       CASE WHEN CASE WHEN cost > 0 THEN (gross - cost) / cost * 100 ELSE 0.0 END >= 20 THEN 'success'
+            WHEN CASE WHEN cost > 0 THEN (gross - cost) / cost * 100 ELSE 0.0 END >= 0 THEN 'warning'
             ELSE 'danger' END AS band
 FROM (SELECT targeted, rev, rev * {d(ROI_PARAMS['discount'])} * {d(1.0)} AS cost, rev * {d(ROI_PARAMS['success'])} * {d(1.0)} AS gross
       FROM (SELECT count(*) AS targeted, coalesce(sum(coalesce(monthly_charges, {d(100)})), 0.0) AS rev
@@ -598,7 +598,7 @@ def _render_sql(template: str) -> str:
         "customer_name": "'Valued Customer'",
         "company_name": f"'{DEFAULT_CONFIG.company_name}'",
         "risk_label": title_sql("replace(prediction_label, '_', ' ')"),
-        "risk_score": "printf('%.1f%%', round(coalesce(predicted_probability, 0.0) * 100, 1))",
+        "risk_score": "printf('%.1f%%', round_even(coalesce(predicted_probability, 0.0) * 100, 1))",
         "contract_type": "CAST(contract_type AS VARCHAR)",
         "monthly_charges": "printf('$%.2f', CAST(monthly_charges AS DOUBLE))",
         "tenure_months": "CAST(tenure_months AS VARCHAR)",
@@ -1297,7 +1297,7 @@ def _a7_sql() -> str:
     facts = """
 , fx AS (SELECT count(*) FILTER (WHERE prediction_label = 'high_risk') AS high_count,
                 count(*) FILTER (WHERE prediction_label = 'low_risk') AS low_count,
-                round(round(avg(CASE WHEN prediction_label = 'high_risk' THEN predicted_probability END), 3) * 100, 1) AS avg_prob,
+                round_even(round(avg(CASE WHEN prediction_label = 'high_risk' THEN predicted_probability END), 3) * 100, 1) AS avg_prob,
                 count(*) FILTER (WHERE prediction_label = 'high_risk' AND coalesce(support_tickets, 0) >= 3) AS ticket_heavy,
                 count(*) FILTER (WHERE prediction_label = 'high_risk' AND coalesce(complaint_count, 0) >= 3) AS complaint_heavy,
                 count(*) FILTER (WHERE prediction_label = 'high_risk' AND coalesce(customer_satisfaction_score, 0) <= 2) AS low_satisfaction,
