@@ -276,7 +276,10 @@ def campaign_roi(scored: DataFrame, threshold: float = 0.6, discount: float = 0.
     roi = F.when(F.col("cost") > 0, F.col("net") / F.col("cost") * 100).otherwise(F.lit(0.0))
     # the colour band is decided on the unrounded ROI
     band = F.when(roi >= 20, "success").when(roi >= 0, "warning").otherwise("danger")
-    return out.select(*[F.round(c, 2).alias(c) if c != "targeted" else F.col(c) for c in out.columns],
+    # revenue is a sum of cents; cost/gross/net are products with 2-dp parameters, exact at 4 dp (so no
+    # rounding tie can depend on summation order)
+    return out.select("targeted", F.round("revenue", 2).alias("revenue"),
+                      *[F.round(c, 4).alias(c) for c in ("cost", "gross", "net")],
                       F.round(roi, 2).alias("roi_pct"), band.alias("band"))
 
 
@@ -351,3 +354,29 @@ def ab_outcomes(ab: DataFrame) -> DataFrame:
         F.round("actual_churn_rate", 4).alias("actual_churn_rate"), "sample_size",
         (F.col("actual_churn_rate") < F.col("predicted_churn_rate")).alias("won"),
         F.round(F.col("predicted_churn_rate") - F.col("actual_churn_rate"), 4).alias("lift"))
+
+
+def campaign_roi_sweep(scored: DataFrame, thresholds: list[float], discounts: list[float], successes: list[float],
+                       rate: float = 1.0) -> DataFrame:
+    """A17 over a parameter grid in one scan: a targeted count and revenue per threshold (conditional
+    sums in one aggregation), then the discount × success grid expanded from literals on that single
+    row — no join with the grid, so nothing is multiplied by the data."""
+    p = F.nanvl(F.coalesce(F.col(P).cast("double"), F.lit(0.0)), F.lit(0.0))
+    charge = charge_or_100(scored)
+    aggs = []
+    for i, t in enumerate(thresholds):
+        hit = p >= F.lit(float(t))
+        aggs += [F.count_if(hit).alias(f"n{i}"), F.coalesce(F.sum(F.when(hit, charge)), F.lit(0.0)).alias(f"r{i}")]
+    agg = scored.agg(*aggs)
+    grid = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(float(dd)).alias("discount"),
+                              F.lit(float(ss)).alias("success"), F.col(f"n{i}").alias("targeted"),
+                              F.col(f"r{i}").alias("revenue"))
+                     for i, t in enumerate(thresholds) for dd in discounts for ss in successes])
+    g = agg.select(F.inline(grid))
+    cost = F.col("revenue") * F.col("discount") * F.lit(float(rate))
+    gross = F.col("revenue") * F.col("success") * F.lit(float(rate))
+    roi = F.when(cost > 0, (gross - cost) / cost * 100).otherwise(F.lit(0.0))
+    return g.select("threshold", "discount", "success", "targeted", F.round("revenue", 2).alias("revenue"),
+                    F.round(cost, 4).alias("cost"), F.round(gross, 4).alias("gross"), F.round(gross - cost, 4).alias("net"),
+                    F.round(roi, 2).alias("roi_pct"),
+                    F.when(roi >= 20, "success").when(roi >= 0, "warning").otherwise("danger").alias("band"))

@@ -232,7 +232,7 @@ ROI_PARAMS = dict(threshold=0.5, discount=0.15, success=0.3)
 
 
 @register("campaign_roi", q(f"""
-SELECT targeted, round(rev, 2) AS revenue, round(cost, 2) AS cost, round(gross, 2) AS gross, round(gross - cost, 2) AS net,
+SELECT targeted, round(rev, 2) AS revenue, round(cost, 4) AS cost, round(gross, 4) AS gross, round(gross - cost, 4) AS net,
        round(CASE WHEN cost > 0 THEN (gross - cost) / cost * 100 ELSE 0.0 END, 2) AS roi_pct,
        CASE WHEN CASE WHEN cost > 0 THEN (gross - cost) / cost * 100 ELSE 0.0 END >= 20 THEN 'success'
             WHEN CASE WHEN cost > 0 THEN (gross - cost) / cost * 100 ELSE 0.0 END >= 0 THEN 'warning'
@@ -244,6 +244,39 @@ def _campaign_roi(spark, sf_dir):
     return A.campaign_roi(W(spark, sf_dir).active_scored(), **ROI_PARAMS)
 
 
+SWEEP = dict(thresholds=[0.3, 0.5, 0.6, 0.8], discounts=[0.1, 0.2], successes=[0.25, 0.5])
+
+
+def _sweep_sql() -> str:
+    grid = " UNION ALL ".join(f"SELECT {d(t)} AS threshold, {d(x)} AS discount, {d(y)} AS success"
+                              for t in SWEEP["thresholds"] for x in SWEEP["discounts"] for y in SWEEP["successes"])
+    return q(f"""
+, grid AS ({grid}),
+agg AS (SELECT g.threshold, g.discount, g.success,
+               count(s.customer_id) AS targeted,
+               coalesce(sum(coalesce(s.monthly_charges, {d(100)})), 0.0) AS revenue
+        FROM grid g LEFT JOIN scored s ON coalesce(s.predicted_probability, 0.0) >= g.threshold
+        GROUP BY g.threshold, g.discount, g.success)
+SELECT threshold, discount, success, targeted, round(revenue, 2) AS revenue,
+       round(revenue * discount * {d(1.0)}, 4) AS cost, round(revenue * success * {d(1.0)}, 4) AS gross,
+       round(revenue * success * {d(1.0)} - revenue * discount * {d(1.0)}, 4) AS net,
+       round(CASE WHEN revenue * discount * {d(1.0)} > 0
+                  THEN (revenue * success * {d(1.0)} - revenue * discount * {d(1.0)}) / (revenue * discount * {d(1.0)}) * 100
+                  ELSE 0.0 END, 2) AS roi_pct,
+       CASE WHEN (CASE WHEN revenue * discount * {d(1.0)} > 0
+                  THEN (revenue * success * {d(1.0)} - revenue * discount * {d(1.0)}) / (revenue * discount * {d(1.0)}) * 100
+                  ELSE 0.0 END) >= 20 THEN 'success'
+            WHEN (CASE WHEN revenue * discount * {d(1.0)} > 0
+                  THEN (revenue * success * {d(1.0)} - revenue * discount * {d(1.0)}) / (revenue * discount * {d(1.0)}) * 100
+                  ELSE 0.0 END) >= 0 THEN 'warning' ELSE 'danger' END AS band
+FROM agg""")
+
+
+@register("campaign_roi_sweep", _sweep_sql())
+def _campaign_roi_sweep(spark, sf_dir):
+    return A.campaign_roi_sweep(W(spark, sf_dir).active_scored(), **SWEEP)
+
+
 @register("exposure_tips", q(f"""
 SELECT high_risk, round(at_risk, 2) AS charges_at_risk, ticket_heavy,
        CASE WHEN high_risk > 0 THEN round(a * 100, 1) ELSE 0.0 END AS avg_high_prob_pct, low_satisfaction,
