@@ -146,3 +146,29 @@ def title_case(c: Column) -> Column:
 def underscore_title(c: Column) -> Column:
     """``value.replace('_', ' ').title()`` used for display names."""
     return title_case(F.regexp_replace(c, "_", " "))
+
+
+# ------------------------------------------------------------------ wall-clock time <-> instant
+
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_to_instant(c: Column) -> Column:
+    """A TIMESTAMP_NTZ (wall clock) read as a UTC instant, whatever the session time zone.
+
+    Watermarks and event-time windows need TIMESTAMP; a plain cast would go through the session zone
+    (shifting wall-clock times inside a DST gap and aligning windows to that zone). Interval arithmetic
+    on NTZ values never consults a zone.
+    """
+    iv = c - F.expr(_EPOCH_NTZ)
+    micros = (F.extract(F.lit("DAY"), iv).cast("bigint") * F.lit(86_400_000_000)
+              + F.extract(F.lit("HOUR"), iv).cast("bigint") * F.lit(3_600_000_000)
+              + F.extract(F.lit("MINUTE"), iv).cast("bigint") * F.lit(60_000_000)
+              + (F.extract(F.lit("SECOND"), iv) * F.lit(1_000_000)).cast("bigint"))
+    return F.timestamp_micros(micros)
+
+
+def instant_to_ntz(c: Column) -> Column:
+    """Inverse of :func:`ntz_to_instant`."""
+    secs = F.unix_micros(c).cast("decimal(18,0)") / F.lit(1_000_000)
+    return F.expr(_EPOCH_NTZ) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)

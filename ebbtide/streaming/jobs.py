@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ebbtide.config import DEFAULT_CONFIG, RetentionConfig
+from ebbtide.functions.scalars import instant_to_ntz, ntz_to_instant
 from ebbtide.operators import campaigns as C
 from ebbtide.operators import ingest as I
 from ebbtide.session import broadcast_if_small
@@ -82,13 +83,13 @@ def engagement_stream(events: DataFrame, watermark: str = "7 days") -> DataFrame
                           for x in (F.lit(k), F.lit(v))])
     ev = (events.where(F.col("event_type").isin("signup", "view", "click", "error"))
           .select("event_id", F.col("user_id").cast("string").alias("tracking_token"),
-                  F.element_at(kind, F.col("event_type")).alias("kind"),
-                  # watermarks need TIMESTAMP; the round trip NTZ -> TIMESTAMP -> NTZ is exact
-                  F.col("ts").cast("timestamp").alias("ts"))
-          .withWatermark("ts", watermark)
+                  F.element_at(kind, F.col("event_type")).alias("kind"), "ts",
+                  # watermarks need TIMESTAMP: the wall-clock time read as UTC, independent of the session zone
+                  ntz_to_instant(F.col("ts")).alias("_event_time"))
+          .withWatermark("_event_time", watermark)
           .dropDuplicatesWithinWatermark(["event_id"]))
     k = F.col("kind")
-    ts = F.col("ts").cast("timestamp_ntz")
+    ts = F.col("ts")
     return ev.groupBy("tracking_token").agg(
         F.max(k == "sent").alias("sent"), F.max(k == "bounce").alias("bounced"),
         F.min(F.when(k == "sent", ts)).alias("sent_at"),
@@ -121,11 +122,11 @@ def stream_trend(spark: SparkSession, history_dir: str, schema, state_root: str,
                  ts_col: str = "recorded_ts", p_col: str = "predicted_probability") -> None:
     """Tumbling-window average probability; rows later than the watermark are dropped."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(history_dir)
-    agg = (src.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
-           .groupBy(F.window(ts_col, width).alias("w"))
+    agg = (src.withColumn("_event_time", ntz_to_instant(F.col(ts_col))).withWatermark("_event_time", watermark)
+           .groupBy(F.window("_event_time", width).alias("w"))
            .agg(F.sum(p_col).alias("p_sum"), F.count(F.lit(1)).alias("n")))
-    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "p_sum", "n")
+    out = agg.select(instant_to_ntz(F.col("w.start")).alias("window_start"),
+                     instant_to_ntz(F.col("w.end")).alias("window_end"), "p_sum", "n")
     _run(out.writeStream.outputMode("update").foreachBatch(lambda b, i: write_batch(b, state_root, i)), checkpoint)
 
 

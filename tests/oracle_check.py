@@ -48,6 +48,11 @@ def main(argv):
         names = [a for a in names if a != "--plain"]
     else:
         spark = build_session()
+    for a in list(argv):
+        if a.startswith("--tz="):
+            spark.conf.set("spark.sql.session.timeZone", a.split("=", 1)[1])
+            argv.remove(a)
+            names = [n for n in names if n != a]
     con = duckdb.connect()
     for t in ("region nation customer supplier part orders lineitem events documents embeddings pages "
               "benchmark labels conversations").split():

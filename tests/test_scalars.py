@@ -70,3 +70,18 @@ def test_risk_label_nan_is_low(spark):
     df = spark.createDataFrame([(float("nan"),), (0.6,), (0.59,)], "p double")
     got = [r.l for r in df.select(S.risk_label(F.col("p")).alias("l")).collect()]
     assert got == ["low_risk", "high_risk", "low_risk"]
+
+
+def test_wall_clock_round_trip_any_zone(spark):
+    import datetime as dt
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        vals = [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 11, 3, 1, 30), dt.datetime(2024, 1, 5, 23, 15, 0, 123456)]
+        df = spark.createDataFrame([(v,) for v in vals], "t timestamp_ntz")
+        rows = df.select(S.instant_to_ntz(S.ntz_to_instant(F.col("t"))).alias("b"),
+                         S.instant_to_ntz(F.window(S.ntz_to_instant(F.col("t")), "1 day").start).alias("d")).collect()
+        assert [r.b for r in rows] == vals
+        assert [r.d for r in rows] == [dt.datetime(v.year, v.month, v.day) for v in vals]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
