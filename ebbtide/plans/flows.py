@@ -71,8 +71,9 @@ def upload(spark: SparkSession, path: str, fmt: str, filename: str | None = None
     if model is None:
         preds = S.merge_predictions(old, old, customers, sources)
     else:
-        scored = model.score(customers.join(sources.where("is_active = 1").select("source_id"), "source_id", "left_semi"), cfg)
-        stats = M.driver_stats(scored, model.features)
+        active = customers.join(sources.where("is_active = 1").select("source_id"), "source_id", "left_semi")
+        scored = model.score(active, cfg)
+        stats = M.driver_stats(active, model.features)
         new = scored.select("customer_id", "predicted_probability", "prediction_label",
                             M.risk_drivers(scored, stats, None).alias("risk_drivers"), "ci_lower", "ci_upper")
         preds = S.merge_predictions(old, new, customers, sources)

@@ -973,7 +973,8 @@ def _scored_by_model(spark, sf_dir, sources=None):
     model = trained_model(spark, sf_dir, sources)
     active = J.active_only(w.customers, src)
     scored = model.score(active)
-    stats = M.driver_stats(scored, model.features)
+    # driver statistics need only the raw features: read them from the input, not the scored batch
+    stats = M.driver_stats(active, model.features)
     return scored.withColumn("risk_drivers", M.risk_drivers(scored, stats, None))
 
 
