@@ -145,7 +145,7 @@ def engagement_state(agg: DataFrame) -> DataFrame:
               & (F.col("first_click").isNull() | (F.col("first_open") < F.col("first_click"))))
     status = (F.when(F.col("clicks") > 0, "clicked").when(opened, "opened").when(F.col("sent"), "sent")
               .when(F.col("bounced"), "failed").otherwise("queued"))
-    extra = ["first_ts"] if "first_ts" in agg.columns else []
+    extra = [c for c in ("first_ts", "period_start") if c in agg.columns]
     return agg.select("tracking_token", "sent", "bounced", opened.alias("opened"),
                       F.when(opened, F.col("first_open")).alias("opened_at"), "clicks", "clicked_at",
                       status.alias("status"), *extra)

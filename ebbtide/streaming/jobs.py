@@ -77,8 +77,13 @@ def imported_table(spark: SparkSession, table_root: str) -> DataFrame:
 ENGAGEMENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def engagement_stream(events: DataFrame, watermark: str = "7 days") -> DataFrame:
-    """The stateful part of T2: dedup by event id within the watermark, then per-token min/max/count."""
+def engagement_stream(events: DataFrame, watermark: str = "7 days", period: str | None = None) -> DataFrame:
+    """The stateful part of T2: dedup by event id within the watermark, then per-token min/max/count.
+
+    With ``period`` (e.g. ``"30 days"``, a campaign's lifetime) the key is (period window, token): once
+    the watermark passes a period's end Spark drops its state, so state stays bounded however many
+    tokens a year of campaigns produces. Without it, state is kept per token for good.
+    """
     kind = F.create_map(*[x for k, v in {"signup": "sent", "view": "open", "click": "click", "error": "bounce"}.items()
                           for x in (F.lit(k), F.lit(v))])
     ev = (events.where(F.col("event_type").isin("signup", "view", "click", "error"))
@@ -90,7 +95,10 @@ def engagement_stream(events: DataFrame, watermark: str = "7 days") -> DataFrame
           .dropDuplicatesWithinWatermark(["event_id"]))
     k = F.col("kind")
     ts = F.col("ts")
-    return ev.groupBy("tracking_token").agg(
+    keys = [F.col("tracking_token")]
+    if period is not None:
+        keys = [F.window("_event_time", period).alias("period")] + keys
+    agg = ev.groupBy(*keys).agg(
         F.max(k == "sent").alias("sent"), F.max(k == "bounce").alias("bounced"),
         F.min(F.when(k == "sent", ts)).alias("sent_at"),
         F.min(F.when(k == "open", ts)).alias("first_open"),
@@ -98,21 +106,27 @@ def engagement_stream(events: DataFrame, watermark: str = "7 days") -> DataFrame
         F.max(F.when(k == "click", ts)).alias("clicked_at"),
         F.count_if(k == "click").alias("clicks"),
         F.min(ts).alias("first_ts"))
+    if period is not None:
+        agg = agg.withColumn("period_start", instant_to_ntz(F.col("period.start"))).drop("period")
+    return agg
 
 
 def stream_engagement(spark: SparkSession, events_dir: str, state_root: str, checkpoint: str,
-                      watermark: str = "7 days", files_per_batch: int = 1, glob: str | None = None) -> None:
+                      watermark: str = "7 days", files_per_batch: int = 1, glob: str | None = None,
+                      period: str | None = None) -> None:
     """The open/click fold as a streaming aggregation in update mode; updated token rows of each
     micro-batch go to an idempotent batch folder."""
     r = spark.readStream.schema(ENGAGEMENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    agg = engagement_stream(r.parquet(events_dir), watermark)
+    agg = engagement_stream(r.parquet(events_dir), watermark, period)
     _run(agg.writeStream.outputMode("update").foreachBatch(lambda b, i: write_batch(b, state_root, i)), checkpoint)
 
 
 def engagement_from_state(spark: SparkSession, state_root: str) -> DataFrame:
-    return C.engagement_state(latest_per_key(read_batches(spark, state_root), ["tracking_token"]))
+    log = read_batches(spark, state_root)
+    keys = ["tracking_token"] + (["period_start"] if "period_start" in log.columns else [])
+    return C.engagement_state(latest_per_key(log, keys))
 
 
 # ------------------------------------------------------------------ T3: risk trend

@@ -61,3 +61,30 @@ def test_stream_import_append_then_upsert(spark):
     T.stream_import(spark, src, sch, root, ck)
     got = {r.customer_id: (r.tenure_months, r.support_tickets) for r in T.imported_table(spark, root).collect()}
     assert got == {"a": (1.0, 0.0), "b": (8.0, 6.0), "c": (3.0, 1.0)}
+
+
+def test_engagement_stream_with_campaign_periods_equals_batch(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, t + dt.timedelta(hours=7 * i), i % 5, ["signup", "view", "click", "error"][i % 4], 1.0, "{}")
+            for i in range(80)]
+    ev = spark.createDataFrame(rows, T.ENGAGEMENT_SCHEMA)
+    src = scratch_path(spark, "test-t2p-src")
+    ev.orderBy("ts").coalesce(1).write.parquet(src)
+    root, ck = scratch_path(spark, "test-t2p-state"), scratch_path(spark, "test-t2p-ck")
+    T.stream_engagement(spark, src, root, ck, watermark="1 day", period="7 days")
+    stream = {(r.tracking_token, r.period_start): (r.opened, r.clicks, r.status)
+              for r in T.engagement_from_state(spark, root).collect()}
+    # batch twin: the same fold per (7-day period, token)
+    kind = F.create_map(*[F.lit(x) for kv in {"signup": "sent", "view": "open", "click": "click", "error": "bounce"}.items()
+                          for x in kv])
+    b = ev.select(F.col("user_id").cast("string").alias("tracking_token"),
+                  F.element_at(kind, F.col("event_type")).alias("kind"), "ts",
+                  F.window(F.col("ts").cast("timestamp"), "7 days").start.cast("timestamp_ntz").alias("period_start"))
+    k = F.col("kind")
+    agg = b.groupBy("period_start", "tracking_token").agg(
+        F.max(k == "sent").alias("sent"), F.max(k == "bounce").alias("bounced"),
+        F.min(F.when(k == "sent", F.col("ts"))).alias("sent_at"), F.min(F.when(k == "open", F.col("ts"))).alias("first_open"),
+        F.min(F.when(k == "click", F.col("ts"))).alias("first_click"), F.max(F.when(k == "click", F.col("ts"))).alias("clicked_at"),
+        F.count_if(k == "click").alias("clicks"))
+    batch = {(r.tracking_token, r.period_start): (r.opened, r.clicks, r.status) for r in C.engagement_state(agg).collect()}
+    assert stream == batch and len({p for _, p in stream}) > 1
