@@ -106,9 +106,9 @@ def _hit(low, pattern: str):
     return m if guard is None else (guard & m)
 
 
-def payload_reason(text) -> F.Column:
-    """The block reason for one text value, or NULL."""
-    low = F.lower(text)
+def payload_reason(text, lowered: bool = False) -> F.Column:
+    """The block reason for one text value, or NULL (``lowered``: the text is already lower-cased)."""
+    low = text if lowered else F.lower(text)
     sqli = None
     for p in SQLI_PATTERNS:
         sqli = _hit(low, p) if sqli is None else (sqli | _hit(low, p))
@@ -120,9 +120,15 @@ def payload_reason(text) -> F.Column:
 
 def payload_scan(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     """Flag rows where any of ``cols`` matches; the first column (in order) that matches decides."""
-    reasons = [payload_reason(F.col(c)) for c in cols]
+    # lower-case each text once; the guarded pattern tests below are conditional branches, which
+    # Spark's common-subexpression elimination would not share
+    low = df.select(key, *[F.lower(F.col(c)).alias(f"_low{i}") for i, c in enumerate(cols)])
+    reasons = [payload_reason(F.col(f"_low{i}"), lowered=True) for i in range(len(cols))]
     reason = F.coalesce(*reasons) if len(reasons) > 1 else reasons[0]
-    return df.select(key, reason.alias("reason")).where(F.col("reason").isNotNull())
+    # emit matches through a generator (a 0- or 1-element array): a plain `where(reason IS NOT NULL)`
+    # would be pushed below the projection and evaluate every pattern twice per row
+    hit = F.filter(F.array(F.struct(F.col(key).alias("k"), reason.alias("reason"))), lambda x: x["reason"].isNotNull())
+    return low.select(F.inline(hit)).withColumnRenamed("k", key)
 
 
 def file_search(spark: SparkSession, root: str, query: str) -> DataFrame:
