@@ -254,8 +254,9 @@ def retention_drilldown(scored: DataFrame, selectors: list[str], cfg: RetentionC
     churn = is_high(cfg) | _churned_eq1(scored)
     agg = (scored.select(F.explode(tags).alias("selector"), churn.alias("_c"))
            .groupBy("selector").agg(F.count(F.lit(1)).alias("total"), F.count_if("_c").alias("high_risk_count")))
-    wanted = scored.sparkSession.createDataFrame([(s,) for s in selectors], "selector string")
-    j = wanted.join(agg, "selector", "left")
+    # the requested selectors are a driver-side list: their size is known, so broadcasting them is safe
+    wanted = F.broadcast(scored.sparkSession.createDataFrame([(s,) for s in selectors], "selector string"))
+    j = agg.join(wanted, "selector", "right")
     total = F.coalesce(F.col("total"), F.lit(0)).cast("bigint")
     hr = F.coalesce(F.col("high_risk_count"), F.lit(0)).cast("bigint")
     curve = [F.when(total > 0, c).otherwise(F.lit(e).cast("bigint")).alias(n)
