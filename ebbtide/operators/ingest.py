@@ -157,7 +157,8 @@ def map_aliases(df: DataFrame, cfg: RetentionConfig = DEFAULT_CONFIG) -> DataFra
             continue
         cand = next((a for a in _aliases(cfg).get(col, []) if a in present), None)
         if cand is not None:
-            adds.append(F.col(cand).alias(col))
+            # by position: names that differ only in case stay unambiguous whatever spark.sql.caseSensitive says
+            adds.append(df[df.columns.index(cand)].alias(col) if cand in df.columns else F.col(cand).alias(col))
             present.add(col)
     return df.select("*", *adds) if adds else df
 

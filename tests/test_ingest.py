@@ -97,3 +97,13 @@ def test_csv_bom_json_and_empty(spark):
 def test_infer_target_by_values(spark):
     df = spark.createDataFrame([("x", "yes"), ("y", "no")], "name string, answer string")
     assert I.infer_target(df, exclude=("customer_id",)) == "answer"
+
+
+def test_mixed_case_names(spark):
+    # id detection ignores case; the alias map is exact (a "Tenure" column is not an alias of tenure_months)
+    df = spark.createDataFrame([("x", 5, 3)], "CustomerID string, Tenure long, support_calls long")
+    out, found = I.standardise_id(df)
+    assert found and "customer_id" in out.columns
+    norm = I.normalise_churn(out)
+    r = norm.first()
+    assert r.tenure_months is None and r.support_tickets == 3.0
