@@ -252,13 +252,17 @@ def retention_drilldown(scored: DataFrame, selectors: list[str], cfg: RetentionC
     tags = F.array(F.lit("all"), F.concat(F.lit("contract_"), _cohort_contract(scored)),
                    F.when(tickets >= 3, F.lit("support_high")).otherwise(F.lit("support_low")))
     churn = is_high(cfg) | _churned_eq1(scored)
-    agg = (scored.select(F.explode(tags).alias("selector"), churn.alias("_c"))
-           .groupBy("selector").agg(F.count(F.lit(1)).alias("total"), F.count_if("_c").alias("high_risk_count")))
-    # the requested selectors are a driver-side list: their size is known, so broadcasting them is safe
-    wanted = F.broadcast(scored.sparkSession.createDataFrame([(s,) for s in selectors], "selector string"))
-    j = agg.join(wanted, "selector", "right")
-    total = F.coalesce(F.col("total"), F.lit(0)).cast("bigint")
-    hr = F.coalesce(F.col("high_risk_count"), F.lit(0)).cast("bigint")
+    # only the requested tags are counted; zero rows for every requested selector make empty selections
+    # appear without a join against the (driver-side) selector list
+    counted = (scored.select(F.explode(tags).alias("selector"), churn.alias("_c"))
+               .where(F.col("selector").isin(*selectors))
+               .groupBy("selector").agg(F.count(F.lit(1)).alias("total"), F.count_if("_c").alias("high_risk_count")))
+    zeros = scored.sparkSession.createDataFrame([(x, 0, 0) for x in selectors],
+                                                "selector string, total bigint, high_risk_count bigint")
+    j = (counted.unionByName(zeros).groupBy("selector")
+         .agg(F.sum("total").alias("total"), F.sum("high_risk_count").alias("high_risk_count")))
+    total = F.col("total").cast("bigint")
+    hr = F.col("high_risk_count").cast("bigint")
     curve = [F.when(total > 0, c).otherwise(F.lit(e).cast("bigint")).alias(n)
              for (n, c), e in zip(_curve_terms(total, hr), EMPTY_CURVE)]
     return j.select("selector", total.alias("total"), hr.alias("high_risk_count"), *curve)
