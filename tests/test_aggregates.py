@@ -78,3 +78,13 @@ def test_delete_source_cascades(spark):
     assert [r.customer_id for r in p2.collect()] == ["b"]
     assert [r.customer_id for r in c2.collect()] == ["b"]
     assert [r.source_id for r in s2.collect()] == ["s2"]
+
+
+def test_roi_sweep_point_equals_single_simulation(spark):
+    rows = [(f"c{i}", i / 20.0, "high_risk" if i >= 12 else "low_risk", None, 1, (None if i % 4 == 0 else 10.0 * i), 0, 5.0, 0,
+             None, None, None) for i in range(20)]
+    df = scored(spark, rows)
+    one = A.campaign_roi(df, threshold=0.5, discount=0.15, success=0.3).first().asDict()
+    sweep = A.campaign_roi_sweep(df, [0.5], [0.15], [0.3]).first().asDict()
+    for k in ("targeted", "revenue", "cost", "gross", "net", "roi_pct", "band"):
+        assert one[k] == sweep[k], k
