@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -32,25 +31,26 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for derived tables and checkpoints.
+    """The shared folder for derived tables and checkpoints, as the URI or path the session names.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; only when it is unset
-    (tests, local runs) a private folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when it is set. A private folder is created only on a ``local[...]``
+    master, where driver and executors are one process; a cluster without a shared folder is an error,
+    since executors could not read what another machine wrote.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="ebbtide-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    return root
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared checkpoint folder."""
-    return os.path.join(checkpoint_root(spark), "ebbtide", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path (same scheme as the shared folder) below the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/ebbtide/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
