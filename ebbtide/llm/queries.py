@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import bitpack, packing
+from ebbtide.llm import bitpack, decontaminate, packing, pii
 from ebbtide.llm.store import parquet
 
 
+def op2_pii(spark, sf_dir):
+    return pii.digest(parquet(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.packed_digest(parquet(spark, sf_dir, "documents"))
 
@@ -14,5 +18,9 @@ def op8_token_files(spark, sf_dir):
     return bitpack.token_files(parquet(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_packing, op8_token_files)}
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op7_packing, op8_token_files, op9_decontamination)}
 SQL: dict[str, str] = {}
