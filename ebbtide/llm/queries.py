@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import bitpack, decontaminate, packing, pii
+from ebbtide.llm import bitpack, decontaminate, langid, packing, pii
 from ebbtide.llm.store import parquet
 
 
@@ -10,6 +10,10 @@ def op2_pii(spark, sf_dir):
     return pii.digest(parquet(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark, sf_dir):
+    return langid.predictions(parquet(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.packed_digest(parquet(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op9_decontamination(spark, sf_dir):
     return decontaminate.contaminated(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op7_packing, op8_token_files, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_langid, op7_packing, op8_token_files, op9_decontamination)}
 SQL: dict[str, str] = {}
