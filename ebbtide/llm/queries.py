@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import bitpack, decontaminate, langid, packing, pii
+from ebbtide.llm import bitpack, decontaminate, langid, packing, pii, warc
 from ebbtide.llm.store import parquet
 
 
+def op1_warc(spark, sf_dir):
+    return warc.round_trip(parquet(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark, sf_dir):
     return pii.digest(parquet(spark, sf_dir, "documents"))
 
@@ -26,5 +30,14 @@ def op9_decontamination(spark, sf_dir):
     return decontaminate.contaminated(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_langid, op7_packing, op8_token_files, op9_decontamination)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op7_packing, op8_token_files, op9_decontamination)}
+SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                          sha256(coalesce(html, '')) AS payload_digest FROM pages),
+             f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+        FROM p JOIN f USING (payload_digest)""",
+}
