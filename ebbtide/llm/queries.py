@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import bitpack, decontaminate, langid, packing, pii, warc
+from ebbtide.llm import bitpack, decontaminate, langid, packing, pii, quality, warc
 from ebbtide.llm.store import parquet
 
 
@@ -18,6 +18,10 @@ def op3_langid(spark, sf_dir):
     return langid.predictions(parquet(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark, sf_dir):
+    return quality.verdicts(parquet(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.packed_digest(parquet(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op9_decontamination(spark, sf_dir):
     return decontaminate.contaminated(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op7_packing, op8_token_files, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op6_quality, op7_packing, op8_token_files, op9_decontamination)}
 SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
