@@ -1,9 +1,10 @@
 """Quality by weak supervision (operator 6), in DataFrame functions only.
 
 Each rule looks at a document's counts and votes for (1) or against (-1) it, or abstains (0). How far each
-rule can be trusted is estimated without labels: expectation-maximisation over the table of vote patterns (at
-most 3 ** rules rows whatever the corpus) finds the share of good documents and every rule's accuracy under
-which the observed agreement is likeliest. A document's verdict is its posterior probability of being good.
+vote can be trusted is estimated without labels: expectation-maximisation over the table of vote patterns (at
+most 3 ** rules rows whatever the corpus) finds the share of good documents, and how often good and bad ones
+draw each vote, under which the observed votes are likeliest. A document's verdict is its posterior
+probability of being good.
 
 Counts are taken over whole texts. Words are runs of anything but ASCII white space; a word counts as
 repeated if it lies in a window of five words that the text holds twice or more (windows are compared by a
@@ -24,9 +25,11 @@ from ebbtide.llm.store import stored
 
 WINDOW = 5
 EM_ROUNDS = 15
-ACCURACY_RANGE = (0.55, 0.98)  # a rule is taken to be better than chance, and never certain
 PRIOR_RANGE = (0.05, 0.95)
-START_ACCURACY, START_PRIOR = 0.8, 0.8
+START_PRIOR = 0.8
+START_FAULTS = (0.005, 0.2)  # first guess: a rule's share of -1 among its votes on good and on bad documents
+MAX_FAULTS_OF_GOOD, MIN_FAULTS_OF_BAD = 0.01, 0.05  # what makes the two classes good and bad ones
+SMOOTHING = 0.005  # weight of the first guess in every round, as a share of all documents
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -78,63 +81,69 @@ def votes() -> dict[str, Column]:
     def share(count: str, of: Column, good: float, bad: float) -> Column:
         return vote(F.col(count) <= of * good, F.col(count) > of * bad)
 
+    def where(enough: Column, then: Column) -> Column:
+        return F.when(enough, then).otherwise(F.lit(0).cast("tinyint"))
+
     return {
-        "vote_length": vote(words >= 40, words < 15),
-        "vote_word_length": vote(mean.between(3, 12), (mean < 2) | (mean > 20)),
+        "vote_words": vote(words >= 50, words < 10),
+        "vote_word_length": where(words >= 10, vote(mean.between(3, 15), (mean < 2) | (mean > 40))),
         "vote_symbols": share("n_symbols", words, 0.05, 0.3),
-        "vote_lines": F.when(F.col("n_lines") < 3, F.lit(0).cast("tinyint")).otherwise(share("n_dup_lines", F.col("n_lines"), 0.1, 0.3)),
-        "vote_repeats": share("n_repeat_words", words, 0.1, 0.2),
-        "vote_digits": share("n_digits", chars, 0.05, 0.3),
-        "vote_capitals": share("n_capitals", chars, 0.15, 0.5),
-        "vote_variety": vote(F.col("n_distinct") >= words * 0.3, F.col("n_distinct") < words * 0.1),
+        "vote_lines": where(F.col("n_lines") >= 4, share("n_dup_lines", F.col("n_lines"), 0.1, 0.5)),
+        "vote_repeats": where(words >= 10, share("n_repeat_words", words, 0.1, 0.2)),
+        "vote_digits": where(chars >= 100, share("n_digits", chars, 0.1, 0.4)),
+        "vote_capitals": where(chars >= 100, share("n_capitals", chars, 0.15, 0.5)),
+        "vote_variety": where(words >= 20, vote(F.col("n_distinct") >= words * 0.3, F.col("n_distinct") < words * 0.05)),
     }
 
 
-def _logit(x: float) -> float:
-    return math.log(x / (1 - x))
+Model = tuple[dict[str, tuple[float, float]], float]  # per rule: share of -1 among its votes on good and on bad ones; prior
 
 
-def posterior(accuracy: dict[str, float], prior: float) -> Column:
-    """Probability that a document is good, given its votes (columns) and the rules' accuracies."""
-    total = F.lit(_logit(prior))
-    for name, a in accuracy.items():
-        total = total + F.col(name) * F.lit(_logit(a))
+def posterior(model: Model) -> Column:
+    """Probability that a document is good, given its votes (columns). An abstention says nothing."""
+    faults, prior = model
+    total = F.lit(math.log(prior / (1 - prior)))
+    for name, (good, bad) in faults.items():
+        total = total + F.when(F.col(name) == -1, math.log(good / bad)).when(F.col(name) == 1, math.log((1 - good) / (1 - bad))).otherwise(0.0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def estimate(voted: DataFrame, names: list[str], rounds: int = EM_ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracy of every rule and the share of good documents, by expectation-maximisation.
+def estimate(voted: DataFrame, names: list[str], rounds: int = EM_ROUNDS) -> Model:
+    """How often each rule faults good and bad documents, and the share of good ones, by
+    expectation-maximisation.
 
     The corpus enters as its vote patterns with their counts; each round is one aggregation over that table
-    and brings back one number per rule.
+    and brings back four numbers per rule.
     """
     patterns = stored(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
-    accuracy, prior = {name: START_ACCURACY for name in names}, START_PRIOR
+    model: Model = {c: START_FAULTS for c in names}, START_PRIOR
     for _ in range(rounds):
-        p = patterns.withColumn("p", posterior(accuracy, prior))
-        good, n = F.col("n") * F.col("p"), F.col("n")
-        sums = [F.sum(F.when(F.col(c) == 1, good).when(F.col(c) == -1, n - good).otherwise(0.0)).alias(f"r_{c}") for c in names]
-        cast = [F.sum(F.when(F.col(c) != 0, n).otherwise(0)).alias(f"c_{c}") for c in names]
-        row = p.agg(F.sum(good).alias("good"), F.sum(n).alias("n"), *sums, *cast).first()
-        if not row["n"]:
+        p = patterns.withColumn("good", F.col("n") * posterior(model)).withColumn("bad", F.col("n") - F.col("good"))
+        sums = [F.sum(F.when(F.col(c) == -1, F.col(k)).otherwise(0.0)).alias(f"{k}_fault_{c}") for c in names for k in ("good", "bad")]
+        cast = [F.sum(F.when(F.col(c) != 0, F.col(k)).otherwise(0.0)).alias(f"{k}_{c}") for c in names for k in ("good", "bad")]
+        row = p.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), *sums, *cast).first()
+        if row["good"] is None:
             break
-        low, high = ACCURACY_RANGE
-        found = {c: min(high, max(low, row[f"r_{c}"] / row[f"c_{c}"])) if row[f"c_{c}"] else START_ACCURACY for c in names}
-        share = min(PRIOR_RANGE[1], max(PRIOR_RANGE[0], row["good"] / row["n"]))
-        moved = max(abs(share - prior), *(abs(found[c] - accuracy[c]) for c in names))
-        accuracy, prior = found, share
+        weight = SMOOTHING * (row["good"] + row["bad"]) + 1e-9  # the first guess counts as so many documents
+        found = {}
+        for c in names:
+            good, bad = ((row[f"{k}_fault_{c}"] + weight * first) / (row[f"{k}_{c}"] + weight) for k, first in zip(("good", "bad"), START_FAULTS))
+            found[c] = min(good, MAX_FAULTS_OF_GOOD), max(bad, MIN_FAULTS_OF_BAD)
+        prior = min(PRIOR_RANGE[1], max(PRIOR_RANGE[0], row["good"] / (row["good"] + row["bad"])))
+        moved = max(abs(found[c][k] - model[0][c][k]) for c in names for k in (0, 1))
+        model = found, prior
         if moved < 1e-4:
             break
-    return accuracy, prior
+    return model
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Counts, votes, base rule, posterior and verdict of every row."""
     rules = votes()
     voted = stored(counts(docs, id_col, text_col).withColumns(rules), "quality-votes")
-    accuracy, prior = estimate(voted, list(rules))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = voted.withColumn("posterior", posterior(accuracy, prior)).withColumn("base_failed", failed)
+    model = estimate(voted.where(~failed), list(rules))  # the base rule has decided on the others
+    scored = voted.withColumn("posterior", posterior(model)).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
