@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import bitpack, decontaminate, langid, minhash, packing, pii, quality, warc
+from ebbtide.llm import bitpack, decontaminate, langid, minhash, packing, pii, quality, suffixes, warc
 from ebbtide.llm.store import parquet
 
 
@@ -22,6 +22,10 @@ def op4_minhash(spark, sf_dir):
     return minhash.near_duplicates(parquet(spark, sf_dir, "documents"))
 
 
+def op5_suffixes(spark, sf_dir):
+    return suffixes.digest(parquet(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark, sf_dir):
     return quality.verdicts(parquet(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_decontamination(spark, sf_dir):
     return decontaminate.contaminated(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op4_minhash, op6_quality, op7_packing, op8_token_files, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op4_minhash, op5_suffixes, op6_quality, op7_packing, op8_token_files, op9_decontamination)}
 SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
