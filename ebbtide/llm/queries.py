@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import bitpack, decontaminate, langid, minhash, packing, pii, quality, suffixes, warc
+from ebbtide.llm import bitpack, decontaminate, langid, minhash, packing, pii, quality, secret_scan, suffixes, warc
 from ebbtide.llm.store import parquet
 
 
@@ -42,7 +42,12 @@ def op9_decontamination(spark, sf_dir):
     return decontaminate.contaminated(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op4_minhash, op5_suffixes, op6_quality, op7_packing, op8_token_files, op9_decontamination)}
+def op10_secrets(spark, sf_dir):
+    return secret_scan.findings(parquet(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op4_minhash, op5_suffixes, op6_quality, op7_packing, op8_token_files, op9_decontamination,
+                                  op10_secrets)}
 SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
