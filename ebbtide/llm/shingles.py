@@ -27,11 +27,11 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
     A text with fewer words has its whole sequence as its one shingle; one without words, or null, has none.
     """
     import xxhash
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = words.flatten().dictionary_encode()
     bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(words), dtype=np.int64))])
     names = flat.dictionary.to_pylist()
-    code = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), _U, len(names))
+    code = np.fromiter((xxhash.xxh64_intdigest(w.encode().lower()) for w in names), _U, len(names))  # of bytes: A-Z only
     empty = np.fromiter((not w for w in names), bool, len(names))
     at = flat.indices.to_numpy(zero_copy_only=False)
     if empty.any():  # splitting leaves empty words at the ends
