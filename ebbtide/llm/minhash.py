@@ -8,10 +8,10 @@ texts. Sketches are cut into bands; documents that agree on a band meet in a buc
 
 Equal sets are one class from the start (a hash of the whole set), so copies never meet as pairs. In a bucket
 the smallest member is compared with all others, on their full sets, and components are drawn from the links
-found. A bucket that still holds members of different components goes on: further members become heads
-(four times as many each round) and are compared with the members outside their component, until no pair of
-the bucket is left that was neither compared nor connected. So no link within a bucket is lost and no
-bucket is capped; a pair at the threshold shares no bucket with probability 3e-7, see ``missed``.
+found. Buckets that still hold members of different components are compared within tasks: their members are
+dealt into blocks of bounded size, two blocks meet in a task, and every pair of different components is
+counted exactly there; only links leave the task. So no link within a bucket is lost, no bucket is capped and
+no list of pairs is made; a pair at the threshold shares no bucket with probability 3e-7, see ``missed``.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and kept; a row with a null
 ``doc_id`` is not linked, its component is null and it is kept; rows that share a ``doc_id`` are judged each
@@ -38,6 +38,7 @@ BANDS, BAND_ROWS = 32, 6
 COORDINATES = BANDS * BAND_ROWS
 MEMBERS_PER_TASK = 256  # members of one head that are compared in one stretch of rows
 BROADCAST_PAIRS = 500_000  # 16 bytes each; more pairs are joined by a shuffle
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 4 << 20  # of a bucket with different components; two blocks meet in a task
 _U = np.uint64
 
 
@@ -134,47 +135,97 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percen
     return texts.mapInArrow(run, "a long, b long")
 
 
+def links_between(rows: list[tuple[int, int, np.ndarray]], sides: list[int], percent: int) -> Iterator[tuple[int, int]]:
+    """Links that connect different components among (doc_id, label, set) rows of one or two sides (0, 1).
+
+    Rows of two sides are compared across, rows of one side with each other. Common shingles are counted for
+    one row against all others at once, through lists of the rows that hold each shingle.
+    """
+    both = len(set(sides)) == 2
+    parent: dict[int, int] = {label: label for _, label, _ in rows}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.array([len(s) for _, _, s in rows])
+    _, local = np.unique(np.concatenate([s for _, _, s in rows]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(local, kind="stable")
+    holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(local))])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    for i in range(len(rows)):
+        if both and sides[i]:
+            continue
+        if len({root(label) for _, label, _ in rows}) == 1:
+            return
+        mine = local[bounds[i]:bounds[i + 1]]
+        held = np.concatenate([holders[starts[x]:starts[x + 1]] for x in mine.tolist()]) if len(mine) else mine
+        common = np.bincount(held, minlength=len(rows))
+        alike = np.flatnonzero(100 * common >= percent * (size + size[i] - common))
+        for j in alike.tolist():
+            if (sides[j] if both else j > i) and root(rows[i][1]) != root(rows[j][1]):
+                parent[root(rows[i][1])] = root(rows[j][1])
+                yield rows[i][0], rows[j][0]
+
+
+def linked_in_buckets(mixed: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between different components within buckets; ``mixed`` has key, rep, n and label."""
+    size = mixed.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = mixed.join(size, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = stored(dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label",
+                                (F.col("own") > F.col("other")).cast("int").alias("side")), "blocks")
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    texts = rows.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_PAIRS else dealt, "rep")
+    texts = texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, sides = None, [], []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if held and (at[1] == at[2] or len(set(sides)) == 2):
+                found = list(links_between(held, sides, percent))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+        for batch in batches:
+            for piece in tokens.slices(batch, "text"):
+                columns = (piece.column(c).to_pylist() for c in ("key", "i", "j", "rep", "label", "side"))
+                for key, i, j, rep, label, side, s in zip(*columns, shingles.shingle_sets(piece.column("text"), SHINGLE_WORDS)):
+                    if (key, i, j) != at:
+                        yield from links()
+                        at, held, sides = (key, i, j), [], []
+                    held.append((rep, label, s))
+                    sides.append(side)
+        yield from links()
+
+    return texts.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = stored(signatures(docs, id_col, text_col), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
     classes = stored(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
     member = classes.select("rep", "n", F.explode("bands").alias("key")).distinct()
-    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    active = stored(member.join(shared, "key"), "buckets")
-    tested = links = comp = None
-    heads_per_bucket = 1
-    while not active.isEmpty():
-        spot = F.pmod(F.xxhash64("rep"), F.lit(heads_per_bucket))
-        labelled = active if comp is None else active.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        labelled = labelled.withColumn("label", F.col("rep") if comp is None else F.coalesce("component", "rep")).select("key", "rep", "n", "label")
-        if comp is not None:  # buckets of one component are finished
-            mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            labelled = labelled.join(mixed, "key")
-        labelled = stored(labelled, "active")
-        head = labelled.groupBy("key", spot.alias("spot")).agg(F.min(F.struct("rep", "n", "label")).alias("h"))
-        head = head.select("key", F.col("h.rep").alias("a"), F.col("h.n").alias("an"), F.col("h.label").alias("al"))
-        near = (F.col("rep") != F.col("a")) & (F.col("label") != F.col("al")) & (100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
-        pairs = labelled.join(head, "key").where(near).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(linked(pairs, docs, id_col, text_col, percent), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comp = components(links)
-        # what is left of a bucket once its heads are done; a single member has no pair left
-        rest = labelled.join(head.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
-        left = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-        active = stored(rest.join(left, "key"), "rest")
-        heads_per_bucket *= 4
-    named = classes.select("f1", "f2", "rep")
-    if comp is not None:
-        named = named.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    else:
-        named = named.withColumnRenamed("rep", "component")
-    known = signed.where("n > 0 and doc_id is not null").join(named, ["f1", "f2"]).select("doc_id", "n", "component")
+    heads = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("h")).where("c > 1")
+    heads = heads.select("key", F.col("h.rep").alias("a"), F.col("h.n").alias("an"))
+    buckets = stored(member.join(heads, "key"), "buckets")
+    near = (F.col("rep") != F.col("a")) & (100 * F.least("n", "an") >= percent * F.greatest("n", "an"))
+    pairs = stored(buckets.where(near).select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links = stored(linked(pairs, docs, id_col, text_col, percent), "links")
+    labelled = buckets.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = stored(labelled.select("key", "rep", "n", "a", F.coalesce("component", "rep").alias("label")), "labelled")
+    # heads are done: what may be left in a bucket are pairs of its other members, if their components differ
+    others = labelled.where("rep <> a")
+    mixed = others.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    found = stored(linked_in_buckets(others.join(mixed, "key").select("key", "rep", "n", "label"), docs, id_col, text_col, percent), "more-links")
+    named = components(links.unionByName(found)).withColumnRenamed("node", "rep")
+    named = classes.select("f1", "f2", "rep").join(named, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    known = usable.join(named, ["f1", "f2"]).select("doc_id", "n", "component")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     rows = known.unionByName(alone)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
