@@ -42,7 +42,8 @@ from ebbtide.session import scratch_path
 
 LENGTH = 50
 GRAM = 28
-CHUNK_WINDOWS = 1 << 21  # windows that one multikey sort works on, beyond one gram's own
+STEP_BYTES = 1 << 20  # bytes whose anchors are sought at once
+CHUNK_WINDOWS = 1 << 20  # windows that one multikey sort works on, beyond one gram's own
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _NULL_RANK = np.iinfo(np.int64).max
@@ -79,7 +80,20 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(values[:len(values) - (width - step)], values[width - step:]) if width > step else values
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = STEP_BYTES) -> tuple[np.ndarray, ...]:
+    """``anchors_of`` over stretches of ``step`` windows, so that memory stays the same for texts of any length.
+    A run of windows that a stretch ends in is given in two parts."""
+    parts = []
+    for a in range(0, max(len(data), 1), step):
+        piece = data[a:a + step + length - 1]
+        lo, hi = np.searchsorted(bounds, [a, a + len(piece)])
+        cut = np.concatenate([[a], bounds[lo:hi], [a + len(piece)]])
+        h, *places = anchors_of(piece, cut - a, length, gram)
+        parts.append((h, *(p + a for p in places)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """For texts one after the other: (gram hash, anchor place, first window, last window) of every run of
     windows that share their anchor. A window's anchor is the least gram in it, the first one of equals."""
     width = length - gram + 1
