@@ -140,7 +140,7 @@ def title_case(c: Column) -> Column:
     low = F.lower(c)
     # Split into runs of letters and non-letters, capitalise each letter run.
     parts = F.regexp_extract_all(low, F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.array_join(F.transform(parts, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 20))), "")
+    return F.array_join(F.transform(parts, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), s.substr(F.lit(2), F.length(s)))), "")
 
 
 def underscore_title(c: Column) -> Column:

@@ -366,7 +366,7 @@ def _high_risk_list(spark, sf_dir):
 
 
 _AUDIT_SQL = """SELECT event_id AS log_id, event_type AS user_role, props AS action,
-       concat('C', lpad(CAST(user_id AS VARCHAR), 9, '0')) AS target_customer, ts AS "timestamp" FROM events"""
+       concat('C', lpad(CAST(user_id AS VARCHAR), CAST(greatest(9, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0')) AS target_customer, ts AS "timestamp" FROM events"""
 
 
 @register("recent_audit", f"""
@@ -377,7 +377,7 @@ def _recent_audit(spark, sf_dir):
 
 _LATEST_ASSIGN_SQL = """
 SELECT customer_id, csm_name, status, notes, last_updated, update_seq FROM (
-  SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS customer_id, o_orderpriority AS csm_name,
+  SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(9, length(CAST(o_custkey AS VARCHAR))) AS INTEGER), '0')) AS customer_id, o_orderpriority AS csm_name,
          o_orderstatus AS status, concat('order ', CAST(o_orderkey AS VARCHAR)) AS notes, o_orderdate AS last_updated,
          o_orderkey AS update_seq,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
@@ -454,11 +454,6 @@ def _payload_conv(spark, sf_dir):
         "_k.conv_id", "_k.turn", "reason")
 
 
-@register("file_search")
-def _file_search(spark, sf_dir):
-    return PR.file_search(spark, sf_dir, "ORDER")
-
-
 @register("risk_band", q("""
 SELECT customer_id, CASE WHEN predicted_probability * 100 >= 65 THEN 'high' WHEN predicted_probability * 100 >= 35
                          THEN 'watch' ELSE 'healthy' END AS risk_band FROM scored"""))
@@ -897,7 +892,7 @@ def _import_upsert(spark, sf_dir):
 
 @register("dedup_keep_first", """
 SELECT customer_id, csm_name, status, last_updated FROM (
-  SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS customer_id, o_orderpriority AS csm_name,
+  SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(9, length(CAST(o_custkey AS VARCHAR))) AS INTEGER), '0')) AS customer_id, o_orderpriority AS csm_name,
          o_orderstatus AS status, o_orderdate AS last_updated,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) t WHERE rn = 1""")
 def _dedup(spark, sf_dir):
@@ -928,7 +923,7 @@ def _sync_feed(spark, sf_dir):
 @register("evolve_schema", q("""
 SELECT count(*) AS customers, count(region) AS with_region, count(csm_name) AS with_csm FROM (
   SELECT customer_id, region, NULL AS csm_name FROM cc
-  UNION ALL SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), 9, '0')), NULL, o_orderpriority FROM orders) t"""))
+  UNION ALL SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(9, length(CAST(o_custkey AS VARCHAR))) AS INTEGER), '0')), NULL, o_orderpriority FROM orders) t"""))
 def _evolve(spark, sf_dir):
     c = W(spark, sf_dir).customers.select("customer_id", "region")
     u = fixtures.assignment_updates(spark, sf_dir).select("customer_id", "csm_name")

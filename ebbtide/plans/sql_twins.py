@@ -38,7 +38,7 @@ l AS (
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey),
 e AS (SELECT user_id, count(*) AS n_use FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
 b AS (
-  SELECT concat('C', lpad(CAST(c_custkey AS VARCHAR), 9, '0')) AS customer_id,
+  SELECT concat('C', lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(9, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0')) AS customer_id,
          concat('src_', lower(c_mktsegment)) AS source_id,
          CAST((c_custkey * 37) % 73 AS BIGINT) AS tenure_months,
          round(tp / CAST(31600 AS DOUBLE), 2) AS monthly_charges,

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.operators.ingest import format_seq_id
 from ebbtide.config import DEFAULT_CONFIG, RetentionConfig
 from ebbtide.functions.scalars import clip01, fixed_band, heuristic_score, risk_label
 from ebbtide.session import broadcast_if_small
@@ -39,7 +40,8 @@ def _ntz(text: str):
 
 
 def customer_id_of(custkey) -> F.Column:
-    return F.concat(F.lit("C"), F.lpad(custkey.cast("string"), 9, "0"))
+    """``C`` and the key, padded to 9 digits and never cut: longer keys stay whole."""
+    return format_seq_id("C", custkey, 9)
 
 
 def order_stats_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:

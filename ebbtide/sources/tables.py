@@ -24,16 +24,18 @@ def _strip_bom(df: DataFrame) -> DataFrame:
 
 
 def read_customers(spark: SparkSession, path: str, fmt: str = "csv", *, json_array: bool = True,
-                   schema=None) -> DataFrame:
+                   schema=None, multi_line: bool = False) -> DataFrame:
     """A customer file of any layout.
 
     CSV: UTF-8, header row, inferred types (give ``schema`` in production to skip the inference
-    pass), a byte-order mark on the first header is stripped. JSON: an array of records
+    pass), a byte-order mark on the first header is stripped, a quote inside a quoted field is doubled;
+    ``multi_line`` reads line breaks inside quotes, at the price that a file is one task. JSON: an array of records
     (``json_array``) or JSON lines. An empty file is rejected.
     """
     fmt = fmt.lower()
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("encoding", "UTF-8")
+        reader = spark.read.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+        reader = reader.option("multiLine", multi_line)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         df = reader.csv(path)
     elif fmt == "json":

@@ -138,12 +138,12 @@ def stream_trend(spark: SparkSession, history_dir: str, schema, state_root: str,
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(history_dir)
     agg = (src.withColumn("_event_time", ntz_to_instant(F.col(ts_col))).withWatermark("_event_time", watermark)
            .groupBy(F.window("_event_time", width).alias("w"))
-           .agg(F.sum(p_col).alias("p_sum"), F.count(F.lit(1)).alias("n")))
+           .agg(F.sum(p_col).alias("p_sum"), F.count(p_col).alias("p_n"), F.count(F.lit(1)).alias("n")))
     out = agg.select(instant_to_ntz(F.col("w.start")).alias("window_start"),
-                     instant_to_ntz(F.col("w.end")).alias("window_end"), "p_sum", "n")
+                     instant_to_ntz(F.col("w.end")).alias("window_end"), "p_sum", "p_n", "n")
     _run(out.writeStream.outputMode("update").foreachBatch(lambda b, i: write_batch(b, state_root, i)), checkpoint)
 
 
 def trend_from_state(spark: SparkSession, state_root: str) -> DataFrame:
     cur = latest_per_key(read_batches(spark, state_root), ["window_start"])
-    return cur.select("window_start", "window_end", (F.col("p_sum") / F.col("n")).alias("probability"), "n")
+    return cur.select("window_start", "window_end", (F.col("p_sum") / F.nullif(F.col("p_n"), F.lit(0))).alias("probability"), "n")

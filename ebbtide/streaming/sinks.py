@@ -26,8 +26,10 @@ def read_batches(spark: SparkSession, root: str, below: int | None = None) -> Da
     from pyspark.errors import AnalysisException
     try:
         df = spark.read.option("basePath", root).parquet(root)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing has been written yet
+            return None
+        raise
     if "batch_id" not in df.columns:
         return None
     return df if below is None else df.where(F.col("batch_id") < below)

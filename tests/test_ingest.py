@@ -107,3 +107,19 @@ def test_mixed_case_names(spark):
     norm = I.normalise_churn(out)
     r = norm.first()
     assert r.tenure_months is None and r.support_tickets == 3.0
+
+
+def test_long_keys_stay_whole(spark):
+    from ebbtide.sources.fixtures import customer_id_of
+    keys = [7, 123456789, 1234567890, 12345678901]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(customer_id_of(F.col("k"))).collect()]
+    assert got == ["C000000007", "C123456789", "C1234567890", "C12345678901"]
+
+
+def test_csv_with_quotes_reads_back(spark, tmp_path):
+    from ebbtide.sources.sinks import write_csv
+    from ebbtide.sources.tables import read_customers
+    rows = [("a", 'said "hi, there" ok'), ("b", "two\nlines")]
+    write_csv(spark.createDataFrame(rows, "id string, note string"), str(tmp_path / "x"))
+    back = read_customers(spark, str(tmp_path / "x"), multi_line=True)
+    assert sorted(map(tuple, back.collect())) == rows

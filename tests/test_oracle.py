@@ -7,7 +7,7 @@ from tests.oracle_check import digest
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
                  "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
-SKIP_SLOW = {"train_and_score", "retrain_after_toggle", "feature_importance", "holdout_metrics", "file_search"}
+SKIP_SLOW = {"train_and_score", "retrain_after_toggle", "feature_importance", "holdout_metrics"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def duck(sf_small):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(__import__("ebbtide.plans.registered", fromlist=["SQL"]).SQL))
 def test_query_matches_sql_twin(spark, sf_small, duck, name):
     if name in SKIP_SLOW:
         pytest.skip("model training is checked at metric level")
@@ -44,6 +44,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_a_twin_or_is_rows_only():
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only <= {"file_search", "train_and_score", "feature_importance", "holdout_metrics", "retrain_after_toggle",
+    from ebbtide.plans.registered import QUERIES, SQL
+    rows_only = set(QUERIES) - set(SQL)
+    assert rows_only <= {"train_and_score", "feature_importance", "holdout_metrics", "retrain_after_toggle",
                          "predict_new_file"}
