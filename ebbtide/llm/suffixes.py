@@ -41,7 +41,7 @@ from ebbtide.llm.store import open_folder, stored, write_file
 from ebbtide.session import scratch_path
 
 LENGTH = 50
-GRAM = 28
+GRAM = 24
 STEP_BYTES = 1 << 20  # bytes whose anchors are sought at once
 CHUNK_WINDOWS = 1 << 20  # windows that one multikey sort works on, beyond one gram's own
 _U = np.uint64
@@ -191,7 +191,7 @@ def _write_groups(docs: DataFrame, folder: str, range_bits: int) -> DataFrame:
     return rows.mapInArrow(run, "range long, task long, hashes binary, marks binary")
 
 
-def _shared_hashes(sent: DataFrame) -> DataFrame:
+def _shared_hashes(sent: DataFrame, ranges: int) -> DataFrame:
     """Step 1, per range: the hashes of each task that other documents have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def _shared_hashes(sent: DataFrame) -> DataFrame:
             shared = np.unique(np.concatenate([flat[1:][flat[1:] == flat[:-1]], *marked]))
             for (task, _, _), e in zip(held, each):
                 mine = e[np.isin(e, shared, assume_unique=True)]
-                if len(mine):
+                if len(mine) or not at:  # range 0 answers every task, so that each one's file is read in the end
                     yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "hashes": pa.array([_packed(mine)], pa.binary())})
 
         for batch in batches:
@@ -217,8 +217,7 @@ def _shared_hashes(sent: DataFrame) -> DataFrame:
         if held:
             yield from answers()
 
-    n = sent.agg(F.max("range")).first()[0]
-    dealt = sent.repartition((n or 0) + 1, "range").sortWithinPartitions("range", "task")
+    dealt = sent.repartition(ranges, "range").sortWithinPartitions("range", "task")
     return dealt.mapInArrow(run, "task long, hashes binary")
 
 
@@ -231,8 +230,8 @@ def _documents(folder: str, task: int) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_suffixes(answers: DataFrame, folder: str) -> DataFrame:
-    """Step 2, per task: the suffixes at shared anchors as (gram, rest, doc, task, row, start) rows: ``gram`` is
-    the hash of the leading gram, ``rest`` the bytes of the windows, begun with the anchor's place in them."""
+    """Step 2, per task: the suffixes at shared anchors as (suffix, doc, task, row, start) rows. A suffix has the
+    bytes from the anchor to the end of its last window, then those before the anchor, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: dict[int, list] = {}
@@ -241,6 +240,8 @@ def _shared_suffixes(answers: DataFrame, folder: str) -> DataFrame:
                 wanted.setdefault(task, []).append(_unpacked(hashes))
         for task, parts in wanted.items():
             shared, row0 = np.sort(np.concatenate(parts)), 0
+            if not len(shared):
+                continue
             for part in _documents(folder, task):
                 data, bounds = _bytes_of(part.column("text"))
                 h, place, first, last = anchors(data, bounds)
@@ -253,14 +254,14 @@ def _shared_suffixes(answers: DataFrame, folder: str) -> DataFrame:
                 raw, size = data.tobytes(), last + LENGTH - first
                 for a in range(0, len(h), 1 << 16):
                     b = slice(a, a + (1 << 16))
-                    rest = [bytes((p - f,)) + raw[f:f + n] for p, f, n in zip(place[b].tolist(), first[b].tolist(), size[b].tolist())]
+                    found = [raw[p:f + n] + raw[f:p] + bytes((p - f,)) for p, f, n in zip(place[b].tolist(), first[b].tolist(), size[b].tolist())]
                     yield pa.RecordBatch.from_pydict({
-                        "gram": pa.array(h[b].view(np.int64)), "rest": pa.array(rest, pa.binary()), "doc": pa.array(ids[doc[b]], pa.int64()),
-                        "task": pa.array(np.full(len(rest), task)), "row": pa.array(doc[b] + row0), "start": pa.array(first[b] - bounds[doc[b]])})
+                        "suffix": pa.array(found, pa.binary()), "doc": pa.array(ids[doc[b]], pa.int64()), "task": pa.array(np.full(len(found), task)),
+                        "row": pa.array(doc[b] + row0), "start": pa.array(first[b] - bounds[doc[b]])})
                 row0 += part.num_rows
 
     n = answers.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return answers.repartition(int(n), "task").mapInArrow(run, "gram long, rest binary, doc long, task long, row long, start long")
+    return answers.repartition(int(n), "task").mapInArrow(run, "suffix binary, doc long, task long, row long, start long")
 
 
 def multikey_groups(data: np.ndarray, at: np.ndarray, first_key: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -295,26 +296,26 @@ class _Bucket:
     def __init__(self):
         self._rows: list[tuple] = []  # different suffixes, and equal ones of the document that keeps them
         self._windows = 0
-        self._gram = self._rest = self._doc = None
+        self._gram = self._suffix = self._doc = None
         self._several = False
         self._mark = 0
 
-    def take(self, gram: int, rest: bytes, doc: int, task: int, row: int, start: int) -> Iterator[tuple]:
-        windows = len(rest) - LENGTH
+    def take(self, suffix: bytes, doc: int, task: int, row: int, start: int) -> Iterator[tuple]:
+        windows, gram = len(suffix) - LENGTH, suffix[:GRAM]
         if gram != self._gram:
             if not self._several:  # a gram with one suffix only needs no comparison
                 for r in self._rows[self._mark:]:
-                    self._windows -= len(r[1]) - LENGTH
+                    self._windows -= len(r[0]) - LENGTH
                 del self._rows[self._mark:]
             if self._windows > CHUNK_WINDOWS:
                 yield from self.compared()
-            self._gram, self._rest, self._several, self._mark = gram, None, False, len(self._rows)
-        if rest == self._rest and doc > self._doc:
+            self._gram, self._suffix, self._several, self._mark = gram, None, False, len(self._rows)
+        if suffix == self._suffix and doc > self._doc:
             yield task, row, start, start + windows - 1 + LENGTH
             return
-        self._several |= self._rest is not None and rest != self._rest
-        self._rest, self._doc = rest, doc
-        self._rows.append((gram, rest, doc, task, row, start))
+        self._several |= self._suffix is not None and suffix != self._suffix
+        self._suffix, self._doc = suffix, doc
+        self._rows.append((suffix, doc, task, row, start))
         self._windows += windows
 
     def compared(self) -> Iterator[tuple]:
@@ -322,16 +323,16 @@ class _Bucket:
         rows, self._rows, self._windows, self._mark = self._rows, [], 0, 0
         if not rows:
             return
-        data = np.frombuffer(b"".join(r[1][1:] for r in rows), np.uint8)
-        size = np.array([len(r[1]) - 1 for r in rows])
+        data = np.frombuffer(b"".join(r[0][-1 - r[0][-1]:-1] + r[0][:-1 - r[0][-1]] for r in rows), np.uint8)
+        size = np.array([len(r[0]) - 1 for r in rows])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         n = size - LENGTH + 1
         owner = np.repeat(np.arange(len(rows)), n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = np.array([r[1][0] for r in rows])[owner] - inside  # of the anchor in the window
-        gram = np.unique([r[0] for r in rows], return_inverse=True)[1][owner]
+        place = np.array([r[0][-1] for r in rows])[owner] - inside  # of the anchor in the window
+        gram = np.cumsum([i and r[0][:GRAM] != rows[i - 1][0][:GRAM] for i, r in enumerate(rows)])[owner]
         number = multikey_groups(data, begin[owner] + inside, gram * LENGTH + place)
-        doc = np.array([r[2] for r in rows], np.int64)[owner]
+        doc = np.array([r[1] for r in rows], np.int64)[owner]
         held = np.flatnonzero(number >= 0)
         if not len(held):
             return
@@ -344,7 +345,7 @@ class _Bucket:
         first = at[new]
         last = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1:])
         for o, a, b in zip(owner[first].tolist(), inside[first].tolist(), inside[last].tolist()):
-            _, _, _, task, row, start = rows[o]
+            _, _, task, row, start = rows[o]
             yield task, row, start + a, start + b + LENGTH
 
 
@@ -360,7 +361,7 @@ def _removed(suffixes: DataFrame) -> DataFrame:
             return done
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("gram", "rest", "doc", "task", "row", "start"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("suffix", "doc", "task", "row", "start"))):
                 out.extend(bucket.take(*r))
                 if len(out) >= 1 << 16:
                     yield table()
@@ -372,11 +373,11 @@ def _removed(suffixes: DataFrame) -> DataFrame:
         if out:
             yield table()
 
-    dealt = suffixes.repartition("gram").sortWithinPartitions("gram", "rest", "doc")
+    dealt = suffixes.repartition(F.substring("suffix", 1, GRAM)).sortWithinPartitions("suffix", "doc")
     return dealt.mapInArrow(run, "task long, row long, start long, stop long")
 
 
-def _kept(removed: DataFrame, sent: DataFrame, folder: str) -> DataFrame:
+def _kept(removed: DataFrame, answers: DataFrame, folder: str) -> DataFrame:
     """Step 3, per task file: every document with its removed stretches and what remains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +416,7 @@ def _kept(removed: DataFrame, sent: DataFrame, folder: str) -> DataFrame:
     # a task's stretches are bounded by its own file; rows of 4096 keep single values small
     packed = removed.withColumn("part", F.floor(F.col("row") / 256)).groupBy("task", "part").agg(F.collect_list(stretch).alias("stretches")).select("task", "stretches")
     nothing = F.lit(None).cast("array<struct<row: bigint, start: bigint, stop: bigint>>")
-    every = sent.select("task").distinct().select("task", nothing.alias("stretches"))
+    every = answers.select("task").distinct().select("task", nothing.alias("stretches"))
     n = every.count()  # one file per scan task
     return every.unionByName(packed).repartition(max(1, n), "task").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, stop: bigint>>, kept_sha256 string")
@@ -427,9 +428,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = scratch_path(spark, "suffixes")
     bits = max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sent = stored(_write_groups(rows, folder, bits), "gram-hashes")
-    suffixes = _shared_suffixes(_shared_hashes(sent), folder)
-    return _kept(_removed(suffixes), sent, folder)
+    answers = stored(_shared_hashes(_write_groups(rows, folder, bits), 1 << bits), "shared-grams")
+    return _kept(_removed(_shared_suffixes(answers, folder)), answers, folder)
 
 
 def digest(docs: DataFrame) -> DataFrame:
