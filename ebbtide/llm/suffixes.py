@@ -226,7 +226,7 @@ def _documents(folder: str, task: int) -> Iterator[pa.RecordBatch]:
     with system.open_input_file(f"{path}/docs-{task:08d}.parquet") as file:
         if file.size():
             for batch in pq.ParquetFile(file).iter_batches(batch_size=1 << 12):
-                yield from tokens.slices(batch, "text")
+                yield from tokens.slices(batch, "text", 4 << 20)
 
 
 def _shared_suffixes(answers: DataFrame, folder: str) -> DataFrame:
@@ -381,25 +381,26 @@ def _kept(removed: DataFrame, answers: DataFrame, folder: str) -> DataFrame:
     """Step 3, per task file: every document with its removed stretches and what remains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches: dict[int, list] = {}
+        held: dict[int, list] = {}
         for batch in batches:
-            for task, blob in zip(batch.column("task").to_pylist(), batch.column("stretches").to_pylist()):
-                stretches.setdefault(task, []).extend(blob or [])
-        for task, held in stretches.items():
-            held.sort(key=lambda s: (s["row"], s["start"]))
-            at, row = 0, 0
+            for i, task in enumerate(batch.column("task").to_pylist()):
+                part = batch.column("stretches")[i].values  # None where a task has none
+                held.setdefault(task, []).extend([] if part is None else [np.stack([np.asarray(part.field(k)) for k in range(3)])])
+        for task in sorted(held):
+            rows, start, stop = np.concatenate([np.zeros((3, 0), np.int64), *held.pop(task)], axis=1)
+            order = np.lexsort((start, rows))
+            rows, start, stop = rows[order], start[order], stop[order]
+            row = 0
             for part in _documents(folder, task):
-                out = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist()):
-                    raw, spans = text or b"", []
-                    while at < len(held) and held[at]["row"] == row:
-                        a, b = held[at]["start"], held[at]["stop"]
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(b, spans[-1][1])
-                        else:
-                            spans.append([a, b])
-                        at += 1
-                    row += 1
+                out, cuts = [], np.searchsorted(rows, np.arange(row, row + part.num_rows + 1))
+                row += part.num_rows
+                texts = (x.as_py() or b"" for x in part.column("text").cast(pa.large_binary()))
+                for doc, raw, i, j in zip(part.column("doc_id").to_pylist(), texts, cuts.tolist(), cuts[1:].tolist()):
+                    spans = []
+                    if i < j:
+                        ends = np.maximum.accumulate(stop[i:j])
+                        new = np.flatnonzero(np.append(True, start[i + 1:j] > ends[:-1]))
+                        spans = list(zip(start[i:j][new].tolist(), ends[np.append(new[1:] - 1, j - i - 1)].tolist()))
                     rest, end = io.BytesIO(), 0
                     for a, b in spans:
                         rest.write(raw[end:a])
