@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,11 +43,12 @@ from ebbtide.session import scratch_path
 
 LENGTH = 50
 GRAM = 24
-STEP_BYTES = 1 << 20  # bytes whose anchors are sought at once
+STEP_BYTES = 1 << 17  # bytes whose anchors are sought at once; their arrays stay in the processor's cache
 CHUNK_WINDOWS = 1 << 20  # windows that one multikey sort works on, beyond one gram's own
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _NULL_RANK = np.iinfo(np.int64).max
+_STRETCH = ["task", "row", "start", "stop"]
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -138,6 +140,11 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    """The distinct values of a sorted array."""
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)]]
+
+
 def _packed(hashes: np.ndarray) -> bytes:
     return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -179,7 +186,7 @@ def _write_groups(docs: DataFrame, folder: str, range_bits: int) -> DataFrame:
         write_file(folder, f"docs-{task:08d}.parquet", put)
         flat = np.sort(np.concatenate(seen))
         again = flat[1:][flat[1:] == flat[:-1]]  # in two slices of the task
-        every, both = np.unique(flat), np.unique(np.concatenate([again, *twice]))
+        every, both = _distinct(flat), _distinct(np.sort(np.concatenate([again, *twice])))
         marks = np.isin(every, both, assume_unique=True)
         cuts = np.searchsorted(every >> _U(48 - range_bits), np.arange(1 << range_bits, dtype=_U))
         for r, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(every)])):
@@ -201,7 +208,7 @@ def _shared_hashes(sent: DataFrame, ranges: int) -> DataFrame:
             each = [_unpacked(h) for _, h, _ in held]
             flat = np.sort(np.concatenate(each))
             marked = [e[np.unpackbits(np.frombuffer(m, np.uint8), count=len(e)).astype(bool)] for e, (_, _, m) in zip(each, held)]
-            shared = np.unique(np.concatenate([flat[1:][flat[1:] == flat[:-1]], *marked]))
+            shared = _distinct(np.sort(np.concatenate([flat[1:][flat[1:] == flat[:-1]], *marked])))
             for (task, _, _), e in zip(held, each):
                 mine = e[np.isin(e, shared, assume_unique=True)]
                 if len(mine) or not at:  # range 0 answers every task, so that each one's file is read in the end
@@ -349,19 +356,45 @@ class _Bucket:
             yield task, row, start + a, start + b + LENGTH
 
 
+def _settled():
+    """Splits sorted batches into the stretches of suffixes that an earlier document has whole, and all other rows."""
+    suffix, least = None, None  # of the last row so far, and the smallest id that has it
+
+    def split(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        nonlocal suffix, least
+        if not batch.num_rows:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, _STRETCH), batch
+        column, doc = batch.column("suffix"), batch.column("doc").to_numpy()
+        same = np.append(column[0].as_py() == suffix, pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False))
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))  # of each row's equals in this batch
+        smallest = doc[first]
+        if same[0]:  # the equals of the last batch's end go on up to the first other suffix
+            smallest[:np.argmin(same) if not same.all() else len(same)] = least
+        gone = same & (doc > smallest)
+        suffix, least = column[-1].as_py(), smallest[-1]
+        out, size = batch.filter(pa.array(gone)), np.asarray(pc.binary_length(column), dtype=np.int64)[gone]
+        stretches = [out.column("task"), out.column("row"), out.column("start"), pa.array(out.column("start").to_numpy() + size - 1)]
+        return pa.RecordBatch.from_arrays(stretches, _STRETCH), batch.filter(pa.array(~gone))
+
+    return split
+
+
 def _removed(suffixes: DataFrame) -> DataFrame:
     """Step 2, per bucket: (task, row, start, stop) of every stretch that an earlier document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, out = _Bucket(), []
+        bucket, out, settle = _Bucket(), [], _settled()
 
         def table() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["task", "row", "start", "stop"])
+            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], _STRETCH)
             out.clear()
             return done
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("suffix", "doc", "task", "row", "start"))):
+            gone, rest = settle(batch)
+            if gone.num_rows:
+                yield gone
+            for r in zip(*(rest.column(c).to_pylist() for c in ("suffix", "doc", "task", "row", "start"))):
                 out.extend(bucket.take(*r))
                 if len(out) >= 1 << 16:
                     yield table()
