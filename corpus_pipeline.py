@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame; all but the
 last return the columns of ``documents``. ``run`` writes each stage's result to the shared folder and reads it
 back, so a lost executor costs one stage's tasks at most. Stages compute on models, sets and automata that SQL
-cannot express, so there is no SQL twin; ``tests/llm/test_pipeline.py`` holds the stages against brute force.
+cannot express, so there is no SQL twin; ``tests/llm/test_duplicates.py`` runs the stages, whose operators are held against brute force in ``tests/llm``.
 """
 
 from __future__ import annotations
