@@ -111,12 +111,15 @@ def fixed_band(p: Column, width: float = 0.08) -> tuple[Column, Column]:
 
 
 def encode_target(c: Column) -> Column:
-    """Vocabulary lookup on lower(trim(text)), else the number truncated to int, else 0."""
+    """Vocabulary lookup on lower(trim(text)), else the number truncated to a whole one (bigint; beyond its
+    range the nearest one), else 0."""
     key = F.lower(F.trim(c.cast("string")))
     vocab = F.create_map(*[x for k, v in TARGET_VOCABULARY.items() for x in (F.lit(k), F.lit(v))])
     numeric = parse_float_text(c.cast("string"))
-    as_int = F.when(~F.isnan(numeric) & (F.abs(numeric) < F.lit(float(2 ** 31))), numeric.cast("int"))
-    return F.coalesce(F.try_element_at(vocab, key), as_int, F.lit(0))
+    edge = F.lit(float(2 ** 63))
+    whole = (F.when(F.isnan(numeric), None).when(numeric >= edge, F.lit(2 ** 63 - 1)).when(numeric <= -edge, F.lit(-2 ** 63))
+             .otherwise(numeric.cast("bigint")))
+    return F.coalesce(F.try_element_at(vocab, key).cast("bigint"), whole, F.lit(0).cast("bigint"))
 
 
 def binarise_target(c: Column) -> Column:

@@ -119,36 +119,37 @@ def send_plan(rendered: DataFrame, campaign_id: str, salt: str = "", batch_size:
         (F.col("_pos") / F.lit(batch_size)).cast("bigint").alias("batch"))
 
 
-def engagement(events: DataFrame) -> DataFrame:
-    """Per tracking token, the state after folding its events.
+def engagement(events: DataFrame, keys: tuple[str, ...] = ("tracking_token",)) -> DataFrame:
+    """Per tracking token, the state after its events in time order.
 
-    ``events``: (event_id, tracking_token, kind ∈ {sent, open, click, bounce}, ts). An open counts
-    only while the message is ``sent`` — once, and never after a click; every click counts. The fold
-    is order-independent given the timestamps (min/max/count), so it is a plain aggregation: late or
-    repeated delivery gives the same answer once duplicates (same event id) are dropped.
+    ``events``: (event_id, tracking_token, kind ∈ {sent, open, click, bounce}, ts), one row per event id. An
+    open counts only while the message is ``sent``: at or after the send, before the first click and the first
+    bounce; the first such open is ``opened_at``. Every click counts. A bounce ends the message unless it was
+    opened or clicked. Events without a token are kept as one row that is never opened.
+
+    One aggregation gives each token's times; the opens are then joined with their token's times, so that a
+    token with very many opens is combined map-side and can be split as a skewed join.
     """
-    k = F.col("kind")
-    agg = events.groupBy("tracking_token").agg(
+    k, ts = F.col("kind"), F.col("ts")
+    keys = list(keys)
+    agg = events.groupBy(*keys).agg(
         F.max(k == "sent").alias("sent"),
         F.max(k == "bounce").alias("bounced"),
-        F.min(F.when(k == "sent", F.col("ts"))).alias("sent_at"),
-        F.min(F.when(k == "open", F.col("ts"))).alias("first_open"),
-        F.min(F.when(k == "click", F.col("ts"))).alias("first_click"),
-        F.max(F.when(k == "click", F.col("ts"))).alias("clicked_at"),
+        F.min(F.when(k == "sent", ts)).alias("sent_at"),
+        F.min(F.when(k.isin("click", "bounce"), ts)).alias("until"),
+        F.max(F.when(k == "click", ts)).alias("clicked_at"),
         F.count_if(k == "click").alias("clicks"),
         F.min("ts").alias("first_ts"))
-    return engagement_state(agg)
-
-
-def engagement_state(agg: DataFrame) -> DataFrame:
-    opened = (F.col("sent") & F.col("first_open").isNotNull()
-              & (F.col("first_click").isNull() | (F.col("first_open") < F.col("first_click"))))
-    status = (F.when(F.col("clicks") > 0, "clicked").when(opened, "opened").when(F.col("sent"), "sent")
-              .when(F.col("bounced"), "failed").otherwise("queued"))
-    extra = [c for c in ("first_ts", "period_start") if c in agg.columns]
-    return agg.select("tracking_token", "sent", "bounced", opened.alias("opened"),
-                      F.when(opened, F.col("first_open")).alias("opened_at"), "clicks", "clicked_at",
-                      status.alias("status"), *extra)
+    live = agg.where("sent").select(*keys, "sent_at", "until")
+    opens = (events.where(k == "open").select(*keys, "ts").join(live, keys)
+             .where((ts >= F.col("sent_at")) & (F.col("until").isNull() | (ts < F.col("until"))))
+             .groupBy(*keys).agg(F.min("ts").alias("opened_at")))
+    state = agg.join(opens, keys, "left")
+    opened = F.col("opened_at").isNotNull()
+    status = (F.when(F.col("clicks") > 0, "clicked").when(opened, "opened").when(F.col("bounced"), "failed")
+              .when(F.col("sent"), "sent").otherwise("queued"))
+    return state.select(*keys, "sent", "bounced", opened.alias("opened"), "opened_at", "clicks", "clicked_at",
+                        status.alias("status"), "first_ts")
 
 
 def weekly_campaign(ts: Column) -> Column:

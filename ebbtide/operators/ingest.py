@@ -305,7 +305,7 @@ def evolve_schema(existing: DataFrame, incoming: DataFrame, cfg: RetentionConfig
             continue
         dt = incoming.schema[c].dataType
         if c == cfg.target_column:
-            out = out.withColumn(c, F.col(c).cast("int"))
+            out = out.withColumn(c, F.col(c).cast("bigint"))
         elif c in cfg.numeric_features or isinstance(dt, NumericType):
             out = out.withColumn(c, F.col(c).cast("double"))
         elif not isinstance(dt, StringType):
@@ -335,8 +335,22 @@ def import_upsert(existing: DataFrame, incoming: DataFrame, key: str = "customer
     return j.select(*cols)
 
 
-def import_frame(existing: DataFrame, incoming: DataFrame, key: str = "customer_id") -> tuple[DataFrame, str]:
-    """I18/I19 dispatch: append when at least one id is new, else upsert (the reference's rule)."""
+def import_merge(existing: DataFrame, incoming: DataFrame, key: str = "customer_id") -> DataFrame:
+    """Known ids are updated, unseen ones inserted, in one import; the last row of an id wins. Columns that only
+    the incoming rows have are added first (I21), so updated rows get their values too."""
+    latest = dedup_keep_last(incoming, key).drop(ROW) if ROW in incoming.columns else incoming
+    widened = evolve_schema(existing, latest.where(F.lit(False)))
+    return import_append(import_upsert(widened, latest, key), latest, key)
+
+
+def import_frame(existing: DataFrame, incoming: DataFrame, key: str = "customer_id",
+                 mode: str = "auto") -> tuple[DataFrame, str]:
+    """I18/I19 dispatch. ``auto`` is the reference's rule: append when at least one id is new, else upsert;
+    ``merge`` does both, so that no incoming row is lost."""
+    if mode == "merge":
+        return import_merge(existing, incoming, key), "merge"
+    if mode != "auto":
+        raise ValueError(f"unknown import mode {mode!r}")
     any_new = incoming.join(existing.select(key), key, "left_anti").limit(1).count() > 0
     if any_new:
         return import_append(existing, incoming, key), "append"

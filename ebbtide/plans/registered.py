@@ -672,17 +672,20 @@ WITH ev AS (
   FROM events WHERE event_type IN ('signup', 'view', 'click', 'error')),
 g AS (
   SELECT tracking_token, bool_or(kind = 'sent') AS sent, bool_or(kind = 'bounce') AS bounced,
-         min(ts) FILTER (WHERE kind = 'open') AS first_open, min(ts) FILTER (WHERE kind = 'click') AS first_click,
+         min(ts) FILTER (WHERE kind = 'sent') AS sent_at, min(ts) FILTER (WHERE kind IN ('click', 'bounce')) AS until_ts,
          max(ts) FILTER (WHERE kind = 'click') AS clicked_at, count(*) FILTER (WHERE kind = 'click') AS clicks,
          min(ts) AS first_ts
   FROM ev GROUP BY tracking_token),
+f AS (
+  SELECT ev.tracking_token, min(ev.ts) AS opened_at FROM ev JOIN g ON ev.tracking_token = g.tracking_token
+  WHERE kind = 'open' AND ev.ts >= sent_at AND (until_ts IS NULL OR ev.ts < until_ts) GROUP BY ev.tracking_token),
 s AS (
-  SELECT *, sent AND first_open IS NOT NULL AND (first_click IS NULL OR first_open < first_click) AS opened FROM g)"""
+  SELECT g.*, opened_at, opened_at IS NOT NULL AS opened FROM g LEFT JOIN f ON g.tracking_token = f.tracking_token)"""
 
 
 @register("engagement", _ENGAGEMENT_SQL + """
-SELECT tracking_token, sent, bounced, opened, CASE WHEN opened THEN first_open END AS opened_at, clicks, clicked_at,
-       CASE WHEN clicks > 0 THEN 'clicked' WHEN opened THEN 'opened' WHEN sent THEN 'sent' WHEN bounced THEN 'failed'
+SELECT tracking_token, sent, bounced, opened, opened_at, clicks, clicked_at,
+       CASE WHEN clicks > 0 THEN 'clicked' WHEN opened THEN 'opened' WHEN bounced THEN 'failed' WHEN sent THEN 'sent'
             ELSE 'queued' END AS status
 FROM s""")
 def _engagement(spark, sf_dir):
@@ -704,8 +707,8 @@ def _funnel(spark, sf_dir):
 
 @register("campaign_detail", _ENGAGEMENT_SQL + f"""
 , logs AS (SELECT {_WEEK_SQL} AS campaign_id, first_ts,
-                  CASE WHEN clicks > 0 THEN 'clicked' WHEN opened THEN 'opened' WHEN sent THEN 'sent'
-                       WHEN bounced THEN 'failed' ELSE 'queued' END AS status FROM s)
+                  CASE WHEN clicks > 0 THEN 'clicked' WHEN opened THEN 'opened' WHEN bounced THEN 'failed'
+                       WHEN sent THEN 'sent' ELSE 'queued' END AS status FROM s)
 SELECT campaign_id, concat('tpl_', campaign_id) AS template_id, concat('Retention outreach ', campaign_id) AS name,
        min(first_ts) AS created_at, 'Retention template' AS template_name, concat('Checking in (', campaign_id, ')') AS template_subject,
        count(*) AS total_recipients,
@@ -818,10 +821,10 @@ def _heuristic_text(spark, sf_dir):
 @register("target_encoders", q(f"""
 SELECT customer_id,
        coalesce(CASE lower(trim(CAST(churned AS VARCHAR))) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in __import__('ebbtide.config', fromlist=['x']).TARGET_VOCABULARY.items())} END,
-                CAST(trunc(TRY_CAST(CAST(churned AS VARCHAR) AS DOUBLE)) AS INTEGER), 0) AS encoded,
+                CAST(trunc(TRY_CAST(CAST(churned AS VARCHAR) AS DOUBLE)) AS BIGINT), 0) AS encoded,
        CASE WHEN lower(trim(CAST(churned AS VARCHAR))) IN ('1','true','yes','churned','churn','exited','left','cancelled') THEN 1 ELSE 0 END AS binarised,
        CASE WHEN lower(trim(CAST(churned AS VARCHAR))) IN ('1','true','yes','active') THEN 0 ELSE 1 END AS binarised_active,
-       coalesce(CASE lower(trim(contract_type)) WHEN 'no' THEN 0 END, 0) AS encoded_contract
+       CAST(coalesce(CASE lower(trim(contract_type)) WHEN 'no' THEN 0 END, 0) AS BIGINT) AS encoded_contract
 FROM cc"""))
 def _target_encoders(spark, sf_dir):
     from ebbtide.functions.scalars import binarise_active, binarise_target, encode_target
@@ -846,7 +849,7 @@ def _generate_ids(spark, sf_dir):
 SELECT customer_id, CAST(tenure_months AS DOUBLE) AS tenure_months, CAST(monthly_charges AS DOUBLE) AS monthly_charges,
        CAST(support_tickets AS DOUBLE) AS support_tickets, coalesce(contract_type, 'unknown') AS contract_type,
        'unknown' AS payment_method, CAST(NULL AS DOUBLE) AS total_charges,
-       CASE WHEN churned = 1 THEN 1 ELSE 0 END AS churned
+       CAST(CASE WHEN churned = 1 THEN 1 ELSE 0 END AS BIGINT) AS churned
 FROM cc"""))
 def _normalise_aliased(spark, sf_dir):
     c = W(spark, sf_dir).customers
@@ -890,6 +893,22 @@ def _import_upsert(spark, sf_dir):
     return out.groupBy("source_id").agg(F.count(F.lit(1)).alias("customers"), F.sum("support_tickets").alias("tickets"))
 
 
+@register("import_merge", q("""
+SELECT source_id, count(*) AS customers, CAST(sum(support_tickets) AS BIGINT) AS tickets FROM (
+  SELECT customer_id, CASE WHEN source_id = 'src_automobile' THEN 'src_automobile_v2' ELSE source_id END AS source_id,
+         CASE WHEN source_id IN ('src_automobile', 'src_building') THEN coalesce(support_tickets, 0) + 2 ELSE support_tickets END AS support_tickets
+  FROM cc) t GROUP BY source_id"""))
+def _import_merge(spark, sf_dir):
+    c = W(spark, sf_dir).customers
+    existing = c.where(F.col("source_id") != "src_building")
+    sent = c.where(F.col("source_id").isin("src_automobile", "src_building"))
+    source = F.when(F.col("source_id") == "src_automobile", F.lit("src_automobile_v2")).otherwise(F.col("source_id"))
+    v1, v2 = (sent.select("customer_id", source.alias("source_id"),
+                          (F.coalesce("support_tickets", F.lit(0)) + n).alias("support_tickets"), F.lit(n).alias("_row")) for n in (1, 2))
+    out, _ = I.import_frame(existing, v1.unionByName(v2), mode="merge")
+    return out.groupBy("source_id").agg(F.count(F.lit(1)).alias("customers"), F.sum("support_tickets").alias("tickets"))
+
+
 @register("dedup_keep_first", """
 SELECT customer_id, csm_name, status, last_updated FROM (
   SELECT concat('C', lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(9, length(CAST(o_custkey AS VARCHAR))) AS INTEGER), '0')) AS customer_id, o_orderpriority AS csm_name,
@@ -1176,7 +1195,7 @@ SELECT customer_id, source_id, CAST(tenure_months AS DOUBLE) AS tenure_months, m
        coalesce(payment_method, 'unknown') AS payment_method, coalesce(region, 'unknown') AS region,
        CAST(support_tickets AS DOUBLE) AS support_tickets, CAST(payment_delays AS DOUBLE) AS payment_delays,
        product_usage, CAST(complaint_count AS DOUBLE) AS complaint_count, customer_satisfaction_score,
-       CAST(coalesce(churned, 0) AS INTEGER) AS churned
+       CAST(coalesce(churned, 0) AS BIGINT) AS churned
 FROM cc"""))
 def _stream_import(spark, sf_dir):
     cust = W(spark, sf_dir).customers

@@ -19,6 +19,7 @@ from ebbtide.operators import ingest as I
 from ebbtide.session import broadcast_if_small
 from ebbtide.streaming.sinks import latest_per_key, read_batches, write_batch
 
+FILE, ORDER = "_file", "_order"  # a row's file, and its place in the order of all imported rows
 MAX_BATCH_KEYS = 5_000_000  # a micro-batch's distinct ids are broadcast only below this count
 
 
@@ -36,19 +37,33 @@ def _run(writer, checkpoint: str, available_now: bool = True):
 # ------------------------------------------------------------------ T1: incremental import
 
 def stream_import(spark: SparkSession, src_dir: str, schema: StructType, table_root: str, checkpoint: str,
-                  cfg: RetentionConfig = DEFAULT_CONFIG, fmt: str = "csv", files_per_batch: int = 1) -> None:
-    """New customer files → normalise (I17) → import with the reference's rule per micro-batch:
-    when at least one id is new, append the unseen ids (first row per id, I18) and leave existing
-    rows untouched; when every id already exists, upsert them (last row per id wins, I19).
+                  cfg: RetentionConfig = DEFAULT_CONFIG, fmt: str = "csv", files_per_batch: int = 1,
+                  mode: str = "merge") -> None:
+    """New customer files → normalise (I17) → import.
 
-    Each micro-batch writes only its own rows into its batch folder; readers take the latest row per
-    id. The anti-join reads the keys of earlier batches only, so a replayed batch is idempotent.
+    ``mode="merge"`` (default): known ids are updated, new ones inserted, the last row of an id wins. Rows are
+    ordered by file time, file name, then place in the file, and that order is stored with them: the table is
+    the same however files fall into micro-batches, and no earlier batch is read again.
+
+    ``mode="auto"`` is the reference's rule per micro-batch: when at least one id is new, append the unseen ids
+    (first row per id, I18) and leave existing rows untouched; when every id already exists, upsert (last row
+    per id wins, I19). What counts as one upload is then one micro-batch.
+
+    Each micro-batch writes only its own rows into its batch folder, so a replayed batch is idempotent.
     """
+    if mode not in ("merge", "auto"):
+        raise ValueError(f"unknown import mode {mode!r}")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     stream = reader.option("header", True).csv(src_dir) if fmt == "csv" else reader.format(fmt).load(src_dir)
+    stream = stream.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path",
+                                         "_metadata.file_block_start").alias(FILE))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = I.normalise_churn(batch.withColumn(I.ROW, F.monotonically_increasing_id()), cfg)
+        order = F.struct(F.col(f"{FILE}.*"), F.monotonically_increasing_id().alias("position"))
+        rows = I.normalise_churn(batch.withColumn(I.ROW, order).drop(FILE), cfg, id_prefix=f"C{batch_id}_")
+        if mode == "merge":
+            write_batch(I.dedup_keep_last(rows, "customer_id", I.ROW).withColumnRenamed(I.ROW, ORDER), table_root, batch_id)
+            return
         earlier = read_batches(spark, table_root, below=batch_id)
         if earlier is None:
             write_batch(I.dedup_keep_first(rows, "customer_id", I.ROW).drop(I.ROW), table_root, batch_id)
@@ -67,9 +82,13 @@ def stream_import(spark: SparkSession, src_dir: str, schema: StructType, table_r
 
 
 def imported_table(spark: SparkSession, table_root: str) -> DataFrame:
-    """The imported customers: the latest row per id across micro-batches."""
+    """The imported customers: the latest row per id, by file order where it is stored, else by micro-batch."""
     df = read_batches(spark, table_root)
-    return latest_per_key(df, ["customer_id"]) if df is not None else None
+    if df is None:
+        return None
+    if ORDER in df.columns:
+        return I.dedup_keep_last(df.drop("batch_id"), "customer_id", ORDER).drop(ORDER)
+    return latest_per_key(df, ["customer_id"])
 
 
 # ------------------------------------------------------------------ T2: engagement
@@ -78,11 +97,11 @@ ENGAGEMENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_ty
 
 
 def engagement_stream(events: DataFrame, watermark: str = "7 days", period: str | None = None) -> DataFrame:
-    """The stateful part of T2: dedup by event id within the watermark, then per-token min/max/count.
+    """The stateful part of T2: engagement events, each event id once within the watermark.
 
-    With ``period`` (e.g. ``"30 days"``, a campaign's lifetime) the key is (period window, token): once
-    the watermark passes a period's end Spark drops its state, so state stays bounded however many
-    tokens a year of campaigns produces. Without it, state is kept per token for good.
+    State is one entry per event id of the watermark's span, whatever the number of tokens. With ``period``
+    (e.g. ``"30 days"``, a campaign's lifetime) each event also carries its period's start, and a token has
+    one state per period. Rows later than the watermark are dropped, as everywhere in Structured Streaming.
     """
     kind = F.create_map(*[x for k, v in {"signup": "sent", "view": "open", "click": "click", "error": "bounce"}.items()
                           for x in (F.lit(k), F.lit(v))])
@@ -93,40 +112,28 @@ def engagement_stream(events: DataFrame, watermark: str = "7 days", period: str
                   ntz_to_instant(F.col("ts")).alias("_event_time"))
           .withWatermark("_event_time", watermark)
           .dropDuplicatesWithinWatermark(["event_id"]))
-    k = F.col("kind")
-    ts = F.col("ts")
-    keys = [F.col("tracking_token")]
-    if period is not None:
-        keys = [F.window("_event_time", period).alias("period")] + keys
-    agg = ev.groupBy(*keys).agg(
-        F.max(k == "sent").alias("sent"), F.max(k == "bounce").alias("bounced"),
-        F.min(F.when(k == "sent", ts)).alias("sent_at"),
-        F.min(F.when(k == "open", ts)).alias("first_open"),
-        F.min(F.when(k == "click", ts)).alias("first_click"),
-        F.max(F.when(k == "click", ts)).alias("clicked_at"),
-        F.count_if(k == "click").alias("clicks"),
-        F.min(ts).alias("first_ts"))
     if period is not None:
-        agg = agg.withColumn("period_start", instant_to_ntz(F.col("period.start"))).drop("period")
-    return agg
+        ev = ev.withColumn("period_start", instant_to_ntz(F.window("_event_time", period).getField("start")))
+    return ev.drop("_event_time")
 
 
 def stream_engagement(spark: SparkSession, events_dir: str, state_root: str, checkpoint: str,
                       watermark: str = "7 days", files_per_batch: int = 1, glob: str | None = None,
                       period: str | None = None) -> None:
-    """The open/click fold as a streaming aggregation in update mode; updated token rows of each
-    micro-batch go to an idempotent batch folder."""
+    """Each micro-batch's new engagement events go to an idempotent batch folder."""
     r = spark.readStream.schema(ENGAGEMENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    agg = engagement_stream(r.parquet(events_dir), watermark, period)
-    _run(agg.writeStream.outputMode("update").foreachBatch(lambda b, i: write_batch(b, state_root, i)), checkpoint)
+    ev = engagement_stream(r.parquet(events_dir), watermark, period)
+    _run(ev.writeStream.outputMode("append").foreachBatch(lambda b, i: write_batch(b, state_root, i)), checkpoint)
 
 
 def engagement_from_state(spark: SparkSession, state_root: str) -> DataFrame:
-    log = read_batches(spark, state_root)
-    keys = ["tracking_token"] + (["period_start"] if "period_start" in log.columns else [])
-    return C.engagement_state(latest_per_key(log, keys))
+    """The state of every token (and period): the batch fold over the events written so far. An event's effect
+    depends on its token's send, click and bounce, which may arrive after it, so no running minimum can hold it."""
+    log = read_batches(spark, state_root).dropDuplicates(["event_id"])
+    keys = ("tracking_token", "period_start") if "period_start" in log.columns else ("tracking_token",)
+    return C.engagement(log, keys)
 
 
 # ------------------------------------------------------------------ T3: risk trend

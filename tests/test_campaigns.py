@@ -37,6 +37,23 @@ def test_engagement_fold_order_independent(spark):
     assert (f.sent_count, f.opened_count, f.clicked_recipients, f.clicked_count, f.bounced_count) == (2, 1, 2, 3, 1)
 
 
+def test_opens_count_only_while_sent(spark):
+    t = dt.datetime(2024, 1, 1)
+
+    def at(m):
+        return t + dt.timedelta(minutes=m)
+    ev = [(1, "early", "open", at(0)), (2, "early", "sent", at(1)),
+          (3, "again", "open", at(0)), (4, "again", "sent", at(1)), (5, "again", "open", at(2)), (6, "again", "open", at(3)),
+          (7, "bounced", "sent", at(0)), (8, "bounced", "bounce", at(1)), (9, "bounced", "open", at(2)),
+          (10, "later", "sent", at(0)), (11, "later", "open", at(1)), (12, "later", "bounce", at(2)),
+          (13, "tie", "sent", at(0)), (14, "tie", "open", at(0)),
+          (15, None, "sent", at(0)), (16, None, "open", at(1))]
+    df = spark.createDataFrame(ev, "event_id long, tracking_token string, kind string, ts timestamp_ntz")
+    st = {r.tracking_token: (r.opened, r.opened_at, r.status) for r in C.engagement(df).collect()}
+    assert st == {"early": (False, None, "sent"), "again": (True, at(2), "opened"), "bounced": (False, None, "failed"),
+                  "later": (True, at(1), "opened"), "tie": (True, at(0), "opened"), None: (False, None, "sent")}
+
+
 def test_send_plan_batches_and_tokens(spark):
     rows = [(f"C{i:03d}", 1.0 - i / 100.0, f"c{i}@example.com", "s") for i in range(25)]
     df = spark.createDataFrame(rows, "customer_id string, predicted_probability double, email string, subject string")

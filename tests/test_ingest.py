@@ -74,6 +74,13 @@ def test_append_vs_upsert(spark):
     assert {r.customer_id: r.x for r in out.collect()} == {"a": 11, "b": 2}
 
 
+def test_merge_updates_and_inserts(spark):
+    existing = spark.createDataFrame([("a", 1), ("b", 2)], "customer_id string, x long")
+    both = spark.createDataFrame([("a", 10, "p", 0), ("c", 30, "q", 1), ("c", 31, "r", 2)], "customer_id string, x long, y string, _row long")
+    out, mode = I.import_frame(existing, both, mode="merge")
+    assert mode == "merge" and {r.customer_id: (r.x, r.y) for r in out.collect()} == {"a": (10, "p"), "b": (2, None), "c": (31, "r")}
+
+
 def test_csv_bom_json_and_empty(spark):
     d = tempfile.mkdtemp()
     p = os.path.join(d, "c.csv")

@@ -45,10 +45,10 @@ def test_safe_num_numeric_nan_and_null(spark):
 
 
 def test_encode_target(spark):
-    vals = ["Churned", " inactive ", "active", "5", "2.7", "yes", "N", None, "garbage", "-1"]
+    vals = ["Churned", " inactive ", "active", "5", "2.7", "yes", "N", None, "garbage", "-1", "3000000000", "1e30", "nan"]
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     got = [r.e for r in df.select(S.encode_target(F.col("v")).alias("e")).collect()]
-    assert got == [1, 1, 0, 5, 2, 1, 0, 0, 0, -1]
+    assert got == [1, 1, 0, 5, 2, 1, 0, 0, 0, -1, 3000000000, 2 ** 63 - 1, 0]
 
 
 def test_binarise_upload_targets(spark):

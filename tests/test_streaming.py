@@ -52,13 +52,13 @@ def test_stream_import_append_then_upsert(spark):
     sch = spark.createDataFrame([], schema).schema
     first = [("a", 1, 0, 0), ("b", 2, 0, 1), ("a", 9, 9, 1)]          # duplicate id: first row wins
     spark.createDataFrame(first, schema).coalesce(1).write.option("header", True).mode("append").csv(src)
-    T.stream_import(spark, src, sch, root, ck)
+    T.stream_import(spark, src, sch, root, ck, mode="auto")
     mixed = [("a", 50, 5, 1), ("c", 3, 1, 0)]                          # one new id: append only, "a" untouched
     spark.createDataFrame(mixed, schema).coalesce(1).write.option("header", True).mode("append").csv(src)
-    T.stream_import(spark, src, sch, root, ck)
+    T.stream_import(spark, src, sch, root, ck, mode="auto")
     known = [("b", 7, 4, 0), ("b", 8, 6, 0)]                            # all ids known: upsert, last row wins
     spark.createDataFrame(known, schema).coalesce(1).write.option("header", True).mode("append").csv(src)
-    T.stream_import(spark, src, sch, root, ck)
+    T.stream_import(spark, src, sch, root, ck, mode="auto")
     got = {r.customer_id: (r.tenure_months, r.support_tickets) for r in T.imported_table(spark, root).collect()}
     assert got == {"a": (1.0, 0.0), "b": (8.0, 6.0), "c": (3.0, 1.0)}
 
@@ -80,11 +80,19 @@ def test_engagement_stream_with_campaign_periods_equals_batch(spark):
     b = ev.select(F.col("user_id").cast("string").alias("tracking_token"),
                   F.element_at(kind, F.col("event_type")).alias("kind"), "ts",
                   F.window(F.col("ts").cast("timestamp"), "7 days").start.cast("timestamp_ntz").alias("period_start"))
-    k = F.col("kind")
-    agg = b.groupBy("period_start", "tracking_token").agg(
-        F.max(k == "sent").alias("sent"), F.max(k == "bounce").alias("bounced"),
-        F.min(F.when(k == "sent", F.col("ts"))).alias("sent_at"), F.min(F.when(k == "open", F.col("ts"))).alias("first_open"),
-        F.min(F.when(k == "click", F.col("ts"))).alias("first_click"), F.max(F.when(k == "click", F.col("ts"))).alias("clicked_at"),
-        F.count_if(k == "click").alias("clicks"))
-    batch = {(r.tracking_token, r.period_start): (r.opened, r.clicks, r.status) for r in C.engagement_state(agg).collect()}
+    state = C.engagement(b, ("tracking_token", "period_start"))
+    batch = {(r.tracking_token, r.period_start): (r.opened, r.clicks, r.status) for r in state.collect()}
     assert stream == batch and len({p for _, p in stream}) > 1
+
+
+def test_merging_import_does_not_depend_on_micro_batches(spark):
+    schema = "customer_id string, tenure_months long, support_tickets long, churned long"
+    sch = spark.createDataFrame([], schema).schema
+    src = scratch_path(spark, "test-t1m-src")
+    for rows in ([("a", 1, 0, 0), ("b", 2, 1, 1)], [("a", 50, 5, 1), ("c", 3, 1, 0)], [("b", 7, 4, 0), ("b", 8, 6, 0), ("d", 1, 1, 1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.option("header", True).mode("append").csv(src)
+    for files in (1, 2, 4):
+        root, ck = scratch_path(spark, "test-t1m-table"), scratch_path(spark, "test-t1m-ck")
+        T.stream_import(spark, src, sch, root, ck, files_per_batch=files)
+        got = {r.customer_id: (r.tenure_months, r.support_tickets, r.churned) for r in T.imported_table(spark, root).collect()}
+        assert got == {"a": (50.0, 5.0, 1), "b": (8.0, 6.0, 0), "c": (3.0, 1.0, 0), "d": (1.0, 1.0, 1)}
