@@ -36,6 +36,7 @@ SHINGLE_WORDS = 5
 PERCENT = 85
 BANDS, BAND_ROWS = 32, 6
 COORDINATES = BANDS * BAND_ROWS
+LOOSE_PERCENT, LOOSE_BANDS, LOOSE_ROWS = 80, 39, 5  # the pipeline's threshold, missed no more often there than 85 by the bands above
 MEMBERS_PER_TASK = 256  # members of one head that are compared in one stretch of rows
 BROADCAST_PAIRS = 500_000  # 16 bytes each; more pairs are joined by a shuffle
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 4 << 20  # of a bucket with different components; two blocks meet in a task
@@ -80,7 +81,7 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n (set size), f1 and f2 (128-bit hash of the set, null without shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in tokens.slices(batch, "text"):
                 sets = list(shingles.shingle_sets(part.column("text"), SHINGLE_WORDS))
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = iter(band_keys(sketches([sets[i] for i in some])).tolist())
+                keys = iter(band_keys(sketches([sets[i] for i in some], bands * band_rows), bands).tolist())
                 prints = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist() if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
@@ -205,9 +206,10 @@ def linked_in_buckets(mixed: DataFrame, docs: DataFrame, id_col: str, text_col:
     return texts.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    signed = stored(signatures(docs, id_col, text_col), "signatures")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS,
+                    band_rows: int = BAND_ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. ``bands`` of ``band_rows`` should suit ``percent``, see ``missed``."""
+    signed = stored(signatures(docs, id_col, text_col, bands, band_rows), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
     classes = stored(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
     member = classes.select("rep", "n", F.explode("bands").alias("key")).distinct()
@@ -231,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS,
+                    band_rows: int = BAND_ROWS) -> DataFrame:
     """The documents (all columns) with one of each group left; rows that repeat a kept document stay."""
-    dropped = near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = near_duplicates(docs, id_col, text_col, percent, bands, band_rows).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs[id_col].cast("long") == F.col("_dropped"), "left_anti")

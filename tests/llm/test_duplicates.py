@@ -168,3 +168,17 @@ def test_pipeline_stages(spark, sf_small):
         before = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).collect()
     assert {r.doc_id for r in pieces} == set(before)
+
+
+def test_pipeline_drops_near_copies_from_similarity_80(spark):
+    import corpus_pipeline
+    words = [f"word{i}" for i in range(104)]  # 100 shingles; each changed word far from the others is in five
+    docs = [(1, " ".join(words)), (2, " ".join("other" if i in (20, 60) else w for i, w in enumerate(words))),
+            (3, " ".join(f"o{i}" if i in (20, 50, 80) else w for i, w in enumerate(words)))]
+    sets = [s for _, s in word_sets(docs)]
+    likeness = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert 0.80 <= likeness[0] < 0.85 and likeness[1] < 0.80
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3}
+    assert minhash.representatives(df).count() == 3  # the query of operator 4 keeps its 0.85
+    assert minhash.missed(0.8, minhash.LOOSE_BANDS, minhash.LOOSE_ROWS) <= minhash.missed(0.85)
