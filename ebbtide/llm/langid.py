@@ -150,7 +150,8 @@ def log_likelihoods(p: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarra
 def expected_counts(p: Pieces, probs: np.ndarray, words: list[str], lang: np.ndarray, weight: np.ndarray,
                     longest_word: int = 64) -> np.ndarray:
     """Expected use of each piece in each language (forward-backward). Words beyond ``longest_word`` letters
-    are counted in parts of that length."""
+    are counted in parts of that length. Forward values in reach of a position are in units of the one there,
+    backward values follow by the same factors, so parts of any probability stay within range."""
     parts = [(w[a:a + longest_word], k, n) for w, k, n in zip(words, lang, weight) for a in range(0, len(w), longest_word)]
     words, lang, weight = [x[0] for x in parts], np.array([x[1] for x in parts], np.int64), np.array([x[2] for x in parts], float)
     codes, bounds = p.encoded(words)
@@ -165,7 +166,12 @@ def expected_counts(p: Pieces, probs: np.ndarray, words: list[str], lang: np.nda
     def prob(rows, piece):
         return UNKNOWN if piece is None else probs[piece, lang[rows]]
 
+    scale = np.ones((width, len(size)))  # forward values at the positions, each in units of the one before
+    live = np.searchsorted(-size, -np.arange(width), "left")  # words longer than i
     for i in range(width):
+        here = slice(0, int(live[i]))
+        scale[i, here] = ahead[i, here]
+        ahead[i:i + p.longest, here] /= scale[i, here]
         for length, rows, piece in _steps(p, codes, begin, size, i):
             ahead[i + length, rows] += ahead[i, rows] * prob(rows, piece)
     total = ahead[size, np.arange(len(size))]
@@ -177,6 +183,8 @@ def expected_counts(p: Pieces, probs: np.ndarray, words: list[str], lang: np.nda
             if piece is not None:
                 share = weight[rows] * ahead[i, rows] * through / total[rows]
                 counts += np.bincount(piece * probs.shape[1] + lang[rows], share, probs.size)
+        here = slice(0, int(live[i]))
+        back[i:i + p.longest, here] /= scale[i, here]
     return counts.reshape(probs.shape)
 
 

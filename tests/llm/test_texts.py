@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,38 @@ def test_forward_sums_all_segmentations():
     assert used[:, 1].sum() == 0 and used[:, 0].sum() >= 2 and used[:, 2].sum() >= 1
 
 
+def test_long_runs_of_rare_and_unknown_letters_keep_the_fit_finite(spark):
+    p = langid.Pieces(tokens.vocab_path(langid.VOCAB_FILE))
+    place = {n: i for i, n in enumerate(p.names)}
+    unknown, rare = "\u4e02" * 64, "\u65e5\u672c" * 32
+    assert "\u4e02" not in p.code and "\u65e5" in p.code
+
+    def brute(word, probs):  # exact fractions: no range to leave
+        from fractions import Fraction
+        word, of = langid.BEGIN + word, lambda x: Fraction(float(probs[place[x]])) if x in place else Fraction(langid.UNKNOWN)
+        cuts = [(i, j) for i in range(len(word)) for j in range(i + 1, min(len(word), i + p.longest) + 1) if word[i:j] in place or j == i + 1]
+        a, b = [Fraction(1)] + [Fraction(0)] * len(word), [Fraction(0)] * len(word) + [Fraction(1)]
+        for i, j in cuts:
+            a[j] += a[i] * of(word[i:j])
+        for i, j in reversed(cuts):
+            b[i] += of(word[i:j]) * b[j]
+        used = np.zeros(len(p.names))
+        for i, j in cuts:
+            if word[i:j] in place:
+                used[place[word[i:j]]] += float(a[i] * of(word[i:j]) * b[j] / a[-1])
+        return used
+
+    probs = np.random.default_rng(1).random((len(p.names), 1)) * 1e-6
+    for word in (unknown, rare, "x" + unknown[:20] + "theandtion" + rare[:20], "the"):
+        got = langid.expected_counts(p, probs, [word, "and"], np.array([0, 0]), np.array([3.0, 2.0]))[:, 0]
+        assert np.allclose(got, 3 * brute(word, probs[:, 0]) + 2 * brute("and", probs[:, 0]))
+    texts = [(i, prose(i), "en") for i in range(20)] + [(50, f"river {unknown} stone {rare}", "en"), (51, "der Fluss und die Wolke", "de")]
+    model = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert np.isfinite(model.probs).all() and np.allclose(model.probs.sum(axis=0), 1)
+    names, score = model.scorer().predict(pa.array(["river stone cloud paper light", "und die Wolke"]))
+    assert names == ["en", "de"] and np.isfinite(score).all()
+
+
 def test_langid_held_out_accuracy_and_odd_rows(spark, sf_small, docs, empty):
     real = spark.read.parquet(f"{sf_small}/documents.parquet")
     got = langid.predictions(real).join(real.select("doc_id", "lang"), "doc_id").where("held_out")
