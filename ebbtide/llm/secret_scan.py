@@ -1,7 +1,8 @@
 """Secrets with a random forest for false positives (operator 10), in DataFrame functions only.
 
 Candidates are cut out of each whole text by one pattern: unbroken runs that hold a digit and are long enough
-for a key, and values assigned to a password-like name. Each is described by its length, the runs and
+for a key, and values of six or more characters behind a password-like name (quotes, spaces, colons, equals signs
+or arrows between them). Each is described by its length, the runs and
 transitions of its characters, how much of it dictionary words cover, its path and the words next to it. A
 random forest, fitted on labelled findings, gives the probability that a candidate is a secret.
 
@@ -31,8 +32,9 @@ TREES, DEPTH, SEED = 20, 6, 7
 WORD_MIN = 4
 CONTEXT = 60
 _NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
-CANDIDATE = ("(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-             "|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|auth)=)[^\\s\"']{6,}")
+_LINK = "[\\s\"'`:=>]"  # between a name and its value: up to six of them
+CANDIDATE = ("(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+             f"|(?<={_LINK})(?<=(?i:{_NAMES}){_LINK}{{1,6}})[^\\s\"'`:=>][^\\s\"']{{5,}}")
 _PROVIDER = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35})$"
 _PLACEHOLDER = "(?i)(example|sample|changeme|placeholder|dummy|your[_-]|xxxx|test123|123456|abcdef123)"
 
@@ -100,7 +102,7 @@ def value_features(values: DataFrame, words: DataFrame) -> DataFrame:
 def described(found: DataFrame, values: DataFrame) -> DataFrame:
     """Findings with all features. A value that very many documents share is split by the skewed-join rule."""
     return found.join(values, "value").withColumns({
-        "named": F.col("before").rlike(f"(?i)({_NAMES})\\W{{0,4}}$").cast("double"), "quoted": F.col("before").rlike("[\"']$").cast("double"),
+        "named": F.col("before").rlike(f"(?i)({_NAMES})\\W{{0,6}}$").cast("double"), "quoted": F.col("before").rlike("[\"']$").cast("double"),
         "hint_against": (F.col("before").rlike("(?i)\\b(sha1|sha256|md5|commit|checksum|uuid|isbn|order|invoice|id|phone|card)\\W{0,3}$")
                          | F.col("value").rlike(_PLACEHOLDER)).cast("double"),
         "path_test": F.coalesce(F.col("path"), F.lit("")).rlike("(?i)(test|example|sample|fixture|doc)").cast("double")})

@@ -230,6 +230,23 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.findings(empty).count() == 0
 
 
+def test_named_values_and_late_digits_are_candidates(spark):
+    forms = ['password = "Abc123!x"', "password: Abc123!x", '"password": "Abc123!x"', 'password="Abc123!x"', "password=Abc123!x", "'pwd' => 'Abc123!x'",
+             "api-key: Abc123!x", "access_key=Abc123!x", "API_KEY := Abc123!x", "secret Abc123!x", "auth\t'Abc123!x'"]
+    late = "x" * 300 + "7" + "y" * 20
+    texts = [*enumerate([f"{prose(i, 5)} {f} {prose(i, 3)}" for i, f in enumerate(forms)]), (100, f"see {late} and {'z' * 300}"), (101, "author: someone tokens: none1234")]
+    df = spark.createDataFrame([(i, t, "a/b") for i, t in texts], "doc_id long, text string, source string")
+    found = {}
+    for r in secret_scan.candidates(df, "doc_id", "text", "source").collect():
+        found.setdefault(r.doc_id, []).append(r.value)
+    assert found == {**{i: ["Abc123!x"] for i in range(len(forms))}, 100: [late]}
+    r = random.Random(11)
+    many = [(1000 + i, f"{prose(i, 8)} the password should stay, order 20240101{i:08d} password: {r.randrange(16**12):012x} {prose(i, 4)}", "a/b") for i in range(60)]
+    got = secret_scan.scan(df.unionByName(spark.createDataFrame(many, df.schema))).collect()
+    assert {x.secret for x in got if x.value == "Abc123!x"} == {True} and all(x.named == 1 for x in got if x.value == "Abc123!x")
+    assert {x.secret for x in got if x.value == "should"} == {False}
+
+
 @pytest.mark.parametrize("name", ["quality", "secret_scan"])
 def test_native_operators_have_no_python_stage(name, docs):
     plan = {"quality": lambda: quality.counts(docs), "secret_scan": lambda: secret_scan.candidates(docs, "doc_id", "text", "source")}[name]()
