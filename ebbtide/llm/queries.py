@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import bitpack, decontaminate, langid, minhash, packing, pii, quality, secret_scan, suffixes, warc
+from ebbtide.llm import bitpack, decontaminate, langid, merkle, minhash, packing, pii, quality, secret_scan, sql, suffixes, warc
 from ebbtide.llm.store import parquet
 
 
@@ -46,8 +46,12 @@ def op10_secrets(spark, sf_dir):
     return secret_scan.findings(parquet(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.digest(parquet(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op4_minhash, op5_suffixes, op6_quality, op7_packing, op8_token_files, op9_decontamination,
-                                  op10_secrets)}
+                                  op10_secrets, op11_merkle)}
 SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
@@ -57,4 +61,5 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
         FROM p JOIN f USING (payload_digest)""",
+    "op11_merkle": sql.MERKLE,
 }
