@@ -45,3 +45,28 @@ MERKLE = f"""
     SELECT p.doc_id, p.leaf, l.hash AS subroot, h.hash AS root, sha256(w.proof) AS proof_sha256, w.fold AS folded_root, w.fold = h.hash AS verified
     FROM placed p JOIN low l ON l.tree = p.tree AND l.n = 1 JOIN way w ON w.row_no = p.row_no AND w.tree = -1 AND w.n = 1
     CROSS JOIN (SELECT hash FROM high WHERE n = 1) h"""
+
+
+PREFIX_TRIE = f"""
+    WITH own AS (
+        SELECT conv_id, list({{'k': k, 'b': octet_length(encode(x))}} ORDER BY turn NULLS FIRST, k) AS turns
+        FROM (SELECT conv_id, turn, coalesce(text, '') AS x, substr(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS k
+              FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+    headed AS (SELECT *, {crc32('conv_id')} % 9 AS h FROM own),
+    rebuilt AS (
+        SELECT c.conv_id, list_concat(CASE WHEN b.turns IS NULL THEN [] ELSE b.turns[1:h] END, c.turns[h + 1:]) AS turns
+        FROM headed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+    membership AS (
+        SELECT conv_id, d, len(turns) = d AS ended, turns[d].b AS bytes, sha256(coalesce(list_aggregate(list_transform(turns[1:d], lambda t: t.k), 'string_agg', ''), '')) AS node,
+               CASE WHEN d > 0 THEN sha256(coalesce(list_aggregate(list_transform(turns[1:d - 1], lambda t: t.k), 'string_agg', ''), '')) END AS parent
+        FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+    node AS (
+        SELECT node, min(conv_id) AS conv_id, min(d) AS depth, min(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * coalesce(min(bytes), 0) AS saved,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM membership GROUP BY node),
+    children AS (SELECT parent AS node, count(*) AS n_children FROM node GROUP BY parent),
+    subtree AS (
+        SELECT m.node, sum(u.saved) AS saved_tokens, sum(CASE WHEN c.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves
+        FROM node u LEFT JOIN children c USING (node) JOIN membership m ON m.conv_id = u.conv_id AND m.d <= u.depth GROUP BY m.node)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves,
+           s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM node n JOIN subtree s USING (node) LEFT JOIN node p ON p.node = n.parent LEFT JOIN children c ON c.node = n.node"""
