@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbtide.llm import bitpack, decontaminate, langid, merkle, minhash, packing, pii, prefix_trie, quality, secret_scan, sql, suffixes, warc
+from ebbtide.llm import bitpack, decontaminate, langid, merkle, minhash, packing, pii, prefix_trie, quality, secret_scan, sql, suffixes, vptree, warc
 from ebbtide.llm.store import parquet
 
 
@@ -50,12 +50,16 @@ def op11_merkle(spark, sf_dir):
     return merkle.digest(parquet(spark, sf_dir, "documents"))
 
 
+def op12_vptree(spark, sf_dir):
+    return vptree.search(parquet(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     return prefix_trie.nodes(parquet(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_langid, op4_minhash, op5_suffixes, op6_quality, op7_packing, op8_token_files, op9_decontamination,
-                                  op10_secrets, op11_merkle, op13_prefix_trie)}
+                                  op10_secrets, op11_merkle, op12_vptree, op13_prefix_trie)}
 SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
@@ -66,5 +70,6 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
         FROM p JOIN f USING (payload_digest)""",
     "op11_merkle": sql.MERKLE,
+    "op12_vptree": sql.NEAREST,
     "op13_prefix_trie": sql.PREFIX_TRIE,
 }

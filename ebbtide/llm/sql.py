@@ -70,3 +70,13 @@ PREFIX_TRIE = f"""
     SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves,
            s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
     FROM node n JOIN subtree s USING (node) LEFT JOIN node p ON p.node = n.parent LEFT JOIN children c ON c.node = n.node"""
+
+NEAREST = """
+    WITH v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), false)))
+          AND list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+    q AS (SELECT vec_id, min(x) AS x FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
+    d AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - v.x[i]) * (q.x[i] - v.x[i])), lambda a, b: a + b)) AS score FROM q JOIN v ON v.vec_id <> q.vec_id AND len(v.x) = len(q.x))
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
