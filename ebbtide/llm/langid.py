@@ -7,13 +7,17 @@ expectation-maximisation (forward-backward over the distinct words of each langu
 bounded sample of the labelled documents. Scoring works on the distinct words of a slice of texts with numpy:
 all words advance through one trie of the pieces together, and each text's sum is gathered from its words.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; a null ``doc_id`` is kept and
+Of the vocabulary's pieces those of lower-case letters with at most ``MAX_PIECE`` characters are used; a letter that
+is no piece has the probability ``UNKNOWN``, so longer pieces are spelt out by shorter ones.
+
+Defined results: a text that is null or has no letter (Unicode category L) is ``und`` with score 0; a null ``doc_id`` is kept and
 counts as not held out; repeated rows give repeated rows; ties go to the first language in order; an empty
 table gives no rows; without any labelled document every prediction is ``und``; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +41,15 @@ SMOOTHING = 0.1  # added to every piece's expected count
 DENSE_LETTERS = 96  # letters with a column in the trie's dense table
 UNKNOWN = 1e-7  # probability of a letter that is no piece
 UNDECIDED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+SLICE_BYTES = 4 << 20  # text whose words are scored together
+WORD_BLOCK = 1 << 14  # words whose forward values are held at once
+LONG_WORD = 512  # letters from which a word is scored on its own, one letter after the other
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(word: str) -> list[str]:
+    """Runs of letters (Unicode category L; number characters such as a half or a circled one are none)."""
+    return [r for run in _WORD.findall(word) for r in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 class Pieces:
@@ -73,6 +85,17 @@ class Pieces:
                 if c <= DENSE_LETTERS:
                     self._dense[at, c] = to
         self.piece = np.array(piece, dtype=np.int32)
+        self._below = child
+
+    def from_letter(self, codes: list[int], i: int) -> Iterator[tuple[int, int]]:
+        """(length, piece) of all pieces that begin at letter ``i``."""
+        at = 0
+        for length in range(1, min(self.longest, len(codes) - i) + 1):
+            at = self._below[at].get(codes[i + length - 1])
+            if at is None:
+                return
+            if self.piece[at] >= 0:
+                yield length, int(self.piece[at])
 
     def child(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The node below along a letter, -1 where there is none."""
@@ -119,9 +142,58 @@ def _steps(p: Pieces, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, i:
 def log_likelihoods(p: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """log P(word | language) for every word and language: the forward algorithm over all segmentations.
 
-    ``probs`` has a row per piece and a column per language. The forward values in reach are rescaled per word
-    as they shrink, so words of any length stay within range.
+    ``probs`` has a row per piece and a column per language. Words go through in blocks, the longest of them one by
+    one, so memory and time follow the letters, not the longest word.
     """
+    out = np.empty((len(words), probs.shape[1]))
+    usual = np.array([i for i, w in enumerate(words) if len(w) < LONG_WORD], np.int64)
+    usual = usual[np.argsort([len(words[i]) for i in usual.tolist()], kind="stable")] if len(usual) else usual
+    for a in range(0, len(usual), WORD_BLOCK):
+        rows = usual[a:a + WORD_BLOCK]
+        out[rows] = _together(p, probs, [words[i] for i in rows.tolist()])
+    for i, w in enumerate(words):
+        if len(w) >= LONG_WORD:
+            out[i] = _alone(p, probs, w)
+    return out
+
+
+def _alone(p: Pieces, probs: np.ndarray, word: str) -> np.ndarray:
+    """The forward algorithm over one long word; values in reach of a letter shrink together, in units of the one there."""
+    codes = p.encoded([word])[0].tolist()
+    langs, unknown = range(probs.shape[1]), [UNKNOWN] * probs.shape[1]
+    known: dict[int, list[float]] = {}
+    ahead = [[0.0] * len(langs) for _ in range(p.longest + 1)]  # of the letter at hand and those in reach
+    ahead[0] = [1.0] * len(langs)
+    scale = [0.0] * len(langs)
+    for i in range(len(codes)):
+        here = ahead[0]
+        if min(here) < 1e-100:
+            for k in langs:  # every language in units of its own
+                unit = here[k]
+                scale[k] += math.log(unit)
+                for values in ahead:
+                    values[k] /= unit
+        one = False
+        for length, piece in p.from_letter(codes, i):
+            prob = known.get(piece)
+            if prob is None:
+                prob = known[piece] = probs[piece].tolist()
+            one |= length == 1
+            to = ahead[length]
+            for k in langs:
+                to[k] += here[k] * prob[k]
+        if not one:
+            to = ahead[1]
+            for k in langs:
+                to[k] += here[k] * unknown[k]
+        ahead.append([0.0] * len(langs))
+        del ahead[0]
+    return np.log(ahead[0]) + scale
+
+
+def _together(p: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
+    """The forward algorithm over many words at once. The forward values in reach are rescaled per word as they
+    shrink, so words of any length stay within range."""
     codes, bounds = p.encoded(words)
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
@@ -216,7 +288,7 @@ class Scorer:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         words, word, bounds = _word_table(texts)
-        runs = [_LETTERS.findall(w.lower()) for w in words]
+        runs = [letter_runs(w.lower()) for w in words]
         number: dict[str, int] = {}
         flat = [number.setdefault(r, len(number)) for rs in runs for r in rs]
         each = np.fromiter(map(len, runs), np.int64, len(runs))
@@ -257,11 +329,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", doc
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {k: i for i, k in enumerate(langs)}
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
+            for part in tokens.slices(batch, "text", SLICE_BYTES):
                 words, word, bounds = _word_table(part.column("text"))
                 lang = np.repeat([place[k] for k in part.column("lang").to_pylist()], np.diff(bounds))
                 counts = np.bincount(word * len(langs) + lang, minlength=len(words) * len(langs)).reshape(-1, len(langs))
-                out = [(r, k, int(n)) for w, row in zip(words, counts) for r in _LETTERS.findall(w.lower()) for k, n in enumerate(row) if n]
+                out = [(r, k, int(n)) for w, row in zip(words, counts) for r in letter_runs(w.lower()) for k, n in enumerate(row) if n]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["word", "lang", "n"])
 
@@ -294,7 +366,7 @@ def predicted(text: Column, model: Model) -> Column:
         for part in parts:
             batch = pa.RecordBatch.from_arrays([part], ["text"])
             lang, score = [], []
-            for s in tokens.slices(batch, "text"):
+            for s in tokens.slices(batch, "text", SLICE_BYTES):
                 a, b = scorer.predict(s.column("text"))
                 lang += a
                 score.append(b)

@@ -236,5 +236,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS,
                     band_rows: int = BAND_ROWS) -> DataFrame:
     """The documents (all columns) with one of each group left; rows that repeat a kept document stay."""
-    dropped = near_duplicates(docs, id_col, text_col, percent, bands, band_rows).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(docs, id_col, text_col, percent, bands, band_rows).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, docs[id_col].cast("long") == dropped["doc_id"], "left_anti")

@@ -141,7 +141,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     rows = described(found, values).withColumn("label", label())
     model = fit(rows if labelled is None else labelled)
     if model is None:
-        scored = rows.withColumn("probability", F.coalesce("label", F.lit(0.5)))
+        scored = rows.withColumn("probability", F.coalesce("label", F.lit(0.0)))  # only what the rule calls a secret is one
     else:
         rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
         scored = model.transform(rows).withColumn("chance", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")

@@ -22,17 +22,16 @@ def word_sets(pairs):
     return out
 
 
-def near(a, b):
-    return bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+def near(a, b, percent=85):
+    return bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
 
 
-def smallest_reachable(sets):
+def smallest_reachable(sets, percent=85):
     comp = list(range(len(sets)))
-    for _ in sets:
-        for i, j in itertools.combinations(range(len(sets)), 2):
-            if comp[i] != comp[j] and near(sets[i][1], sets[j][1]):
-                lo, hi = sorted((comp[i], comp[j]))
-                comp = [lo if c == hi else c for c in comp]
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if comp[i] != comp[j] and near(sets[i][1], sets[j][1], percent):
+            lo, hi = sorted((comp[i], comp[j]))
+            comp = [lo if c == hi else c for c in comp]
     return [min(sets[j][0] for j in range(len(sets)) if comp[j] == comp[i]) for i in range(len(sets))]
 
 
@@ -155,7 +154,7 @@ def test_pipeline_stages(spark, sf_small):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         after = {r.doc_id: r for r in docs.collect()}
         if name == "near_duplicates":
-            comp = dict(zip(before, smallest_reachable(word_sets([(d, r.text) for d, r in before.items()]))))
+            comp = dict(zip(before, smallest_reachable(word_sets([(d, r.text) for d, r in before.items()]), minhash.LOOSE_PERCENT)))
             assert set(after) == {d for d, c in comp.items() if c == d}
         elif name == "decontamination":
             assert set(after) == {d for d, r in before.items() if not decontaminate.Matcher(items).matches(r.text)}
@@ -182,3 +181,23 @@ def test_pipeline_drops_near_copies_from_similarity_80(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3}
     assert minhash.representatives(df).count() == 3  # the query of operator 4 keeps its 0.85
     assert minhash.missed(0.8, minhash.LOOSE_BANDS, minhash.LOOSE_ROWS) <= minhash.missed(0.85)
+
+
+def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path):
+    """Nulls, empty, tied, repeated and very long texts and columns that operators use inside, through all stages; then no rows."""
+    import corpus_pipeline
+    clashing = docs.selectExpr("*", "doc_id AS _dropped", "text AS p", "n_chars AS component", "doc_id AS rep", "lang AS language")
+    spark.createDataFrame([(1, "a passage that no document of this table holds anywhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    known = {d: t for d, t, *_ in rows()}
+    df, kept = clashing, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == clashing.columns
+        kept.append({r.doc_id for r in df.collect()})
+        assert kept[-1] <= (kept[-2] if len(kept) > 1 else set(known))
+    assert not {5, 6, 7} & kept[0] and {1, 4, 9, None} <= kept[0]  # no text or no letter goes, whatever else is odd stays
+    assert 2 not in kept[1] and {1, 4, 9, None} <= kept[1]  # 2 is a copy of 1; rows without an id are never dropped as copies
+    assert {1, 4, 9, None} <= kept[3]
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()} == kept[3]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

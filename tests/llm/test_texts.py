@@ -108,7 +108,11 @@ def test_forward_sums_all_segmentations():
 
     words = ["the", "schönheit", "x", "日本", "theandtionßé" * 2, "zzz日qq", "привет"]
     assert np.allclose(langid.log_likelihoods(p, probs, words), [brute(langid.BEGIN + w) for w in words])
-    assert np.isfinite(langid.log_likelihoods(p, probs, ["abcdefgh" * 500])).all()
+    long = ["abcdefgh" * 500, "theund" * 90 + "日本é" * 40, "x" * langid.LONG_WORD, "zß" * 4000]
+    for w in long:  # one by one, and together with others
+        assert np.allclose(langid._alone(p, probs, w), [langid._together(p, probs[:, [k]], ["the", w])[1, 0] for k in range(3)])
+    mixed = langid.log_likelihoods(p, probs, ["the", *long, "x"])
+    assert np.isfinite(mixed).all() and np.allclose(mixed[[0, -1]], [brute(langid.BEGIN + "the"), brute(langid.BEGIN + "x")])
     used = langid.expected_counts(p, probs, ["the", "and"], np.array([0, 2]), np.array([2.0, 1.0]))
     assert used[:, 1].sum() == 0 and used[:, 0].sum() >= 2 and used[:, 2].sum() >= 1
 
@@ -145,6 +149,13 @@ def test_long_runs_of_rare_and_unknown_letters_keep_the_fit_finite(spark):
     assert names == ["en", "de"] and np.isfinite(score).all()
 
 
+def test_number_characters_are_no_letters(spark):
+    assert langid.letter_runs("½²①") == [] and langid.letter_runs("a½b²c③d٣e") == ["a", "b", "c", "d", "e"] and langid.letter_runs("it's日本") == ["it", "s日本"]
+    rows = [(i, prose(i), "en") for i in range(9)] + [(20, "½ ² ①", "en"), (21, "½ river ² stone", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[20] == ("und", 0.0) and got[21][0] == "en"
+
+
 def test_langid_held_out_accuracy_and_odd_rows(spark, sf_small, docs, empty):
     real = spark.read.parquet(f"{sf_small}/documents.parquet")
     got = langid.predictions(real).join(real.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -230,6 +241,13 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.findings(empty).count() == 0
 
 
+def test_one_label_alone_decides(spark):
+    """Nothing to fit: what the rule calls a secret is one, what it says nothing about is none."""
+    texts = [(1, "password=a9f03bc1d2e47f6a55"), (2, "build x9qrstuvwxyz7abcdef end")]
+    got = {r.doc_id: (r.label, r.secret) for r in secret_scan.scan(spark.createDataFrame([(*t, "a") for t in texts], "doc_id long, text string, source string")).collect()}
+    assert got[1] == (1.0, True) and got[2] == (None, False)
+
+
 def test_named_values_and_late_digits_are_candidates(spark):
     forms = ['password = "Abc123!x"', "password: Abc123!x", '"password": "Abc123!x"', 'password="Abc123!x"', "password=Abc123!x", "'pwd' => 'Abc123!x'",
              "api-key: Abc123!x", "access_key=Abc123!x", "API_KEY := Abc123!x", "secret Abc123!x", "auth\t'Abc123!x'"]
