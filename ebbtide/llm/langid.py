@@ -41,7 +41,7 @@ SMOOTHING = 0.1  # added to every piece's expected count
 DENSE_LETTERS = 96  # letters with a column in the trie's dense table
 UNKNOWN = 1e-7  # probability of a letter that is no piece
 UNDECIDED = "und"
-SLICE_BYTES = 4 << 20  # text whose words are scored together
+SLICE_BYTES = 8 << 20  # text whose words are scored together
 WORD_BLOCK = 1 << 14  # words whose forward values are held at once
 LONG_WORD = 512  # letters from which a word is scored on its own, one letter after the other
 _WORD = re.compile(r"[^\W\d_]+")
