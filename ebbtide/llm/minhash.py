@@ -39,6 +39,7 @@ COORDINATES = BANDS * BAND_ROWS
 LOOSE_PERCENT, LOOSE_BANDS, LOOSE_ROWS = 80, 39, 5  # the pipeline's threshold, missed no more often there than 85 by the bands above
 MEMBERS_PER_TASK = 256  # members of one head that are compared in one stretch of rows
 BROADCAST_PAIRS = 500_000  # 16 bytes each; more pairs are joined by a shuffle
+SLICE_BYTES = 4 << 20  # text whose shingles one numpy step works on
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 4 << 20  # of a bucket with different components; two blocks meet in a task
 _U = np.uint64
 
@@ -87,7 +88,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
+            for part in tokens.slices(batch, "text", SLICE_BYTES):
                 sets = list(shingles.shingle_sets(part.column("text"), SHINGLE_WORDS))
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys = iter(band_keys(sketches([sets[i] for i in some], bands * band_rows), bands).tolist())
@@ -120,7 +121,7 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percen
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, heads = None, []
         for batch in batches:
-            for piece in tokens.slices(batch, "text"):
+            for piece in tokens.slices(batch, "text", SLICE_BYTES):
                 found = []
                 sets = shingles.shingle_sets(piece.column("text"), SHINGLE_WORDS)
                 for a, part, member, b, s in zip(*(piece.column(c).to_pylist() for c in ("a", "part", "member", "b")), sets):
@@ -193,7 +194,7 @@ def linked_in_buckets(mixed: DataFrame, docs: DataFrame, id_col: str, text_col:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
         for batch in batches:
-            for piece in tokens.slices(batch, "text"):
+            for piece in tokens.slices(batch, "text", SLICE_BYTES):
                 columns = (piece.column(c).to_pylist() for c in ("key", "i", "j", "rep", "label", "side"))
                 for key, i, j, rep, label, side, s in zip(*columns, shingles.shingle_sets(piece.column("text"), SHINGLE_WORDS)):
                     if (key, i, j) != at:
