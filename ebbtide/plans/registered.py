@@ -1185,8 +1185,14 @@ def _what_if(spark, sf_dir):
 from ebbtide.session import scratch_path  # noqa: E402
 from ebbtide.streaming import jobs as T  # noqa: E402
 
-STREAM_FILES = 4
-FILES_PER_TRIGGER = 2  # two micro-batches per run: state and idempotent sinks are exercised across batches
+ALL_FILES = 1 << 30
+
+
+def _halves(df, by: str):
+    """The rows before and after the middle of the time span, so that a stream gets them in two runs, in order."""
+    lo, hi = df.agg(F.min(by), F.max(by)).first()
+    mid = lo + (hi - lo) / 2
+    return df.where(F.col(by) < F.lit(mid)), df.where((F.col(by) >= F.lit(mid)) | F.col(by).isNull())
 
 
 @register("stream_import", q("""
@@ -1200,30 +1206,32 @@ FROM cc"""))
 def _stream_import(spark, sf_dir):
     cust = W(spark, sf_dir).customers
     src = scratch_path(spark, "t1-src")
-    cust.repartition(STREAM_FILES).write.option("header", True).csv(src)
     root, ckpt = scratch_path(spark, "t1-table"), scratch_path(spark, "t1-ckpt")
-    T.stream_import(spark, src, cust.schema, root, ckpt, files_per_batch=FILES_PER_TRIGGER)
+    for part in (0, 1):  # two uploads: the second run picks up where the first stopped
+        cust.where(F.pmod(F.xxhash64("customer_id"), F.lit(2)) == part).write.mode("append").option("header", True).option("escape", '"').csv(src)
+        T.stream_import(spark, src, cust.schema, root, ckpt, files_per_batch=ALL_FILES)
+    T.compact_import(spark, root)
     return T.imported_table(spark, root)
 
 
 @register("stream_engagement", SQL["engagement"])
 def _stream_engagement(spark, sf_dir):
     from ebbtide.sources.tables import table
-    src = scratch_path(spark, "t2-src")
-    table(spark, sf_dir, "events").repartition(STREAM_FILES, "event_id").write.parquet(src)
-    root, ckpt = scratch_path(spark, "t2-state"), scratch_path(spark, "t2-ckpt")
-    T.stream_engagement(spark, src, root, ckpt, watermark="31 days", files_per_batch=FILES_PER_TRIGGER)
+    src, root, ckpt = scratch_path(spark, "t2-src"), scratch_path(spark, "t2-state"), scratch_path(spark, "t2-ckpt")
+    for half in _halves(table(spark, sf_dir, "events"), "ts"):
+        half.write.mode("append").parquet(src)
+        T.stream_engagement(spark, src, root, ckpt, watermark="1 day", files_per_batch=ALL_FILES)
     return T.engagement_from_state(spark, root).drop("first_ts")
 
 
 @register("stream_trend", SQL["risk_trend"])
 def _stream_trend(spark, sf_dir):
     hist = fixtures.risk_history(spark, sf_dir)
-    src = scratch_path(spark, "t3-src")
-    hist.repartition(STREAM_FILES, "history_id").write.parquet(src)
-    root, ckpt = scratch_path(spark, "t3-state"), scratch_path(spark, "t3-ckpt")
-    T.stream_trend(spark, src, hist.schema, root, ckpt, width="1 day", watermark="31 days",
-                   files_per_batch=FILES_PER_TRIGGER)
+    src, root, ckpt = scratch_path(spark, "t3-src"), scratch_path(spark, "t3-state"), scratch_path(spark, "t3-ckpt")
+    for half in _halves(hist, "recorded_ts"):
+        half.write.mode("append").parquet(src)
+        T.stream_trend(spark, src, hist.schema, root, ckpt, width="1 day", watermark="1 day", files_per_batch=ALL_FILES)
+    T.compact_trend(spark, root)
     return T.trend_from_state(spark, root).select(
         F.to_date("window_start").alias("recorded_date"), F.round("probability", 12).alias("probability"),
         F.col("n").alias("snapshots"))

@@ -23,6 +23,12 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df
 
 
+def csv_options(reader, multi_line: bool = False):
+    """A (batch or stream) reader for customer CSV: UTF-8, a header row, and a quote inside a quoted field is doubled."""
+    return (reader.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line))
+
+
 def read_customers(spark: SparkSession, path: str, fmt: str = "csv", *, json_array: bool = True,
                    schema=None, multi_line: bool = False) -> DataFrame:
     """A customer file of any layout.
@@ -34,8 +40,7 @@ def read_customers(spark: SparkSession, path: str, fmt: str = "csv", *, json_arr
     """
     fmt = fmt.lower()
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
-        reader = reader.option("multiLine", multi_line)
+        reader = csv_options(spark.read, multi_line)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         df = reader.csv(path)
     elif fmt == "json":
