@@ -9,7 +9,7 @@ its starting offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.session import cut_lineage
@@ -45,33 +45,71 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: i
     return local.withColumn(rank_col, F.row_number().over(final_w)).where(F.col(rank_col) <= k)
 
 
-def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact median of each numeric column (NULL and NaN skipped; the mean of the two middle values
-    for an even count), computed without collecting any column.
+PICK_ROWS = 4096  # distinct values per column that are read back in the last step
+_ACCURACY = 10_000  # of the approximate quantiles that bracket a rank
+
+
+def exact_ranks(df: DataFrame, values: dict[str, tuple[Column, list[int]]]) -> dict[str, list[float | None]]:
+    """The values at the given ranks (0-based, ascending; NULL and NaN skipped) of several double expressions at once.
 
-    The columns are unpivoted into (feature, value) cells, range-sorted with a unique tiebreak (so a
-    value shared by a third of all rows still spreads over many partitions), given dense positions, and
-    only the one or two middle cells per feature are read back.
+    Bracketed selection: approximate quantiles give an interval that must hold the ranks, a counting scan places it, and
+    both repeat inside it, each time with some thousandth of the values left, until it holds one value or at most
+    ``PICK_ROWS`` distinct ones, which are counted and read back. Nothing is sorted or stored, a value that very many rows
+    share ends the search at once, and every scan serves all expressions.
     """
+    clean = {k: F.when(~F.isnan(e), e) for k, (e, _) in values.items()}
+    ranks = {k: r for k, (_, r) in values.items()}
+    found: dict[str, list[float | None]] = {k: [None] * len(r) for k, r in ranks.items()}
+    # interval, values below it and in it; the first scan counts and brackets all of them
+    first = df.agg(*[x for i, k in enumerate(clean) for x in (F.count(clean[k]).alias(f"n{i}"), F.min(clean[k]).alias(f"lo{i}"), F.max(clean[k]).alias(f"hi{i}"))]).first()
+    state = {k: (first[f"lo{i}"], first[f"hi{i}"], 0, first[f"n{i}"]) for i, k in enumerate(clean) if ranks[k] and first[f"n{i}"]}
+    open_ = [k for k, (lo, hi, _, n) in state.items() if lo < hi and n > PICK_ROWS]
+    while open_:
+        within = {k: F.when(clean[k].between(*state[k][:2]), clean[k]) for k in open_}
+        asked = []
+        for k in open_:
+            _, _, below, n = state[k]
+            at = [(r - below + 0.5) / n for r in ranks[k]]
+            asked.append(F.percentile_approx(within[k], [max(0.0, min(at) - 2 / _ACCURACY), min(1.0, max(at) + 2 / _ACCURACY)], _ACCURACY))
+        cut = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(asked)]).first()
+        tight = {k: tuple(cut[f"q{i}"]) for i, k in enumerate(open_)}
+        placed = df.agg(*[x for i, k in enumerate(open_) for x in (F.count_if(clean[k] < tight[k][0]).alias(f"b{i}"),
+                                                                  F.count_if(clean[k].between(*tight[k])).alias(f"n{i}"))]).first()
+        again = []
+        for i, k in enumerate(open_):
+            below, n = placed[f"b{i}"], placed[f"n{i}"]
+            holds = below <= min(ranks[k]) and max(ranks[k]) < below + n
+            if not holds or n >= state[k][3]:  # no nearer: the few distinct values left are counted as they are
+                continue
+            state[k] = (*tight[k], below, n)
+            if tight[k][0] < tight[k][1] and n > PICK_ROWS:
+                again.append(k)
+        open_ = again
+    picks = [k for k, (lo, hi, _, _) in state.items() if lo < hi]
+    counts: dict[str, list[tuple[float, int]]] = {k: [] for k in picks}
+    if picks:
+        cells = F.array(*[F.struct(F.lit(k).alias("k"), F.when(clean[k].between(*state[k][:2]), clean[k]).alias("v")) for k in picks])
+        for r in df.select(F.inline(cells)).where("v is not null").groupBy("k", "v").count().collect():
+            counts[r["k"]].append((r["v"], r["count"]))
+    for k, (lo, hi, below, _) in state.items():
+        if lo == hi:
+            found[k] = [lo] * len(ranks[k])
+            continue
+        at, todo = below, sorted(counts[k])
+        ends = []
+        for v, n in todo:
+            at += n
+            ends.append((at, v))
+        found[k] = [next(v for end, v in ends if r < end) for r in ranks[k]]
+    return found
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact median of each numeric column (NULL and NaN skipped; the mean of the two middle values for an even count)."""
     if not cols:
         return {}
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v"))
-                                         for i, c in enumerate(cols)])))
-    cells = cells.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("_t", F.monotonically_increasing_id())
-    counts = {r["f"]: r["n"] for r in cells.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, acc = {}, 0
-    for f in sorted(counts):
-        starts[f] = acc
-        acc += counts[f]
-    want = {}
-    for f, n in counts.items():
-        for p in {starts[f] + (n - 1) // 2, starts[f] + n // 2}:
-            want[p] = f
-    if not want:
-        return {c: None for c in cols}
-    idx = dense_index(cells, [F.col("f"), F.col("v"), F.col("_t")], "pos")
-    picked = idx.where(F.col("pos").isin(list(want))).select("f", "pos", "v").collect()
-    vals: dict[int, list[float]] = {}
-    for r in picked:
-        vals.setdefault(r["f"], []).append(r["v"])
-    return {c: (sum(vals[i]) / len(vals[i]) if i in vals else None) for i, c in enumerate(cols)}
+    v = {c: F.col(c).cast("double") for c in cols}
+    n = df.agg(*[F.count(F.when(~F.isnan(v[c]), v[c])).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    middle = {c: sorted({(n[i] - 1) // 2, n[i] // 2}) if n[i] else [] for i, c in enumerate(cols)}
+    got = exact_ranks(df, {c: (v[c], middle[c]) for c in cols})
+    return {c: sum(got[c]) / len(got[c]) if got[c] else None for c in cols}

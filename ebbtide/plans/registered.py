@@ -964,6 +964,8 @@ def _register_source(spark, sf_dir):
 
 import threading  # noqa: E402
 
+from ebbtide.session import scratch_path  # noqa: E402
+
 from ebbtide.functions.scalars import clip01, heuristic_score  # noqa: E402
 from ebbtide.operators import model as M  # noqa: E402
 
@@ -974,7 +976,10 @@ _MODELS: dict = {}
 def trained_model(spark, sf_dir, sources=None):
     """The churn model fitted on the active customers (one fit per session, input and registry)."""
     w = W(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir, "default" if sources is None else "toggled")
+    active = (w.sources if sources is None else sources).where("is_active = 1").select("source_id")
+    # the registry's content names the model: the number and a hash of the active sources
+    content = tuple(active.agg(F.count(F.lit(1)), F.sum(F.xxhash64("source_id").cast("decimal(38,0)"))).first())
+    key = (spark.sparkContext.applicationId, sf_dir, *content)
     with _MODEL_LOCK:
         if key not in _MODELS:
             _MODELS[key] = M.train_active(w.customers, w.sources if sources is None else sources)
@@ -989,7 +994,7 @@ def _scored_by_model(spark, sf_dir, sources=None):
     scored = model.score(active)
     # driver statistics need only the raw features: read them from the input, not the scored batch
     stats = M.driver_stats(active, model.features)
-    return scored.withColumn("risk_drivers", M.risk_drivers(scored, stats, None))
+    return scored.withColumn("risk_drivers", M.risk_drivers(scored, stats, model.importances))
 
 
 @register("train_and_score")
@@ -1034,6 +1039,50 @@ def _retrain(spark, sf_dir):
     return s.groupBy("prediction_label").agg(F.count(F.lit(1)).alias("customers"))
 
 
+@register("save_and_score", q("""
+SELECT customer_id, true AS same_scores, true AS ordered_band, true AS label_by_rule, 1 AS version
+FROM cc JOIN ds USING (source_id) WHERE ds.is_active = 1"""))
+def _save_and_score(spark, sf_dir):
+    """The trained model saved, loaded as another object and put to the active customers: its scores are those of
+    the model in memory, the band lies in order between 0 and 1, the label follows the configured threshold."""
+    w, root = W(spark, sf_dir), scratch_path(spark, "model-store")
+    model = trained_model(spark, sf_dir)
+    version = model.save(spark, root)
+    active = J.active_only(w.customers, w.sources)
+    held = model.score(active).select("customer_id", F.col(P_COL).alias("p"), F.col("ci_lower").alias("lo"), F.col("ci_upper").alias("hi"))
+    s = M.ChurnModel.load(spark, root, version).score(active).join(held, "customer_id")
+    return s.select("customer_id",
+                    ((F.abs(F.col(P_COL) - F.col("p")) < 1e-9) & (F.abs(F.col("ci_lower") - F.col("lo")) < 1e-9) & (F.abs(F.col("ci_upper") - F.col("hi")) < 1e-9)).alias("same_scores"),
+                    ((F.col("ci_lower") >= 0) & (F.col("ci_lower") <= F.col("ci_upper")) & (F.col("ci_upper") <= 1)).alias("ordered_band"),
+                    (F.col("prediction_label") == F.when(F.col(P_COL) >= DEFAULT_CONFIG.risk_threshold, DEFAULT_CONFIG.high_label).otherwise(DEFAULT_CONFIG.low_label)).alias("label_by_rule"),
+                    F.lit(version).alias("version"))
+
+
+@register("stratified_split", q("""
+SELECT CAST(churned AS DOUBLE) AS label, count(*) AS n, CAST((count(*) * 20 + 50) // 100 AS BIGINT) AS test_rows,
+       CAST(count(*) - (count(*) * 20 + 50) // 100 AS BIGINT) AS train_rows
+FROM cc JOIN ds USING (source_id) WHERE ds.is_active = 1 AND churned IS NOT NULL GROUP BY churned"""))
+def _stratified_split(spark, sf_dir):
+    w = W(spark, sf_dir)
+    data = J.active_only(w.customers, w.sources).where("churned is not null").withColumn("label", F.col("churned").cast("double"))
+    tr, te, _ = M.stratified_split(data)
+    both = tr.select("label", F.lit(0).alias("t")).unionByName(te.select("label", F.lit(1).alias("t")))
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("test_rows"), F.sum(1 - F.col("t")).alias("train_rows"))
+
+
+@register("what_if_with_model", q("""
+SELECT customer_id AS scenario_id, true AS label_by_rule, true AS advised FROM scored"""))
+def _what_if_model(spark, sf_dir):
+    """M17 through the trained model: every active customer's row as a scenario without open tickets."""
+    scen = W(spark, sf_dir).active_scored().select(F.col("customer_id").alias("scenario_id"), F.lit(0).cast("bigint").alias("Support_Tickets"),
+                                                   *[c for c in DEFAULT_CONFIG.feature_columns if c != "support_tickets"])
+    model = trained_model(spark, sf_dir)
+    out = M.score_scenarios(model.score, scen, model.features)
+    high = F.col(P_COL) >= DEFAULT_CONFIG.risk_threshold
+    return out.select("scenario_id", (F.col("prediction_label") == F.when(high, DEFAULT_CONFIG.high_label).otherwise(DEFAULT_CONFIG.low_label)).alias("label_by_rule"),
+                      (F.col("recommendations")[0] == F.when(high, M.WHATIF_HIGH).otherwise(M.WHATIF_LOW)).alias("advised"))
+
+
 _AUC_SQL = """
 , r AS (SELECT CAST(churned AS DOUBLE) AS y, predicted_probability AS p,
                rank() OVER (ORDER BY predicted_probability) + (count(*) OVER (PARTITION BY predicted_probability) - 1) / 2.0 AS rk
@@ -1182,7 +1231,6 @@ def _what_if(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming (T1–T3), each against its batch twin
 
-from ebbtide.session import scratch_path  # noqa: E402
 from ebbtide.streaming import jobs as T  # noqa: E402
 
 ALL_FILES = 1 << 30

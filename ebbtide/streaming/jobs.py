@@ -19,9 +19,10 @@ from ebbtide.config import DEFAULT_CONFIG, RetentionConfig
 from ebbtide.functions.scalars import instant_to_ntz, ntz_to_instant
 from ebbtide.operators import ingest as I
 from ebbtide.session import broadcast_if_small
+from ebbtide.sources.published import publish_json, read_json
 from ebbtide.sources.tables import csv_options
 from ebbtide.streaming import sinks
-from ebbtide.streaming.sinks import BATCH, latest_per_key, publish_json, read_batches, read_json, write_batch
+from ebbtide.streaming.sinks import BATCH, latest_per_key, read_batches, write_batch
 
 FILE, ORDER = "_file", "_order"  # a row's file, and its place in the order of all imported rows
 MAX_BATCH_KEYS = 5_000_000  # a micro-batch's distinct ids are broadcast only below this count

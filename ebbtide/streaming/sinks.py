@@ -8,49 +8,14 @@ the newest pointer's base and the batches after it, so they see either the old o
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = "batch_id"
-
-
-def _folder(spark: SparkSession, root: str):
-    """(file system, Path class) of any Hadoop-compatible folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
-
+from ebbtide.sources.published import names_below, publish_json, read_json
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    fs, path = _folder(spark, folder)
-    return sorted(s.getPath().getName() for s in fs.listStatus(path(folder))) if fs.exists(path(folder)) else []
-
-
-def read_json(spark: SparkSession, file: str) -> dict | None:
-    """A small settings file, None where there is none."""
-    fs, path = _folder(spark, file)
-    if not fs.exists(path(file)):
-        return None
-    stream = fs.open(path(file))
-    try:
-        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-    finally:
-        stream.close()
-
-
-def publish_json(spark: SparkSession, folder: str, name: str, value: dict) -> bool:
-    """Writes ``folder/name`` as a whole or not at all; False if the name is taken already."""
-    fs, path = _folder(spark, folder)
-    draft = path(f"{folder}/.{name}-{uuid.uuid4().hex}")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(value).encode()))
-    out.close()
-    if fs.exists(path(f"{folder}/{name}")) or not fs.rename(draft, path(f"{folder}/{name}")):
-        fs.delete(draft, False)
-        return False
-    return True
+BATCH = "batch_id"
 
 
 def batch_path(root: str, batch_id: int) -> str:
@@ -63,7 +28,7 @@ def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
 
 def _version(spark: SparkSession, root: str) -> tuple[int, dict]:
     """The newest published version: its number, and its base folder with the last batch folded into it."""
-    numbers = [int(n) for n in _names(spark, f"{root}/_versions") if n.isdigit()]
+    numbers = [int(n) for n in names_below(spark, f"{root}/_versions") if n.isdigit()]
     if not numbers:
         return 0, {"base": None, "upto": -1}
     return max(numbers), read_json(spark, f"{root}/_versions/{max(numbers)}")
@@ -72,7 +37,7 @@ def _version(spark: SparkSession, root: str) -> tuple[int, dict]:
 def read_batches(spark: SparkSession, root: str, below: int | None = None) -> DataFrame | None:
     """All rows under ``root`` with their ``batch_id`` (the base's included), or None before the first batch."""
     version = _version(spark, root)[1]
-    batches = [int(n.split("=")[1]) for n in _names(spark, root) if n.startswith(f"{BATCH}=")]
+    batches = [int(n.split("=")[1]) for n in names_below(spark, root) if n.startswith(f"{BATCH}=")]
     parts = [spark.read.parquet(f"{root}/{version['base']}")] if version["base"] else []
     newer = [batch_path(root, b) for b in sorted(batches) if b > version["upto"]]
     if newer:
@@ -89,7 +54,7 @@ def compact(spark: SparkSession, root: str, fold) -> int:
     ``fold`` keeps the ``batch_id`` column. A compaction that loses the race for a number publishes nothing.
     """
     number, version = _version(spark, root)
-    batches = [int(n.split("=")[1]) for n in _names(spark, root) if n.startswith(f"{BATCH}=")]
+    batches = [int(n.split("=")[1]) for n in names_below(spark, root) if n.startswith(f"{BATCH}=")]
     df = read_batches(spark, root)
     if df is None:
         return number
@@ -102,7 +67,7 @@ def compact(spark: SparkSession, root: str, fold) -> int:
 def replace(spark: SparkSession, root: str, df: DataFrame) -> int:
     """The table becomes ``df``, whatever its columns, by publishing a base that no earlier batch belongs to."""
     number, version = _version(spark, root)
-    batches = [int(n.split("=")[1]) for n in _names(spark, root) if n.startswith(f"{BATCH}=")]
+    batches = [int(n.split("=")[1]) for n in names_below(spark, root) if n.startswith(f"{BATCH}=")]
     base, upto = f"_base/{number + 1}-{uuid.uuid4().hex[:8]}", max([version["upto"], *batches])
     df.withColumn(BATCH, F.lit(upto).cast("long")).write.parquet(f"{root}/{base}")
     if not publish_json(spark, f"{root}/_versions", str(number + 1), {"base": base, "upto": upto}):
