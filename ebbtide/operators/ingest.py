@@ -199,11 +199,11 @@ def fill_categorical(df: DataFrame, cfg: RetentionConfig = DEFAULT_CONFIG) -> Da
 
 
 def infer_target(df: DataFrame, cfg: RetentionConfig = DEFAULT_CONFIG, exclude: tuple = ()) -> str | None:
-    """Exact target name → alias by normalised name → first column whose values match the
-    churn-value pattern or whose first ten values contain a keyword.
+    """Exact target name → alias by normalised name → first column of which any value matches the churn-value
+    pattern or holds a keyword.
 
-    Id columns in ``exclude`` are skipped (an id containing "1" is not a target). The value test is
-    one aggregation over all candidate columns; the first-ten test reads ten rows per column.
+    Id columns in ``exclude`` are skipped (an id containing "1" is not a target). Both tests are one aggregation over
+    all rows of all candidate columns.
     """
     t = cfg.target_column
     if t in df.columns:
@@ -215,19 +215,10 @@ def infer_target(df: DataFrame, cfg: RetentionConfig = DEFAULT_CONFIG, exclude:
     cands = [c for c in df.columns if c not in exclude and c != ROW]
     if not cands:
         return None
-    texts = {c: F.lower(F.col(c).cast("string")) for c in cands}
-    flags = df.agg(*[F.max(F.coalesce(texts[c].rlike(TARGET_VALUE_PATTERN), F.lit(False))).alias(f"m{i}")
+    tests = f"{TARGET_VALUE_PATTERN}|{'|'.join(TARGET_KEYWORDS)}"
+    flags = df.agg(*[F.max(F.coalesce(F.lower(F.col(c).cast("string")).rlike(tests), F.lit(False))).alias(f"m{i}")
                      for i, c in enumerate(cands)]).first()
-    ordered = with_row_order(df)
-    for i, c in enumerate(cands):
-        if flags[f"m{i}"]:
-            return c
-        head = (ordered.where(F.col(c).isNotNull()).orderBy(ROW).limit(10)
-                .agg(F.concat_ws("|", F.collect_list(F.lower(F.col(c).cast("string")))).alias("j")).first())
-        joined = head["j"] if head is not None else ""
-        if joined and any(k in joined for k in TARGET_KEYWORDS):
-            return c
-    return None
+    return next((c for i, c in enumerate(cands) if flags[f"m{i}"]), None)
 
 
 # ------------------------------------------------------------------ I16 / I17

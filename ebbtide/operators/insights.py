@@ -31,35 +31,37 @@ def _text_or_empty(df: DataFrame, c: str) -> Column:
     return F.when(falsy, F.lit("")).otherwise(s)
 
 
-def categorical_profile(rows: DataFrame, order: list, max_cols: int = 4, sample: int = 200) -> DataFrame:
-    """Categorical columns of the first ``sample`` rows — non-empty, few distinct values
-    (≤ max(20, n/3)) and under 60 % integer-like among the first 50 non-empty values.
+MIN_VALUES = 20  # so many distinct values are few in any column
+NEAR = 0.2  # a sketched count this close to the limit (ten times the sketch's error) is counted exactly
 
-    Reads only ``sample`` rows (top-k), aggregates them once; returns (ordinal, column_name).
+
+def categorical_profile(rows: DataFrame, max_cols: int | None = None, sample: int | None = None, order: list | None = None) -> DataFrame:
+    """Categorical columns — non-empty, few distinct values (≤ max(20, n/3)) and under 60 % of the non-empty values
+    integer-like; as (ordinal, column_name) rows, the first ``max_cols`` of them.
+
+    One aggregation over all rows counts every column, distinct values by a mergeable sketch; only columns whose sketch
+    is near the limit are counted exactly, by one distinct of their (column, value) pairs. ``sample`` looks at the first
+    rows only (in ``order``).
     """
+    if sample is not None:
+        rows = rows.orderBy(*(order or [])).limit(sample)
     cands = [c for c in rows.columns if c.lower() not in SKIP]
-    head = rows.orderBy(*order).limit(sample)
-    texts = head.select(F.monotonically_increasing_id().alias("_i"), *[_text_or_empty(rows, c).alias(c) for c in cands])
-    nonempty = {c: ~F.col(c).isin("", "nan", "None") for c in cands}
-    # position of each value among its column's non-empty values: one window over the sample
-    # (``sample`` rows at most, so the single window partition is bounded)
-    w = Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    texts = texts.select("*", *[F.when(nonempty[c], F.sum(nonempty[c].cast("int")).over(w)).alias(f"_p{i}")
-                                for i, c in enumerate(cands)])
+    texts = rows.select(*[_text_or_empty(rows, c).alias(c) for c in cands])
+    value = {c: F.when(~F.col(c).isin("", "nan", "None"), F.col(c)) for c in cands}
     aggs = []
     for i, c in enumerate(cands):
-        ne = nonempty[c]
-        intlike = ne & parse_float_text(F.col(c)).isNotNull() & ~F.regexp_replace(F.col(c), "-", "").contains(".")
-        aggs += [F.count_if(ne).alias(f"n{i}"), F.size(F.collect_set(F.when(ne, F.col(c)))).alias(f"d{i}"),
-                 F.count_if(intlike & (F.col(f"_p{i}") <= 50)).alias(f"k{i}")]
-    agg = texts.agg(*aggs)
-    items = []
-    for i, c in enumerate(cands):
-        n, dcount, k = F.col(f"n{i}"), F.col(f"d{i}"), F.col(f"k{i}")
-        ok = (n > 0) & (dcount <= F.greatest(F.lit(20), F.floor(n / 3))) & (k < F.least(n, F.lit(50)) * 0.6)
-        items.append(F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"), ok.alias("ok")))
-    picked = F.slice(F.filter(F.array(*items), lambda x: x["ok"]), 1, max_cols)
-    return agg.select(F.inline(picked)).select("ordinal", "column_name")
+        intlike = parse_float_text(value[c]).isNotNull() & ~F.regexp_replace(value[c], "-", "").contains(".")
+        aggs += [F.count(value[c]).alias(f"n{i}"), F.approx_count_distinct(value[c], 0.02).alias(f"d{i}"), F.count_if(intlike).alias(f"k{i}")]
+    agg = texts.agg(*aggs).first()
+    limit = {c: max(MIN_VALUES, agg[f"n{i}"] // 3) for i, c in enumerate(cands)}
+    distinct = {c: agg[f"d{i}"] for i, c in enumerate(cands)}
+    near = [c for c in cands if abs(distinct[c] - limit[c]) <= NEAR * limit[c]]
+    if near:
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), value[c].alias("v")) for c in near])
+        exact = texts.select(F.inline(cells)).where("v is not null").distinct().groupBy("c").count().collect()  # a row per column
+        distinct |= dict.fromkeys(near, 0) | {r["c"]: r["count"] for r in exact}
+    kept = [(i + 1, c) for i, c in enumerate(cands) if agg[f"n{i}"] > 0 and distinct[c] <= limit[c] and agg[f"k{i}"] < 0.6 * agg[f"n{i}"]]
+    return rows.sparkSession.createDataFrame(kept[:max_cols], "ordinal int, column_name string")
 
 
 def risk_attributes(rows: DataFrame, columns: list[str], cfg: RetentionConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.config import DEFAULT_CONFIG, RetentionConfig
@@ -34,22 +33,22 @@ def filter_predictions(scored: DataFrame, label: str = "all", term: str = "") ->
     return out
 
 
-def visible_columns(rows: DataFrame, order_by: list, limit: int = 7, sample: int = 50) -> DataFrame:
-    """Columns non-empty within the first ``sample`` rows (in ``order_by`` order), minus the id and
-    internal columns; the first ``limit`` of them, as (ordinal, column_name) rows.
+def visible_columns(rows: DataFrame, limit: int | None = None, sample: int | None = None, order_by: list | None = None) -> DataFrame:
+    """Columns that are non-empty in any row, minus the id and internal columns, as (ordinal, column_name) rows.
 
-    Only ``sample`` rows are read into the aggregation (top-k), and the selection of the first
-    ``limit`` columns happens on the single aggregated row with array functions.
+    One aggregation reads all rows. ``limit`` keeps the first columns, as a view with room for so many does; ``sample``
+    looks at the first rows only (in ``order_by`` order).
     """
     candidates = [c for c in rows.columns if c != "customer_id" and c not in INTERNAL_COLUMNS]
-    head = rows.orderBy(*order_by).limit(sample)
+    if sample is not None:
+        rows = rows.orderBy(*(order_by or [])).limit(sample)
     nonempty = [F.count_if(F.col(c).isNotNull() & (F.col(c).cast("string") != F.lit(""))).alias(f"n{i}")
                 for i, c in enumerate(candidates)]
-    agg = head.agg(*nonempty)
+    agg = rows.agg(*nonempty)
     items = F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"))
                       for i, c in enumerate(candidates)])
-    kept = F.slice(F.filter(items, lambda x: x["n"] > 0), 1, limit)
-    return agg.select(F.inline(kept)).select("ordinal", "column_name")
+    kept = F.filter(items, lambda x: x["n"] > 0)
+    return agg.select(F.inline(kept if limit is None else F.slice(kept, 1, limit))).select("ordinal", "column_name")
 
 
 # Request-payload patterns (matched on lower-cased text; SQL patterns win).
@@ -131,26 +130,6 @@ def payload_scan(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     return low.select(F.inline(hit)).withColumnRenamed("k", key)
 
 
-def file_search(spark: SparkSession, root: str, query: str) -> DataFrame:
-    """P5: files whose name or relative path contains the query (case-insensitive); metadata only.
-
-    ``binaryFile`` lists the files in parallel; the content column is never selected, so only the
-    file status is read. A blank query gives no rows.
-    """
-    q = (query or "").strip().lower()
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select("path", "length"))
-    base = os.path.abspath(root).rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:", ""), "^" + base.replace(".", r"\."), "")
-    name = F.element_at(F.split(rel, "/"), -1)
-    ext = F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise(F.lit(""))
-    out = files.select(name.alias("name"), rel.alias("path"), F.col("length").alias("size"), ext.alias("ext"))
-    if not q:
-        return out.limit(0)
-    return (out.where(F.lower("name").contains(q) | F.lower("path").contains(q))
-            .orderBy(F.lower("name"), "path"))
-
-
 def label_risk(df: DataFrame, cfg: RetentionConfig = DEFAULT_CONFIG) -> DataFrame:
     """P6."""
     return df.withColumn("prediction_label", risk_label(F.col(P), cfg))

@@ -416,12 +416,11 @@ _P1_NAMES = ["risk_drivers", "ci_lower", "ci_upper", "region", "contract_type",
 
 
 @register("visible_columns", q(f"""
-, head AS (SELECT {_P1_COLS} FROM scored ORDER BY predicted_probability DESC, customer_id LIMIT 50),
+, head AS (SELECT {_P1_COLS} FROM scored),
 counts AS ({' UNION ALL '.join(f"SELECT {i + 1} AS ordinal, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '') AS n FROM head" for i, c in enumerate(_P1_NAMES))})
 SELECT ordinal, column_name FROM counts WHERE n > 0 ORDER BY ordinal LIMIT 7"""))
 def _visible_columns(spark, sf_dir):
-    rows = PR.predictions_list(W(spark, sf_dir).active_scored())
-    return PR.visible_columns(rows, [F.col("predicted_probability").desc(), F.col("customer_id")], 7, 50)
+    return PR.visible_columns(PR.predictions_list(W(spark, sf_dir).active_scored()), limit=7)
 
 
 def _payload_sql(table: str, key: str, col: str) -> str:
@@ -939,6 +938,18 @@ def _sync_feed(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("customers"), F.round(F.avg("predicted_probability"), 12).alias("avg_p")))
 
 
+@register("infer_target", """
+WITH m AS (SELECT bool_or(regexp_matches(lower(lang), 'churn|retain|active|inactive|yes|no|true|false|1|0|attrit|retained|retention|status|label|outcome')) AS lang,
+                  bool_or(regexp_matches(lower(source), 'churn|retain|active|inactive|yes|no|true|false|1|0|attrit|retained|retention|status|label|outcome')) AS source,
+                  bool_or(regexp_matches(lower(text), 'churn|retain|active|inactive|yes|no|true|false|1|0|attrit|retained|retention|status|label|outcome')) AS text FROM documents)
+SELECT CASE WHEN lang THEN 'lang' WHEN source THEN 'source' WHEN text THEN 'text' END AS column_name FROM m""")
+def _infer_target(spark, sf_dir):
+    """I14 on a file without any target name: all values of all its columns are looked at."""
+    from ebbtide.sources.tables import table
+    found = I.infer_target(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+    return spark.createDataFrame([(found,)], "column_name string")
+
+
 @register("evolve_schema", q("""
 SELECT count(*) AS customers, count(region) AS with_region, count(csm_name) AS with_csm FROM (
   SELECT customer_id, region, NULL AS csm_name FROM cc
@@ -1313,28 +1324,23 @@ _A22_CANDS = [c for c in _P1_ALL if c.lower() not in N.SKIP]
 
 def _a22_sql() -> str:
     cols = ", ".join(f"{_txt_sql(c)} AS t{i}" for i, c in enumerate(_A22_CANDS))
-    pos = ", ".join(f"sum(CASE WHEN t{i} NOT IN ('', 'nan', 'None') THEN 1 ELSE 0 END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS p{i}"
-                    for i in range(len(_A22_CANDS)))
     stats = " UNION ALL ".join(
         f"""SELECT {i + 1} AS ordinal, '{c}' AS column_name,
             count(*) FILTER (WHERE t{i} NOT IN ('', 'nan', 'None')) AS n,
             count(DISTINCT CASE WHEN t{i} NOT IN ('', 'nan', 'None') THEN t{i} END) AS dc,
             count(*) FILTER (WHERE t{i} NOT IN ('', 'nan', 'None') AND TRY_CAST(t{i} AS DOUBLE) IS NOT NULL
-                             AND NOT contains(replace(t{i}, '-', ''), '.') AND p{i} <= 50) AS k FROM pos"""
+                             AND NOT contains(replace(t{i}, '-', ''), '.')) AS k FROM txt"""
         for i, c in enumerate(_A22_CANDS))
     return q(f"""
-, head AS (SELECT row_number() OVER (ORDER BY predicted_probability DESC, customer_id) AS i, * FROM (
-           SELECT {_P1_COLS} FROM scored ORDER BY predicted_probability DESC, customer_id LIMIT 200) h),
-txt AS (SELECT i, {cols} FROM head),
-pos AS (SELECT *, {pos} FROM txt),
+, txt AS (SELECT {cols} FROM (SELECT {_P1_COLS} FROM scored) h),
 st AS ({stats})
-SELECT ordinal, column_name FROM st WHERE n > 0 AND dc <= greatest(20, n // 3) AND k < least(n, 50) * 0.6
+SELECT ordinal, column_name FROM st WHERE n > 0 AND dc <= greatest(20, n // 3) AND k < n * 0.6
 ORDER BY ordinal LIMIT 4""")
 
 
 @register("categorical_profile", _a22_sql())
 def _categorical_profile(spark, sf_dir):
-    return N.categorical_profile(_p1_rows(spark, sf_dir), _p1_order(), 4, 200)
+    return N.categorical_profile(_p1_rows(spark, sf_dir), 4)
 
 
 _CATS = list(DEFAULT_CONFIG.categorical_features)

@@ -63,13 +63,6 @@ def test_registry_ops(spark):
     assert [r.source_id for r in R.list_sources(src).collect()] == ["s1"]
 
 
-def test_file_search(spark, sf_small):
-    from ebbtide.operators.projections import file_search
-    assert file_search(spark, sf_small, "  ").count() == 0
-    rows = file_search(spark, sf_small, "ORDER").collect()
-    assert [r.name for r in rows] == ["orders.parquet"] and rows[0].ext == "parquet" and rows[0].size > 0
-
-
 def test_delete_source_cascades(spark):
     preds = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "customer_id string, predicted_probability double")
     cust = spark.createDataFrame([("a", "s1"), ("b", "s2")], "customer_id string, source_id string")
@@ -88,3 +81,24 @@ def test_roi_sweep_point_equals_single_simulation(spark):
     sweep = A.campaign_roi_sweep(df, [0.5], [0.15], [0.3]).first().asDict()
     for k in ("targeted", "revenue", "cost", "gross", "net", "roi_pct", "band"):
         assert one[k] == sweep[k], k
+
+
+def test_profiles_see_every_row(spark):
+    """What only a late row shows counts: a value in one row of many, categories and integers beyond the first rows."""
+    from ebbtide.operators import insights as N
+    from ebbtide.operators import projections as PR
+    df = spark.range(3000).select(F.format_string("c%05d", "id").alias("customer_id"), (F.col("id") * 1.5).alias("charges"),
+                                  F.when(F.col("id") == 2999, "late").alias("note"), F.concat(F.lit("k"), (F.col("id") % 1000).cast("string")).alias("at_limit"),
+                                  F.concat(F.lit("k"), (F.col("id") % 1001).cast("string")).alias("above"),
+                                  F.when(F.col("id") < 1000, "word").otherwise(F.col("id").cast("string")).alias("mostly_numbers"), F.lit("").alias("blank"))
+    assert [r.column_name for r in PR.visible_columns(df).collect()] == ["charges", "note", "at_limit", "above", "mostly_numbers"]
+    assert [r.column_name for r in PR.visible_columns(df, 2, 50, ["customer_id"]).collect()] == ["charges", "at_limit"]
+    assert [r.column_name for r in N.categorical_profile(df).collect()] == ["note", "at_limit"]
+    assert [r.column_name for r in N.categorical_profile(df, 1).collect()] == ["note"]
+    assert N.categorical_profile(df.limit(0)).count() == 0
+
+
+def test_target_is_inferred_from_every_row(spark):
+    from ebbtide.operators import ingest as I
+    df = spark.range(500).select(F.lit("x").alias("a"), F.when(F.col("id") == 499, "Attrited").otherwise("z").alias("b"), F.lit("yes").alias("c"))
+    assert I.infer_target(df) == "b" and I.infer_target(df.select("a")) is None
