@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,16 @@ class Pieces:
                 if c <= DENSE_LETTERS:
                     self._dense[at, c] = to
         self.piece = np.array(piece, dtype=np.int32)
-        self._below = child
+
+    @cached_property
+    def _below(self) -> list[dict[int, int]]:
+        """The trie's edges by node and letter, for words that are scored one by one; most tasks have none."""
+        below: list[dict[int, int]] = [{} for _ in range(len(self.piece))]
+        for at, c in np.argwhere(self._dense >= 0).tolist():
+            below[at][c] = int(self._dense[at, c])
+        for key, to in zip(self._keys[:-1].tolist(), self._to.tolist()):
+            below[key // (len(self.code) + 1)][key % (len(self.code) + 1)] = to
+        return below
 
     def from_letter(self, codes: list[int], i: int) -> Iterator[tuple[int, int]]:
         """(length, piece) of all pieces that begin at letter ``i``."""
@@ -371,6 +381,8 @@ def predicted(text: Column, model: Model) -> Column:
                 lang += a
                 score.append(b)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], ["lang", "score"])
+        del scorer
+        tokens.release_memory()
 
     return run(text)
 

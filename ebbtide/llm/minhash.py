@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                     [part.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
                      pa.array([p[1] for p in prints], pa.int64()), pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
                     ["doc_id", "n", "f1", "f2", "bands"])
+        tokens.release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")

@@ -111,6 +111,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system at the end of a task: Spark keeps Python workers for later tasks, and what
+    their allocators hold in reserve would stand beside the memory of other stages."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """The end id put after each text's ids."""
     n = len(bounds) - 1
