@@ -8,13 +8,15 @@ so that equal windows hold the same anchor at the same place. The steps:
 1. Each scan task writes its texts to a file of its own, finds the anchors and sends their hashes, once each,
    to ranges of hashes. A range finds the hashes that more than one document has and answers the tasks that
    sent them. All other suffixes are unique and stay at home.
-2. The suffixes that remain (the bytes of the windows that share an anchor) are dealt to buckets by their
-   leading gram and sorted there. Equal ones are settled in passing: all but the document with the smallest
-   id lose those windows. Of different ones with the same leading gram the windows are compared by a multikey
-   sort, eight bytes at a time, which leaves a window as soon as it is unique.
-3. The removed stretches go back to the task files, where the remaining bytes are put together.
-
-Buckets are dealt by the whole leading gram, so windows never have to be compared across a bucket's boundary.
+2. The suffixes that remain (the bytes of the windows that share an anchor) are range-partitioned by their leading
+   bytes: Spark samples the splitters, and equal suffixes that are too many for one range are split by document. Each
+   range is sorted. Equal suffixes are settled in passing: all but the document with the smallest id lose those windows.
+   Of different ones the windows are compared by a multikey sort, eight bytes at a time, which leaves a window as soon
+   as it is unique; this is done for ``CHUNK_WINDOWS`` windows at once, so memory does not grow with a common gram.
+3. A window can also lie beyond a boundary of its chunk or range only if its bytes from the anchor on are those the
+   first or last suffix there begins with. Such windows, one copy of each document that is the smallest there, are
+   compared across boundaries by one aggregation over all ranges.
+4. The removed stretches go back to the task files, where the remaining bytes are put together.
 
 Defined results: a null text is an empty one; a null ``doc_id`` counts as larger than any other and comes
 back null; rows with the same ``doc_id`` do not remove each other's bytes; an empty table gives no rows; other
@@ -44,11 +46,14 @@ from ebbtide.session import scratch_path
 LENGTH = 50
 GRAM = 24
 STEP_BYTES = 1 << 17  # bytes whose anchors are sought at once; their arrays stay in the processor's cache
-CHUNK_WINDOWS = 1 << 20  # windows that one multikey sort works on, beyond one gram's own
+CHUNK_WINDOWS = 1 << 19  # windows that one multikey sort works on
+RANGE_BYTES = 64 << 20  # bytes of text whose suffixes one range is meant for
+SORT_STRETCHES = 1 << 18  # stretches put in order before they are written
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _NULL_RANK = np.iinfo(np.int64).max
 _STRETCH = ["task", "row", "start", "stop"]
+_FOUND = pa.schema([(c, pa.int64()) for c in _STRETCH] + [("window", pa.binary()), ("doc", pa.int64())])
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -160,9 +165,10 @@ def _write_groups(docs: DataFrame, folder: str, range_bits: int) -> DataFrame:
     bits (chance equals cost a comparison, no more), and marked (49th place) if two documents of the task have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen, twice = TaskContext.get().partitionId(), [np.zeros(0, _U)], [np.zeros(0, _U)]
+        task, seen, twice, size = TaskContext.get().partitionId(), [np.zeros(0, _U)], [np.zeros(0, _U)], 0
 
         def put(out) -> None:
+            nonlocal size
             writer = None
             for batch in batches:
                 for part in tokens.slices(batch, "text"):
@@ -170,6 +176,7 @@ def _write_groups(docs: DataFrame, folder: str, range_bits: int) -> DataFrame:
                         writer = pq.ParquetWriter(out, part.schema, compression="zstd")
                     writer.write_batch(part)
                     data, bounds = _bytes_of(part.column("text"))
+                    size += len(data)
                     h, place, _, _ = anchors(data, bounds)
                     ids = part.column("doc_id").fill_null(_NULL_RANK).to_numpy()[np.searchsorted(bounds, place, "right") - 1]
                     h = h >> _U(16)
@@ -192,10 +199,11 @@ def _write_groups(docs: DataFrame, folder: str, range_bits: int) -> DataFrame:
         for r, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(every)])):
             if r == 0 or a < b:  # the first row tells of the task even where it has no anchors
                 yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int64()), "task": pa.array([task], pa.int64()),
-                                                  "hashes": pa.array([_packed(every[a:b])], pa.binary()), "marks": pa.array([np.packbits(marks[a:b]).tobytes()], pa.binary())})
+                                                  "hashes": pa.array([_packed(every[a:b])], pa.binary()), "marks": pa.array([np.packbits(marks[a:b]).tobytes()], pa.binary()),
+                                                  "bytes": pa.array([0 if r else size], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "range long, task long, hashes binary, marks binary")
+    return rows.mapInArrow(run, "range long, task long, hashes binary, marks binary, bytes long")
 
 
 def _shared_hashes(sent: DataFrame, ranges: int) -> DataFrame:
@@ -205,27 +213,27 @@ def _shared_hashes(sent: DataFrame, ranges: int) -> DataFrame:
         at, held = None, []
 
         def answers() -> Iterator[pa.RecordBatch]:
-            each = [_unpacked(h) for _, h, _ in held]
+            each = [_unpacked(h) for _, h, _, _ in held]
             flat = np.sort(np.concatenate(each))
-            marked = [e[np.unpackbits(np.frombuffer(m, np.uint8), count=len(e)).astype(bool)] for e, (_, _, m) in zip(each, held)]
+            marked = [e[np.unpackbits(np.frombuffer(m, np.uint8), count=len(e)).astype(bool)] for e, (_, _, m, _) in zip(each, held)]
             shared = _distinct(np.sort(np.concatenate([flat[1:][flat[1:] == flat[:-1]], *marked])))
-            for (task, _, _), e in zip(held, each):
+            for (task, _, _, size), e in zip(held, each):
                 mine = e[np.isin(e, shared, assume_unique=True)]
                 if len(mine) or not at:  # range 0 answers every task, so that each one's file is read in the end
-                    yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "hashes": pa.array([_packed(mine)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "hashes": pa.array([_packed(mine)], pa.binary()), "bytes": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for r, task, hashes, marks in zip(*(batch.column(c).to_pylist() for c in ("range", "task", "hashes", "marks"))):
+            for r, task, hashes, marks, size in zip(*(batch.column(c).to_pylist() for c in ("range", "task", "hashes", "marks", "bytes"))):
                 if r != at:
                     if held:
                         yield from answers()
                     at, held = r, []
-                held.append((task, hashes, marks))
+                held.append((task, hashes, marks, size))
         if held:
             yield from answers()
 
     dealt = sent.repartition(ranges, "range").sortWithinPartitions("range", "task")
-    return dealt.mapInArrow(run, "task long, hashes binary")
+    return dealt.mapInArrow(run, "task long, hashes binary, bytes long")
 
 
 def _documents(folder: str, task: int) -> Iterator[pa.RecordBatch]:
@@ -236,17 +244,29 @@ def _documents(folder: str, task: int) -> Iterator[pa.RecordBatch]:
                 yield from tokens.slices(batch, "text", 4 << 20)
 
 
-def _shared_suffixes(answers: DataFrame, folder: str) -> DataFrame:
-    """Step 2, per task: the suffixes at shared anchors as (suffix, doc, task, row, start) rows. A suffix has the
+def _by_task(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[list]]]:
+    """(task, its parts) of batches sorted by task; a part has the values of ``columns`` in one batch."""
+    at, parts = None, []
+    for batch in batches:
+        tasks = batch.column("task").to_numpy()
+        cuts = np.flatnonzero(np.append(True, tasks[1:] != tasks[:-1])[:len(tasks)])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tasks)]):
+            if tasks[a] != at:
+                if parts:
+                    yield at, parts
+                at, parts = int(tasks[a]), []
+            parts.append([batch.column(c).slice(a, b - a) for c in columns])
+    if parts:
+        yield at, parts
+
+
+def _shared_suffixes(answers: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Step 2, per task file: the suffixes at shared anchors as (suffix, doc, task, row, start) rows. A suffix has the
     bytes from the anchor to the end of its last window, then those before the anchor, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[int, list] = {}
-        for batch in batches:  # one task's answers are as many as its anchors at most
-            for task, hashes in zip(batch.column("task").to_pylist(), batch.column("hashes").to_pylist()):
-                wanted.setdefault(task, []).append(_unpacked(hashes))
-        for task, parts in wanted.items():
-            shared, row0 = np.sort(np.concatenate(parts)), 0
+        for task, answered in _by_task(batches, ["hashes"]):  # one task's answers are as many as its anchors at most
+            shared, row0 = np.sort(np.concatenate([_unpacked(h) for column, in answered for h in column.to_pylist()])), 0
             if not len(shared):
                 continue
             for part in _documents(folder, task):
@@ -267,8 +287,8 @@ def _shared_suffixes(answers: DataFrame, folder: str) -> DataFrame:
                         "row": pa.array(doc[b] + row0), "start": pa.array(first[b] - bounds[doc[b]])})
                 row0 += part.num_rows
 
-    n = answers.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return answers.repartition(int(n), "task").mapInArrow(run, "suffix binary, doc long, task long, row long, start long")
+    dealt = answers.select("task", "hashes").repartition(tasks, "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(run, "suffix binary, doc long, task long, row long, start long")
 
 
 def multikey_groups(data: np.ndarray, at: np.ndarray, first_key: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -297,39 +317,55 @@ def multikey_groups(data: np.ndarray, at: np.ndarray, first_key: np.ndarray, len
     return number
 
 
-class _Bucket:
-    """Sorted suffixes of one bucket, taken in gram by gram; gives (task, row, start, stop) of removed stretches."""
+def _common(a: bytes, b: bytes) -> int:
+    """How many leading bytes are the same."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+class _Range:
+    """Sorted suffixes of one range, taken in chunk by chunk. ``found`` gathers removed stretches (task, row, start,
+    stop, None, None), and the windows to compare across boundaries with their document: (..., window, doc)."""
 
     def __init__(self):
+        self.found: list[tuple] = []
         self._rows: list[tuple] = []  # different suffixes, and equal ones of the document that keeps them
         self._windows = 0
-        self._gram = self._suffix = self._doc = None
+        self._gram = self._suffix = None
         self._several = False
         self._mark = 0
+        self._open = True  # whether suffixes before this chunk may have its first gram
 
-    def take(self, suffix: bytes, doc: int, task: int, row: int, start: int) -> Iterator[tuple]:
+    def take(self, suffix: bytes, doc: int, task: int, row: int, start: int) -> None:
         windows, gram = len(suffix) - LENGTH, suffix[:GRAM]
         if gram != self._gram:
-            if not self._several:  # a gram with one suffix only needs no comparison
-                for r in self._rows[self._mark:]:
-                    self._windows -= len(r[0]) - LENGTH
+            if not self._several and (self._mark or not self._open):  # a gram with one suffix only needs no comparison
+                self._windows -= sum(len(r[0]) - LENGTH for r in self._rows[self._mark:])
                 del self._rows[self._mark:]
             if self._windows > CHUNK_WINDOWS:
-                yield from self.compared()
+                self.compare(False)
             self._gram, self._suffix, self._several, self._mark = gram, None, False, len(self._rows)
-        if suffix == self._suffix and doc > self._doc:
-            yield task, row, start, start + windows - 1 + LENGTH
-            return
+        elif self._windows > CHUNK_WINDOWS:
+            self.compare(True)
+            self._mark = 0
         self._several |= self._suffix is not None and suffix != self._suffix
-        self._suffix, self._doc = suffix, doc
+        self._suffix = suffix
         self._rows.append((suffix, doc, task, row, start))
         self._windows += windows
 
-    def compared(self) -> Iterator[tuple]:
-        """Compares the windows of the suffixes held and lets them go."""
+    def compare(self, more: bool) -> None:
+        """Compares the windows of the suffixes held and lets them go; ``more``: later ones may have the last gram."""
         rows, self._rows, self._windows, self._mark = self._rows, [], 0, 0
+        before, self._open = self._open, more
         if not rows:
             return
+        # leading bytes that a suffix shares with an open end of the chunk: windows with as many from their anchor on may lie beyond it
+        lead = np.zeros(len(rows), np.int64)
+        for end, order in [(rows[0], range(len(rows)))] * before + [(rows[-1], range(len(rows) - 1, -1, -1))] * more:
+            for i in order:
+                same = _common(rows[i][0], end[0])
+                if same < GRAM:
+                    break
+                lead[i] = max(lead[i], same)
         data = np.frombuffer(b"".join(r[0][-1 - r[0][-1]:-1] + r[0][:-1 - r[0][-1]] for r in rows), np.uint8)
         size = np.array([len(r[0]) - 1 for r in rows])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -341,19 +377,27 @@ class _Bucket:
         number = multikey_groups(data, begin[owner] + inside, gram * LENGTH + place)
         doc = np.array([r[1] for r in rows], np.int64)[owner]
         held = np.flatnonzero(number >= 0)
-        if not len(held):
-            return
-        least = np.full(number.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, number[held], doc[held])
         gone = np.zeros(len(number), bool)
-        gone[held] = doc[held] > least[number[held]]
+        if len(held):
+            least = np.full(number.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, number[held], doc[held])
+            gone[held] = doc[held] > least[number[held]]
         at = np.flatnonzero(gone)
-        new = np.append(True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]]))[:len(at)]
-        first = at[new]
-        last = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1:])
-        for o, a, b in zip(owner[first].tolist(), inside[first].tolist(), inside[last].tolist()):
-            _, _, task, row, start = rows[o]
-            yield task, row, start + a, start + b + LENGTH
+        if len(at):
+            new = np.append(True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]]))
+            last = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1:])
+            for o, a, b in zip(owner[at[new]].tolist(), inside[at[new]].tolist(), inside[last].tolist()):
+                _, _, task, row, start = rows[o]
+                self.found.append((task, row, start + a, start + b + LENGTH, None, None))
+        beyond = np.flatnonzero(~gone & (LENGTH - place <= lead[owner]))
+        raw = data.tobytes()
+        for o, a, p in zip(owner[beyond].tolist(), inside[beyond].tolist(), place[beyond].tolist()):
+            _, d, task, row, start = rows[o]
+            w = int(begin[o]) + a
+            self.found.append((task, row, start + a, start + a + LENGTH, raw[w:w + LENGTH] + bytes((p,)), d))
+
+    def end(self) -> None:
+        self.compare(True)
 
 
 def _settled():
@@ -379,50 +423,56 @@ def _settled():
     return split
 
 
-def _removed(suffixes: DataFrame) -> DataFrame:
-    """Step 2, per bucket: (task, row, start, stop) of every stretch that an earlier document has."""
+def _found(suffixes: DataFrame, ranges: int) -> DataFrame:
+    """Steps 2 and 3, per range: (task, row, start, stop) of every stretch that an earlier document in the range has,
+    and the windows that may lie beyond its boundaries, with their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, out, settle = _Bucket(), [], _settled()
+        part, settle, gone, n = _Range(), _settled(), [], 0
 
         def table() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], _STRETCH)
-            out.clear()
-            return done
+            nonlocal n
+            cut = [*gone, pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part.found), _FOUND.types)] if part.found
+                                                     else [pa.array([], t) for t in _FOUND.types], schema=_FOUND)]
+            gone.clear()
+            part.found.clear()
+            n = 0
+            # in order of their place, so that the written columns are small
+            done = pa.Table.from_batches(cut).sort_by([(c, "ascending") for c in _STRETCH[:3]]).combine_chunks()
+            return done.to_batches()[0]
 
         for batch in batches:
-            gone, rest = settle(batch)
-            if gone.num_rows:
-                yield gone
+            settled, rest = settle(batch)
+            if settled.num_rows:
+                none = [pa.nulls(settled.num_rows, t) for t in _FOUND.types[4:]]
+                gone.append(pa.RecordBatch.from_arrays([*settled.columns, *none], schema=_FOUND))
+                n += settled.num_rows
             for r in zip(*(rest.column(c).to_pylist() for c in ("suffix", "doc", "task", "row", "start"))):
-                out.extend(bucket.take(*r))
-                if len(out) >= 1 << 16:
-                    yield table()
-        if bucket._several:
-            out.extend(bucket.compared())
-        else:
-            del bucket._rows[bucket._mark:]
-            out.extend(bucket.compared())
-        if out:
+                part.take(*r)
+            if n + len(part.found) >= SORT_STRETCHES:
+                yield table()
+        part.end()
+        if n + len(part.found):
             yield table()
 
-    dealt = suffixes.repartition(F.substring("suffix", 1, GRAM)).sortWithinPartitions("suffix", "doc")
-    return dealt.mapInArrow(run, "task long, row long, start long, stop long")
+    dealt = suffixes.repartitionByRange(ranges, "suffix", "doc").sortWithinPartitions("suffix", "doc")
+    return dealt.mapInArrow(run, "task long, row long, start long, stop long, window binary, doc long")
+
 
+def _removed(found: DataFrame) -> DataFrame:
+    """Step 3: the stretches of all ranges, with the windows that a document in another chunk or range has earlier."""
+    edges = found.where("window is not null")
+    least = edges.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("_most")).where("least < _most").drop("_most")
+    across = edges.join(least, "window").where("doc > least")
+    return found.where("window is null").select(_STRETCH).unionByName(across.select(_STRETCH))
 
-def _kept(removed: DataFrame, answers: DataFrame, folder: str) -> DataFrame:
-    """Step 3, per task file: every document with its removed stretches and what remains."""
+
+def _kept(removed: DataFrame, answers: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Step 4, per task file: every document with its removed stretches and what remains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for i, task in enumerate(batch.column("task").to_pylist()):
-                part = batch.column("stretches")[i].values  # None where a task has none
-                held.setdefault(task, []).extend([] if part is None else [np.stack([np.asarray(part.field(k)) for k in range(3)])])
-        for task in sorted(held):
-            rows, start, stop = np.concatenate([np.zeros((3, 0), np.int64), *held.pop(task)], axis=1)
-            order = np.lexsort((start, rows))
-            rows, start, stop = rows[order], start[order], stop[order]
+        for task, parts in _by_task(batches, _STRETCH[1:]):  # a task's stretches are bounded by its own file
+            rows, start, stop = (np.concatenate([p[k].drop_null().to_numpy() for p in parts]) for k in range(3))
             row = 0
             for part in _documents(folder, task):
                 out, cuts = [], np.searchsorted(rows, np.arange(row, row + part.num_rows + 1))
@@ -446,14 +496,10 @@ def _kept(removed: DataFrame, answers: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), span, pa.string()))],
                                                      ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
-    stretch = F.struct("row", "start", "stop")
-    # a task's stretches are bounded by its own file; rows of 4096 keep single values small
-    packed = removed.withColumn("part", F.floor(F.col("row") / 256)).groupBy("task", "part").agg(F.collect_list(stretch).alias("stretches")).select("task", "stretches")
-    nothing = F.lit(None).cast("array<struct<row: bigint, start: bigint, stop: bigint>>")
-    every = answers.select("task").distinct().select("task", nothing.alias("stretches"))
-    n = every.count()  # one file per scan task
-    return every.unionByName(packed).repartition(max(1, n), "task").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, stop: bigint>>, kept_sha256 string")
+    none = [F.lit(None).cast("long").alias(c) for c in _STRETCH[1:]]  # a row for each task, so that each one's file is read
+    every = answers.select("task").distinct().select("task", *none)
+    dealt = every.unionByName(removed).repartition(tasks, "task").sortWithinPartitions("task", "row", "start")
+    return dealt.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, stop: bigint>>, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -463,7 +509,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     answers = stored(_shared_hashes(_write_groups(rows, folder, bits), 1 << bits), "shared-grams")
-    return _kept(_removed(_shared_suffixes(answers, folder)), answers, folder)
+    size = answers.agg(F.count_distinct("task"), F.sum("bytes")).first()
+    tasks, ranges = max(1, size[0]), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[1] or 0) // RANGE_BYTES))
+    found = stored(_found(_shared_suffixes(answers, folder, tasks), ranges), "stretches")
+    return _kept(_removed(found), answers, folder, tasks)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from ebbtide.llm.components import components
 from ebbtide.llm.shingles import resembles
 from tests.llm.conftest import prose, rows
 
+LENGTH_AFTER = suffixes.LENGTH - suffixes.GRAM
+
 
 def word_sets(pairs):
     out = []
@@ -143,6 +145,54 @@ def test_repeats_against_brute_force(spark, docs, empty):
     assert suffixes.digest(empty).count() == 0
 
 
+def test_repeats_across_ranges_of_one_gram(spark):
+    """One passage of 24 to 49 bytes in every document, so that its suffixes fill all ranges; windows repeat across them."""
+    r = random.Random(11)
+    gram, tails = "the same notice stands in all of these ", [prose(700 + i, 12) for i in range(9)]
+    pairs = [(i * 37 % 401, " ".join([prose(i, 6), r.choice(tails)[:r.randint(0, 40)], gram + r.choice(tails)[:r.randint(5, 60)], prose(i + 5, 4)])) for i in range(400)]
+    got = suffixes.digest(spark.createDataFrame(pairs, "doc_id long, text string").repartition(7))
+    assert collections.Counter(map(tuple, got.collect())) == removed(pairs)
+
+
+def test_chunks_and_ranges_compare_like_one(monkeypatch):
+    """Windows removed within chunks and across their boundaries are those of one comparison, wherever the cuts lie."""
+    monkeypatch.setattr(suffixes, "CHUNK_WINDOWS", 40)
+    r = random.Random(4)
+    for t in range(60):
+        held = []
+        for i in range(r.randint(1, 50)):  # (suffix, doc, task, row, start) as the operator deals them
+            place = r.randint(0, 26)
+            lead = r.choice([b"a" * 24, b"ab" * 12, bytes(r.choice(b"ab") for _ in range(24))])
+            n = r.randint(1, place + 1)
+            after = lead + bytes(r.choice(b"ab" if r.random() < .1 else b"a") for _ in range(LENGTH_AFTER - place + n - 1))
+            held.append((after + b"a" * place + bytes((place,)), r.randrange(9), 0, i, 0))
+        held.sort(key=lambda x: x[:2])
+        cuts = sorted(r.choices(range(len(held) + 1), k=t % 4))
+        stretches, edges, windows = [], [], collections.defaultdict(list)
+        for a, b in zip([0, *cuts], [*cuts, len(held)]):
+            part, last = suffixes._Range(), (None, None)
+            for x in held[a:b]:
+                if x[0] == last[0] and x[1] > last[1]:
+                    stretches.append((x[3], 0, len(x[0]) - 1))
+                    continue
+                last = x[:2] if x[0] != last[0] else last
+                part.take(*x)
+            part.end()
+            stretches += [f[1:4] for f in part.found if f[4] is None]
+            edges += [f[1:] for f in part.found if f[4] is not None]
+        least = {}
+        for _, _, _, w, d in edges:
+            least[w] = min(d, least.get(w, d))
+        stretches += [(row, a, b) for row, a, b, w, d in edges if d > least[w]]
+        for suffix, d, _, row, _ in held:
+            place = suffix[-1]
+            text = suffix[-1 - place:-1] + suffix[:-1 - place]
+            for i in range(len(text) - 49):
+                windows[text[i:i + 50], place - i].append((d, row, i))
+        want = {(row, i) for found in windows.values() for d, row, i in found if d > min(found)[0]}
+        assert want == {(row, i) for row, a, b in stretches for i in range(a, b - 49)}
+
+
 def test_pipeline_stages(spark, sf_small):
     import corpus_pipeline
     from ebbtide.llm import decontaminate, pii
