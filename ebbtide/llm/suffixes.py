@@ -9,8 +9,8 @@ so that equal windows hold the same anchor at the same place. The steps:
    to ranges of hashes. A range finds the hashes that more than one document has and answers the tasks that
    sent them. All other suffixes are unique and stay at home.
 2. The suffixes that remain (the bytes of the windows that share an anchor) are range-partitioned by their leading
-   bytes: Spark samples the splitters, and equal suffixes that are too many for one range are split by document. Each
-   range is sorted. Equal suffixes are settled in passing: all but the document with the smallest id lose those windows.
+   bytes. The splitters come from the suffixes of every ``SAMPLE_DOCS``-th document; equal suffixes that are too many
+   for one range are split by document. Each range is sorted. Equal suffixes are settled in passing: all but the document with the smallest id lose those windows.
    Of different ones the windows are compared by a multikey sort, eight bytes at a time, which leaves a window as soon
    as it is unique; this is done for ``CHUNK_WINDOWS`` windows at once, so memory does not grow with a common gram.
 3. A window can also lie beyond a boundary of its chunk or range only if its bytes from the anchor on are those the
@@ -25,6 +25,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import io
 import math
@@ -48,6 +49,8 @@ GRAM = 24
 STEP_BYTES = 1 << 17  # bytes whose anchors are sought at once; their arrays stay in the processor's cache
 CHUNK_WINDOWS = 1 << 19  # windows that one multikey sort works on
 RANGE_BYTES = 64 << 20  # bytes of text whose suffixes one range is meant for
+SAMPLE_DOCS = 16  # one document in so many gives suffixes for the splitters
+SAMPLE_RANGE = 64  # sampled suffixes for each range
 SORT_STRETCHES = 1 << 18  # stretches put in order before they are written
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -260,35 +263,79 @@ def _by_task(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
         yield at, parts
 
 
-def _shared_suffixes(answers: DataFrame, folder: str, tasks: int) -> DataFrame:
-    """Step 2, per task file: the suffixes at shared anchors as (suffix, doc, task, row, start) rows. A suffix has the
-    bytes from the anchor to the end of its last window, then those before the anchor, and their number."""
+def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place (zeros beyond the end) as numbers that sort like them."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at]).view(">u8").ravel().astype(_U)
+
+
+def _shared_suffixes(answers: DataFrame, folder: str, tasks: int, splitters: list[tuple[bytes, int]] | None = None, step: int = 1) -> DataFrame:
+    """Step 2, per task file: the suffixes at shared anchors as (suffix, doc, task, row, start, range) rows. A suffix has
+    the bytes from the anchor to the end of its last window, then those before the anchor, and their number. Without
+    splitters, every ``step``-th suffix of the sampled documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_words = None
+        if splitters is not None:
+            joined = b"".join(s[:8] for s, _ in splitters)
+            first_words = _words(np.frombuffer(joined, np.uint8), np.arange(len(splitters)) * 8)
         for task, answered in _by_task(batches, ["hashes"]):  # one task's answers are as many as its anchors at most
             shared, row0 = np.sort(np.concatenate([_unpacked(h) for column, in answered for h in column.to_pylist()])), 0
             if not len(shared):
                 continue
             for part in _documents(folder, task):
+                rows = np.arange(row0, row0 + part.num_rows)
+                row0 += part.num_rows
+                if splitters is None:
+                    with np.errstate(over="ignore"):
+                        mine = mix(rows.astype(_U) + _U(task) * _BASE) % _U(SAMPLE_DOCS) == 0
+                    part, rows = part.filter(pa.array(mine)), rows[mine]
+                    if not len(rows):
+                        continue
                 data, bounds = _bytes_of(part.column("text"))
                 h, place, first, last = anchors(data, bounds)
                 at = np.searchsorted(shared, h >> _U(16))
                 at[at == len(shared)] = 0
-                keep = shared[at] == (h >> _U(16))
-                h, place, first, last = h[keep], place[keep], first[keep], last[keep]
-                ids = part.column("doc_id").fill_null(_NULL_RANK).to_numpy()
-                doc = np.searchsorted(bounds, first, "right") - 1
+                keep = np.flatnonzero(shared[at] == (h >> _U(16)))
+                if splitters is None:
+                    keep = keep[::step]
+                place, first, last = place[keep], first[keep], last[keep]
+                row = np.searchsorted(bounds, first, "right") - 1
+                ids = part.column("doc_id").fill_null(_NULL_RANK).to_numpy()[row]
                 raw, size = data.tobytes(), last + LENGTH - first
-                for a in range(0, len(h), 1 << 16):
+                for a in range(0, len(keep), 1 << 16):
                     b = slice(a, a + (1 << 16))
                     found = [raw[p:f + n] + raw[f:p] + bytes((p - f,)) for p, f, n in zip(place[b].tolist(), first[b].tolist(), size[b].tolist())]
+                    ranges = np.zeros(len(found), np.int64)
+                    if splitters:
+                        word = _words(data, place[b])
+                        ranges, above = (np.searchsorted(first_words, word, side) for side in ("left", "right"))
+                        for i in np.flatnonzero(ranges < above).tolist():  # splitters that begin like the suffix
+                            ranges[i] = bisect.bisect_right(splitters, (found[i], int(ids[a + i])), int(ranges[i]), int(above[i]))
                     yield pa.RecordBatch.from_pydict({
-                        "suffix": pa.array(found, pa.binary()), "doc": pa.array(ids[doc[b]], pa.int64()), "task": pa.array(np.full(len(found), task)),
-                        "row": pa.array(doc[b] + row0), "start": pa.array(first[b] - bounds[doc[b]])})
-                row0 += part.num_rows
+                        "suffix": pa.array(found, pa.binary()), "doc": pa.array(ids[b], pa.int64()), "task": pa.array(np.full(len(found), task)),
+                        "row": pa.array(rows[row[b]]), "start": pa.array(first[b] - bounds[row[b]]), "range": pa.array(ranges, pa.int64())})
 
     dealt = answers.select("task", "hashes").repartition(tasks, "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "suffix binary, doc long, task long, row long, start long")
+    return dealt.mapInArrow(run, "suffix binary, doc long, task long, row long, start long, range long")
+
+
+def _splitters(answers: DataFrame, folder: str, tasks: int, ranges: int, size: int) -> list[tuple[bytes, int]]:
+    """The (suffix, document) at which each range but the first begins, one for about each range: every
+    ``SAMPLE_RANGE``-th of the sorted sample. The sample itself stays in Spark."""
+    sampled_text = -(-size // SAMPLE_DOCS)
+    step = max(1, sampled_text // ((LENGTH - GRAM + 2) // 2 * SAMPLE_RANGE * ranges))
+    sample = stored(_shared_suffixes(answers, folder, tasks, step=step).select("suffix", "doc"), "suffix-sample")
+    every = max(1, sample.count() // ranges)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = every // 2
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(at, batch.num_rows, every)))
+            at = at + max(0, -(-(batch.num_rows - at) // every)) * every - batch.num_rows
+
+    picked = sample.orderBy("suffix", "doc").mapInArrow(pick, "suffix binary, doc long")
+    return sorted({(bytes(r[0]), r[1]) for r in picked.collect()})
 
 
 def multikey_groups(data: np.ndarray, at: np.ndarray, first_key: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -455,7 +502,7 @@ def _found(suffixes: DataFrame, ranges: int) -> DataFrame:
         if n + len(part.found):
             yield table()
 
-    dealt = suffixes.repartitionByRange(ranges, "suffix", "doc").sortWithinPartitions("suffix", "doc")
+    dealt = suffixes.repartitionById(ranges, F.col("range").cast("int")).drop("range").sortWithinPartitions("suffix", "doc")
     return dealt.mapInArrow(run, "task long, row long, start long, stop long, window binary, doc long")
 
 
@@ -511,7 +558,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = stored(_shared_hashes(_write_groups(rows, folder, bits), 1 << bits), "shared-grams")
     size = answers.agg(F.count_distinct("task"), F.sum("bytes")).first()
     tasks, ranges = max(1, size[0]), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[1] or 0) // RANGE_BYTES))
-    found = stored(_found(_shared_suffixes(answers, folder, tasks), ranges), "stretches")
+    splitters = _splitters(answers, folder, tasks, ranges, size[1] or 0)
+    found = stored(_found(_shared_suffixes(answers, folder, tasks, splitters), len(splitters) + 1), "stretches")
     return _kept(_removed(found), answers, folder, tasks)
 
 
