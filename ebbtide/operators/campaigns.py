@@ -108,8 +108,8 @@ def strip_tags(c) -> Column:
 
 def send_plan(rendered: DataFrame, campaign_id: str, salt: str = "", batch_size: int = 10) -> DataFrame:
     """C4: one queued log row per recipient, a deterministic unique token and a batch number of
-    ``batch_size`` in audience order (dense position, no global window)."""
-    idx = dense_index(rendered, [F.col(P).desc(), F.col("customer_id").asc()], "_pos")
+    ``batch_size`` in audience order (dense position, no global window). Message bodies are not moved."""
+    idx = dense_index(rendered.select(P, "customer_id", "email", "subject"), [F.col(P).desc(), F.col("customer_id").asc()], "_pos")
     token = F.substring(F.sha2(F.concat_ws(":", F.lit(campaign_id), F.col("customer_id"), F.lit(salt)), 256), 1, 40)
     return idx.select(
         (F.col("_pos") + 1).alias("log_id"),

@@ -22,18 +22,22 @@ def active_scored(preds: DataFrame, customers: DataFrame, sources: DataFrame, re
     caller's earlier check in ``registry_small``), then predictions join customers on
     ``customer_id`` — co-bucketed when both are stored tables.
     """
+    return preds.join(of_active(customers, sources, registry_small), "customer_id")
+
+
+def of_active(rows: DataFrame, sources: DataFrame, registry_small: bool | None = None) -> DataFrame:
+    """The rows (with ``source_id``) of active sources, columns as they are."""
     act = active_sources(sources)
     if registry_small is None:
         act = broadcast_if_small(act, MAX_REGISTRY_ROWS)
     elif registry_small:
         act = F.broadcast(act)
-    cust = customers.join(act, "source_id", "left_semi")
-    return preds.join(cust, "customer_id")
+    return rows.join(act, "source_id", "left_semi").select(*rows.columns)
 
 
 def active_only(customers: DataFrame, sources: DataFrame) -> DataFrame:
     """Customers of active sources (broadcast semi join; no ordering)."""
-    return customers.join(broadcast_if_small(active_sources(sources), MAX_REGISTRY_ROWS), "source_id", "left_semi")
+    return of_active(customers, sources)
 
 
 def all_scored(preds: DataFrame, customers: DataFrame) -> DataFrame:

@@ -1497,3 +1497,134 @@ def _detect_target(spark, sf_dir):
     df, kind = I.detect_target(df)
     assert kind == "active"
     return df.select("customer_id", "churned")
+
+
+# ---------------------------------------------------------------- sources switched, deleted and in sample mode
+
+def _of_registry(where: str) -> str:
+    return q(f"""
+SELECT prediction_label, count(*) AS customers, round(sum(predicted_probability), 6) AS total_risk
+FROM cp JOIN cc USING (customer_id) WHERE {where} GROUP BY prediction_label""")
+
+
+def _risk_of(w) -> DataFrame:
+    return w.active_scored().groupBy("prediction_label").agg(
+        F.count(F.lit(1)).alias("customers"), F.round(F.sum("predicted_probability"), 6).alias("total_risk"))
+
+
+@register("risk_after_toggle", _of_registry("source_id <> 'src_automobile'"))
+def _risk_after_toggle(spark, sf_dir):
+    """R2, then J1: the answer follows the registry, one source switched on and one off."""
+    w = W(spark, sf_dir)
+    on = w.with_sources(R.toggle_source(w.sources, "src_furniture", True))
+    return _risk_of(on.with_sources(R.toggle_source(on.sources, "src_automobile", False)))
+
+
+@register("risk_after_delete", _of_registry("source_id NOT IN ('src_furniture', 'src_automobile')"))
+def _risk_after_delete(spark, sf_dir):
+    """R3, then J1: a deleted source is out of every later answer."""
+    return _risk_of(W(spark, sf_dir).without_source("src_automobile"))
+
+
+@register("delete_source_frames", q("""
+SELECT 'predictions' AS frame, source_id, count(*) AS n FROM cp JOIN cc USING (customer_id) WHERE source_id <> 'src_automobile' GROUP BY source_id
+UNION ALL SELECT 'customers', source_id, count(*) FROM cc WHERE source_id <> 'src_automobile' GROUP BY source_id
+UNION ALL SELECT 'sources', source_id, count(*) FROM ds WHERE source_id <> 'src_automobile' GROUP BY source_id"""))
+def _delete_source_frames(spark, sf_dir):
+    """What is left in each of the three tables, by source."""
+    w = W(spark, sf_dir)
+    preds, customers, sources = R.delete_source(w.predictions, w.customers, w.sources, "src_automobile")
+    frames = {"predictions": preds.join(w.customers.select("customer_id", "source_id"), "customer_id"),
+              "customers": customers, "sources": sources}
+    parts = [f.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("frame"), "source_id", "n") for k, f in frames.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _with_sample(spark, sf_dir):
+    """The warehouse after the customers without a contract were registered as the sample source."""
+    w = W(spark, sf_dir)
+    sample = w.customers.where(F.col("contract_type").isNull())
+    return w.with_sources(R.register_source(spark, w.sources, "sample_data", "sample.csv", sample))
+
+
+@register("set_mode_sample", q("""
+SELECT source_id, row_count, 0 AS is_active FROM ds
+UNION ALL SELECT 'sample_data', (SELECT count(*) FROM cc WHERE contract_type IS NULL), 1"""))
+def _set_mode_sample(spark, sf_dir):
+    """Sample mode switches the sample source on and all others off."""
+    return R.set_mode(_with_sample(spark, sf_dir).sources, "sample").select("source_id", "row_count", "is_active")
+
+
+@register("is_sample_only_by_mode", """
+SELECT 'custom' AS mode, CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS active_sources, false AS sample_only FROM customer
+UNION ALL SELECT 'sample', 1, true""")
+def _is_sample_only_by_mode(spark, sf_dir):
+    """R6 after R4 in both modes."""
+    sources = _with_sample(spark, sf_dir).sources
+    parts = [R.is_sample_only(R.set_mode(sources, m)).select(F.lit(m).alias("mode"), "active_sources", "sample_only") for m in ("custom", "sample")]
+    return parts[0].unionByName(parts[1])
+
+
+# ---------------------------------------------------------------- rows of single operators
+
+@register("alert_rows", q("""
+SELECT customer_id, predicted_probability, prediction_label, source_id, region, monthly_charges
+FROM cp JOIN cc USING (customer_id)"""))
+def _alert_rows(spark, sf_dir):
+    w = W(spark, sf_dir)
+    return J.alert_rows(w.predictions, w.customers).select(
+        "customer_id", "predicted_probability", "prediction_label", "source_id", "region", "monthly_charges")
+
+
+@register("assignment_status", f"""
+SELECT customer_id, csm_name, status, notes, last_updated FROM ({_LATEST_ASSIGN_SQL.format(where='')}) u""")
+def _assignment_status(spark, sf_dir):
+    return O.assignment_status(O.latest_assignments(fixtures.assignment_updates(spark, sf_dir)))
+
+
+@register("payload_scan_page_parts", """
+SELECT page_id, part, CASE WHEN regexp_matches(lower(body), '<script|javascript:|onload\\s*=|onerror\\s*=|alert\\(|document\\.cookie')
+                           THEN 'Cross-Site Scripting Attempt Blocked' END AS reason
+FROM (SELECT page_id, CAST(unnest(range(len(p))) AS INTEGER) AS part, unnest(p) AS body FROM (SELECT page_id, string_split(html, '>') AS p FROM pages) s) t
+WHERE regexp_matches(lower(body), '<script|javascript:|onload\\s*=|onerror\\s*=|alert\\(|document\\.cookie')""")
+def _payload_page_parts(spark, sf_dir):
+    """P4 on the parts of every page between two tag ends: those that hold a payload, and by their absence those that hold none."""
+    from ebbtide.sources.tables import table
+    parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", ">", -1)).alias("part", "body"))
+    return PR.payload_scan(parts.withColumn("_k", F.struct("page_id", "part")), ["body"], "_k").select("_k.page_id", "_k.part", "reason")
+
+
+@register("charges_in_euros", q("""
+SELECT customer_id, round(monthly_charges * CAST(0.92 AS DOUBLE), 2) AS monthly_charges, tenure_months, 'EUR' AS currency FROM scored"""))
+def _charges_in_euros(spark, sf_dir):
+    c = W(spark, sf_dir).active_scored().select("customer_id", "monthly_charges", "tenure_months")
+    return A.convert_currency(c, "eur", ["monthly_charges"])
+
+
+@register("context_summary_frames", q("""
+SELECT 'breakdown' AS frame, prediction_label AS name, count(*) AS n FROM scored GROUP BY prediction_label
+UNION ALL SELECT * FROM (SELECT 'top', customer_id, CAST(support_tickets AS BIGINT) FROM scored ORDER BY predicted_probability DESC, customer_id LIMIT 15) t
+UNION ALL SELECT 'history', concat(source_id, ' ', CASE WHEN is_active = 1 THEN 'ACTIVE' ELSE 'INACTIVE' END), row_count FROM ds"""))
+def _context_summary_frames(spark, sf_dir):
+    """The three frames beside the totals."""
+    w = W(spark, sf_dir)
+    f = N.context_summary(w.active_scored(), w.sources)
+    parts = [f["breakdown"].select(F.lit("breakdown").alias("frame"), F.col("label").alias("name"), F.col("customers").alias("n")),
+             f["top"].select(F.lit("top").alias("frame"), F.col("customer_id").alias("name"), F.col("support_tickets").cast("bigint").alias("n")),
+             f["history"].select(F.lit("history").alias("frame"), F.concat_ws(" ", "source_id", "status").alias("name"), F.col("row_count").alias("n"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("import_replace", """
+SELECT CAST(o_orderkey AS VARCHAR) AS customer_id, o_totalprice AS amount, o_orderpriority AS "Service Level",
+       CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 0 END AS BIGINT) AS churned FROM orders""")
+def _import_replace(spark, sf_dir):
+    """A file of its own columns, with an id and a target under other names, becomes the table."""
+    from ebbtide.sources.published import read_table, replace_table
+    from ebbtide.sources.tables import table
+    answer = F.when(F.col("o_orderstatus") == "F", "Yes").when(F.col("o_orderstatus") == "P", "2.7").otherwise("no")
+    upload = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_totalprice").alias("amount"),
+                                                   F.col("o_orderpriority").alias("Service Level"), answer.alias("Is Churned?"))
+    root = scratch_path(spark, "replaced")
+    replace_table(I.import_replace(I.normalise(upload)), root)
+    return read_table(spark, root)

@@ -8,11 +8,14 @@ and every dashboard question reads them. Here the derived tables are written onc
   count, so the predictions ⋈ customers join of ACTIVE_SCORED is a sort-merge join with no exchange;
 * ``data_sources`` is tiny and broadcast after a size check;
 * writing the tables cuts the lineage of the ingest plan: a lost executor only re-reads files;
-* ACTIVE_SCORED (J1) is joined once and stored too, so dashboard questions scan one table.
+* ACTIVE_SCORED (J1) is joined once and stored too, so dashboard questions scan one table. Under another registry
+  (``with_sources``, ``without_source``) it is joined anew from the bucketed tables, with no exchange and nothing copied,
+  so a switched or deleted source shows in the next answer.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import threading
 import uuid
@@ -70,17 +73,39 @@ class Warehouse:
         self.predictions = write_bucketed(fixtures.heuristic_predictions(self.customers, cfg), "churn_predictions",
                                           "customer_id", b)
         self.sources = write_plain(fixtures.data_sources(self.customers), "data_sources")
-        # the stored registry does not change: check its size once, not in every query
-        from ebbtide.operators.joins import MAX_REGISTRY_ROWS, active_scored
-        self.registry_small = self.sources.limit(MAX_REGISTRY_ROWS + 1).count() <= MAX_REGISTRY_ROWS
+        self._check_registry()
         # ACTIVE_SCORED is what nearly every question reads: join it once per data version and store
         # it (same bucketing), instead of re-joining three tables in every query
+        from ebbtide.operators.joins import active_scored
         self.scored = write_bucketed(active_scored(self.predictions, self.customers, self.sources, self.registry_small),
                                      "active_scored", "customer_id", b)
 
+    def _check_registry(self) -> None:
+        """The size of a stored registry is checked once, not in every query."""
+        from ebbtide.operators.joins import MAX_REGISTRY_ROWS
+        self.registry_small = self.sources.limit(MAX_REGISTRY_ROWS + 1).count() <= MAX_REGISTRY_ROWS
+
+    def with_sources(self, sources: DataFrame) -> "Warehouse":
+        """The same stored tables under another registry (switched sources, another mode), which is stored."""
+        other = copy.copy(self)
+        other.sources, other.scored = write_plain(sources, "data_sources"), None
+        other._check_registry()
+        return other
+
+    def without_source(self, source_id: str) -> "Warehouse":
+        """R3 on stored tables: the source's predictions and customers and its registry row are gone."""
+        from ebbtide.operators.registry import delete_source
+        preds, customers, sources = delete_source(self.predictions, self.customers, self.sources, source_id)
+        other = self.with_sources(sources)
+        other.predictions, other.customers = preds, customers
+        return other
+
     def active_scored(self) -> DataFrame:
-        """J1 over the stored tables (materialised at build; rebuild the warehouse when the registry changes)."""
-        return self.scored
+        """J1 under this warehouse's registry: stored, or co-bucketed tables joined where the registry is another one."""
+        if self.scored is not None:
+            return self.scored
+        from ebbtide.operators.joins import active_scored
+        return active_scored(self.predictions, self.customers, self.sources, self.registry_small)
 
     def all_scored(self) -> DataFrame:
         from ebbtide.operators.joins import all_scored

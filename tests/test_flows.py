@@ -35,3 +35,30 @@ def test_upload_without_id_warns(spark):
     assert res.warnings == [flows.MISSING_ID_WARNING]
     ids = sorted(r.customer_id for r in res.tables.customers.collect())
     assert ids[0] == "CUST_00001" and len(ids) == 25
+
+
+def test_answers_follow_the_registry(spark, sf_small):
+    """A switched or deleted source shows in the next answer; the stored warehouse itself stays as it was."""
+    from ebbtide.operators import registry as R
+    from ebbtide.plans.warehouse import warehouse
+    w = warehouse(spark, sf_small)
+    before = w.active_scored().count()
+    off = w.with_sources(R.toggle_source(w.sources, "src_automobile", False))
+    gone = w.without_source("src_automobile")
+    assert off.active_scored().where("source_id = 'src_automobile'").count() == 0 < before
+    assert gone.active_scored().count() == off.active_scored().count() < before == w.active_scored().count()
+    assert off.all_scored().count() == w.all_scored().count() > gone.all_scored().count() == gone.customers.count()
+    assert off.active_scored().columns == w.active_scored().columns
+
+
+def test_table_versions(spark, tmp_path):
+    import pytest
+    from ebbtide.sources.published import read_table, replace_table
+    root = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, root)
+    assert replace_table(spark.range(3), root) == 1
+    assert replace_table(spark.createDataFrame([("a", None)], "name string, n long"), root) == 2
+    assert read_table(spark, root).columns == ["name", "n"] and read_table(spark, root, 1).count() == 3
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, root, 5)
