@@ -46,6 +46,7 @@ from ebbtide.session import scratch_path
 
 LENGTH = 50
 GRAM = 24
+SLICE_BYTES = 4 << 20  # text that a task holds at once, but for a longer single text
 STEP_BYTES = 1 << 17  # bytes whose anchors are sought at once; their arrays stay in the processor's cache
 CHUNK_WINDOWS = 1 << 19  # windows that one multikey sort works on
 RANGE_BYTES = 64 << 20  # bytes of text whose suffixes one range is meant for
@@ -174,7 +175,7 @@ def _write_groups(docs: DataFrame, folder: str, range_bits: int) -> DataFrame:
             nonlocal size
             writer = None
             for batch in batches:
-                for part in tokens.slices(batch, "text"):
+                for part in tokens.slices(batch, "text", SLICE_BYTES):
                     if writer is None:
                         writer = pq.ParquetWriter(out, part.schema, compression="zstd")
                     writer.write_batch(part)
@@ -206,7 +207,7 @@ def _write_groups(docs: DataFrame, folder: str, range_bits: int) -> DataFrame:
                                                   "bytes": pa.array([0 if r else size], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "range long, task long, hashes binary, marks binary, bytes long")
+    return rows.mapInArrow(_released(run), "range long, task long, hashes binary, marks binary, bytes long")
 
 
 def _shared_hashes(sent: DataFrame, ranges: int) -> DataFrame:
@@ -236,7 +237,7 @@ def _shared_hashes(sent: DataFrame, ranges: int) -> DataFrame:
             yield from answers()
 
     dealt = sent.repartition(ranges, "range").sortWithinPartitions("range", "task")
-    return dealt.mapInArrow(run, "task long, hashes binary, bytes long")
+    return dealt.mapInArrow(_released(run), "task long, hashes binary, bytes long")
 
 
 def _documents(folder: str, task: int) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,19 @@ def _documents(folder: str, task: int) -> Iterator[pa.RecordBatch]:
     with system.open_input_file(f"{path}/docs-{task:08d}.parquet") as file:
         if file.size():
             for batch in pq.ParquetFile(file).iter_batches(batch_size=1 << 12):
-                yield from tokens.slices(batch, "text", 4 << 20)
+                yield from tokens.slices(batch, "text", SLICE_BYTES)
+
+
+def _released(run):
+    """``run`` for one task, whose worker gives freed memory back at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tokens.release_memory()
+
+    return task
 
 
 def _by_task(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[list]]]:
@@ -317,7 +330,7 @@ def _shared_suffixes(answers: DataFrame, folder: str, tasks: int, splitters: lis
                         "row": pa.array(rows[row[b]]), "start": pa.array(first[b] - bounds[row[b]]), "range": pa.array(ranges, pa.int64())})
 
     dealt = answers.select("task", "hashes").repartition(tasks, "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "suffix binary, doc long, task long, row long, start long, range long")
+    return dealt.mapInArrow(_released(run), "suffix binary, doc long, task long, row long, start long, range long")
 
 
 def _splitters(answers: DataFrame, folder: str, tasks: int, ranges: int, size: int) -> list[tuple[bytes, int]]:
@@ -503,7 +516,7 @@ def _found(suffixes: DataFrame, ranges: int) -> DataFrame:
             yield table()
 
     dealt = suffixes.repartitionById(ranges, F.col("range").cast("int")).drop("range").sortWithinPartitions("suffix", "doc")
-    return dealt.mapInArrow(run, "task long, row long, start long, stop long, window binary, doc long")
+    return dealt.mapInArrow(_released(run), "task long, row long, start long, stop long, window binary, doc long")
 
 
 def _removed(found: DataFrame) -> DataFrame:
@@ -546,7 +559,7 @@ def _kept(removed: DataFrame, answers: DataFrame, folder: str, tasks: int) -> Da
     none = [F.lit(None).cast("long").alias(c) for c in _STRETCH[1:]]  # a row for each task, so that each one's file is read
     every = answers.select("task").distinct().select("task", *none)
     dealt = every.unionByName(removed).repartition(tasks, "task").sortWithinPartitions("task", "row", "start")
-    return dealt.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, stop: bigint>>, kept_sha256 string")
+    return dealt.mapInArrow(_released(run), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, stop: bigint>>, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
