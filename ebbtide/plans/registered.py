@@ -1628,3 +1628,44 @@ def _import_replace(spark, sf_dir):
     root = scratch_path(spark, "replaced")
     replace_table(I.import_replace(I.normalise(upload)), root)
     return read_table(spark, root)
+
+
+# ---------------------------------------------------------------- files with awkward text
+
+@register("csv_text_roundtrip", """
+SELECT 'page' AS kind, page_id AS id, sha256(html) AS digest FROM pages WHERE html <> ''
+UNION ALL SELECT 'document', doc_id, sha256(text) FROM documents WHERE text <> ''""")
+def _csv_text_roundtrip(spark, sf_dir):
+    """S4, then S1: whole texts with quotes, commas and line breaks come back as they were (CSV tells no empty text from none)."""
+    from ebbtide.sources.tables import read_customers, table
+    pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    rows, path = pages.unionByName(docs).where("body <> ''"), scratch_path(spark, "s1-text")
+    S.write_csv(rows, path)
+    back = read_customers(spark, path, "csv", schema="kind string, id long, body string", multi_line=True)
+    return back.select("kind", "id", F.sha2("body", 256).alias("digest"))
+
+
+@register("json_array_import", """
+SELECT page_id, url, sha256(html) AS digest FROM pages""")
+def _json_array_import(spark, sf_dir):
+    """Files that hold an array of records each, as an upload does; here one per partition of the pages."""
+    import pyarrow as pa
+
+    from ebbtide.sources.tables import read_customers, table
+
+    def arrays(batches):
+        mark = "["
+        for batch in batches:
+            lines = [("," if i or mark != "[" else "[") + x for i, x in enumerate(batch.column(0).to_pylist())]
+            if lines:
+                mark = ","
+                yield pa.RecordBatch.from_pydict({"value": lines})
+        if mark != "[":
+            yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    path = scratch_path(spark, "s2-array")
+    records = table(spark, sf_dir, "pages").select(F.to_json(F.struct("page_id", "url", "html")))
+    records.mapInArrow(arrays, "value string").write.text(path)
+    back = read_customers(spark, path, "json", schema="page_id long, url string, html string")
+    return back.select("page_id", "url", F.sha2("html", 256).alias("digest"))

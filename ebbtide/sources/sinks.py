@@ -39,7 +39,8 @@ def export_audit(audit: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("quote", '"').option("escape", '"').csv(path)
+    (df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("quote", '"').option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def merge_predictions(old: DataFrame, new: DataFrame, customers: DataFrame, sources: DataFrame,

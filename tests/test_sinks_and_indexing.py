@@ -66,3 +66,13 @@ def test_exact_medians_with_hot_value(spark):
     got = exact_medians(df.repartition(5), ["a", "b"])
     assert got["a"] == float(np.median([v for v in vals if v is not None and v == v]))
     assert got["b"] == 4.5
+
+
+def test_csv_keeps_text_as_it_is(spark, tmp_path):
+    from ebbtide.sources.sinks import write_csv
+    from ebbtide.sources.tables import read_customers
+    texts = ["  spaces around  ", 'said ""hi"", "there"', "a\nb\r\nc", "x,y;z", "\t", "é 日本 '"]
+    path = str(tmp_path / "t")
+    write_csv(spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(2), path)
+    back = read_customers(spark, path, "csv", schema="id long, body string", multi_line=True)
+    assert {r["id"]: r["body"] for r in back.collect()} == dict(enumerate(texts))
