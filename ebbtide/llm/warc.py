@@ -38,6 +38,8 @@ from ebbtide.session import scratch_path
 MIN_REVISIT = 100
 BLOCK_CAPTURES = 512
 READ_BYTES = 4 << 20  # neighbouring records are read together up to this many bytes
+TASK_BYTES = 64 << 20  # archive bytes a read-back task is given, less where the cluster has idle cores
+TASK_KEYS = 500_000  # keys an index or look-up task is given, likewise
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PLACE = struct.Struct("<QI")
 
@@ -141,9 +143,17 @@ def _sort_key(url_key: str, page_id: int | None) -> tuple[bytes, bool, int]:
     return url_key.encode("utf-8", "surrogatepass"), page_id is not None, page_id or 0
 
 
-def _ranged(df: DataFrame) -> DataFrame:
-    """Partitions by range of (url_key, page_id), sorted; Spark orders strings by their bytes, nulls first."""
-    return df.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+def _tasks(df: DataFrame, amount: int, most: int) -> int:
+    """Tasks for ``amount`` of work: at most ``most`` each, and every core busy while a task keeps 1/64 of that.
+    Keys and places are a few bytes each, so their own size says nothing about the work they stand for."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-amount // most), min(cores, -(-amount * 64 // most)))
+
+
+def _ranged(keys: DataFrame) -> DataFrame:
+    """A stored table of keys in ranges of (url_key, page_id), sorted; Spark orders strings by their bytes, nulls first."""
+    n = _tasks(keys, keys.count(), TASK_KEYS)
+    return keys.repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
 
 
 def write_index(captures: DataFrame, folder: str, block: int = BLOCK_CAPTURES) -> DataFrame:
@@ -237,7 +247,7 @@ def look_up(parts: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["file", "offset", "length"])
 
-    return _ranged(keyed(wanted).distinct()).mapInArrow(find, "file string, offset long, length long")
+    return _ranged(stored(keyed(wanted).distinct(), "wanted")).mapInArrow(find, "file string, offset long, length long")
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -252,7 +262,8 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def read_records(places: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """Reads records by byte range; neighbours in a file are read together. The payload digest is checked."""
+    """Reads records by byte range; neighbours in a file are read together. The payload digest is checked. The places
+    are stored and dealt in ranges of (file, offset), as many as their bytes need."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(folder)
@@ -278,7 +289,9 @@ def read_records(places: DataFrame, folder: str, with_payload: bool = True) -> D
                 at = stop
 
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
-    ordered = places.repartition(F.col("file"), F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
+    places = stored(places, "places")
+    n = _tasks(places, places.agg(F.sum("length")).first()[0] or 0, TASK_BYTES)
+    ordered = places.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(read, schema + (", payload binary" if with_payload else ""))
 
 
