@@ -6,8 +6,9 @@ k = floor(error_rate * n) edits. It is cut into k + 1 pieces: a passage within t
 unchanged. An Aho-Corasick automaton finds all pieces in one walk over each whole document; around a hit,
 Myers' bit-parallel algorithm computes the edit distance, and passages within the budget are reported.
 
-The items are held in every task, so they are taken in blocks of about ``block_bytes`` of text: a larger
-benchmark costs further passes over the documents, not more memory.
+Every task holds items, so they are taken in blocks of about ``block_bytes`` of text: a larger benchmark costs
+further passes over the documents, not more memory. The blocks are written to the shared folder, where each task
+reads the one it searches for; the driver knows their number only.
 
 Defined results: null or blank texts and items match nothing; null ids are kept; repeated documents give
 repeated rows, a repeated (item, text) row counts once; empty tables give no rows; other columns are not read.
@@ -23,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.store import open_folder, stored
+from ebbtide.session import scratch_path
+
 ERROR_RATE = 0.05
 BLOCK_BYTES = 16 << 20
 _SPACES = {c: " " for c in (9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029)}
@@ -133,15 +137,33 @@ class Matcher:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text",
-                block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
-    """The distinct items in blocks of about ``block_bytes`` of text, dealt out by a hash of the text."""
+                block_bytes: int = BLOCK_BYTES) -> tuple[str, int]:
+    """Writes the distinct items in blocks of about ``block_bytes`` of text, dealt out by a hash of the text;
+    returns the folder and the number of blocks."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    items = items.where("text is not null").distinct()
+    items = stored(items.where("text is not null").distinct(), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    for block in range(n):
-        found = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block).collect()
-        yield sorted(((r["item_id"], r["text"]) for r in found), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    folder = scratch_path(spark, "item-blocks")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n))).repartition("block")
+    dealt.write.partitionBy("block").parquet(folder)
+    return folder, n
+
+
+def read_block(folder: str, block: int) -> list[tuple[int | None, str]]:
+    """The (item_id, text) rows of one block, in order of id, then text; run inside tasks."""
+    from pyarrow import fs
+    import pyarrow.parquet as pq
+    system, path = open_folder(folder)
+    found = system.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True))
+    rows: list[tuple[int | None, str]] = []
+    for f in found:
+        if f.is_file and f.base_name.endswith(".parquet") and f.base_name[0] not in "._":
+            with system.open_input_file(f.path) as source:
+                part = pq.read_table(source, columns=["item_id", "text"])
+            rows += zip(part.column("item_id").to_pylist(), part.column("text").to_pylist())
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -152,11 +174,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         raise ValueError("error_rate must be at least 0 and below 1")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def searched(block: list[tuple]) -> DataFrame:
-        ids, texts = [b[0] for b in block], [b[1] for b in block]
+    folder, n = item_blocks(benchmark, item_col, item_text_col, block_bytes)
 
+    def searched(block: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(texts, error_rate)
+            items = read_block(folder, block)
+            ids, matcher = [i for i, _ in items], Matcher([t for _, t in items], error_rate)
             for batch in batches:
                 out = [(d, ids[i], a, b, e) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"))
                        for i, a, b, e in matcher.matches(t.as_py() or "")]
@@ -166,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return rows.mapInArrow(run, "doc_id long, item_id long, start long, end long, distance long")
 
-    return reduce(DataFrame.unionByName, [searched(b) for b in item_blocks(benchmark, item_col, item_text_col, block_bytes)])
+    return reduce(DataFrame.unionByName, [searched(b) for b in range(n)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -174,15 +197,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """The documents (all columns, repeated rows too) that hold no benchmark passage. A null text is kept."""
     from pyspark.sql.functions import arrow_udf
 
-    def holds(texts: list[str]):
+    folder, n = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+
+    def holds(block: int):
         @arrow_udf("boolean")
         def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            matcher = Matcher(texts, error_rate)
+            matcher = Matcher([t for _, t in read_block(folder, block)], error_rate)
             for part in parts:
                 yield pa.array([bool(matcher.matches(t.as_py() or "")) for t in part], pa.bool_())
 
         return run
 
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = docs.where(~holds([t for _, t in block])(F.col(text_col)))
+    for block in range(n):
+        docs = docs.where(~holds(block)(F.col(text_col)))
     return docs
