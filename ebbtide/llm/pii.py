@@ -5,10 +5,13 @@ An Aho-Corasick automaton walks each whole text once and reports anchors: at-sig
 anchor a small deterministic parser finds where the item begins and ends and checks it. The base kinds give
 exactly the leftmost non-overlapping matches of their patterns; the added kinds are
 
-* ``link``: a URL that carries a user name, or a ``mailto:``/``tel:`` target;
+* ``link``: a URL (scheme of at most ten characters) that carries a user name, or a ``mailto:``/``tel:`` target;
 * ``iban``: a cue followed by an account number whose check digits are right;
 * ``account``: a cue followed by 6 to 17 digits;
-* ``address``: a house number before or after a capitalised street name with a street word.
+* ``address``: a house number (up to five digits and a letter) and a street of one to three capitalised names, in any
+  letters: number, names, street word (221 Baker St.); number, street word, names (12 bis, rue de l'Église); street word,
+  names, number (Calle de Alcalá, 42); or one capitalised word that ends in a street word, and a number (Hauptstraße 5).
+  The words are those of ``_STREETS``, ``_RUES``, ``_CALLES`` and ``_STREETS_BEFORE_NUMBER``. Names may be of any length.
 
 Defined results: a null text is an empty one (no spans); a null ``doc_id`` is kept; repeated rows give
 repeated rows; an empty table gives no rows; other columns are not read.
@@ -21,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +42,20 @@ _USERINFO = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s<>\"']*")
 _TARGET = re.compile(r"[^\s<>\"',;]*[A-Za-z0-9]")
 _IBAN = re.compile(r"[\s:#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:[\s.]{0,2}(?:number|num|no|nr))?[\s.:#=]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
-_HOUSE_BEFORE = re.compile(r"(?:\A|(?<=[\s,;(]))[0-9]{1,5}[A-Za-z]?,? (?:[A-Z][a-z'-]+ ){1,3}\Z")
+_HOUSE = re.compile(r"(?:\A|(?<=[\s,;(]))[0-9]{1,5}[A-Za-z]?(?: (?:bis|ter|quater))?,? \Z")
+_HOUSE_CHARS = 17  # of the longest house number that _HOUSE takes: five digits, a letter, " quater", a comma, a space
 _HOUSE_AFTER = re.compile(r"[a-z]{0,12} [0-9]{1,5}[A-Za-z]?(?![0-9A-Za-z])")
 
-_STREETS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive")
+_NAME = r"\p{Lu}[\p{L}\p{M}'’-]*+"
+_LINKS = r"(?:(?:de|du|des|la|le|les|del|los|las|el|y) |[dl]['’]){0,3}"
+_NAMES = rf" {_LINKS}{_NAME}(?: {_LINKS}{_NAME}){{0,2}}"
+_RUE_NAMES = regex.compile(_NAMES)
+_CALLE_NAMES = regex.compile(rf"{_NAMES}(?:,| n\.?[º°])? [0-9]{{1,5}}[A-Za-z]?(?![\p{{L}}0-9])")
+
+# A street word after the names may be cut short with a point, the last two only with it ("St" alone is a saint).
+_STREETS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Ave", "Rd", "Blvd", "Drive", "St.", "Ln.")
+_RUES = ("rue", "avenue", "boulevard", "place", "chemin", "allée", "quai", "impasse", "cours", "passage")
+_CALLES = ("calle", "avenida", "plaza", "paseo", "carretera", "travesía", "glorieta")
 _STREETS_BEFORE_NUMBER = ("straße", "strasse")
 _ACCOUNTS = ("account", "acct", "konto", "compte", "cuenta")
 
@@ -69,7 +83,11 @@ def _automaton():
     for word in _ACCOUNTS:
         for form in (word, word.capitalize(), word.upper()):
             a.add_word(form, ("account", len(form)))
-    for word in _STREETS:
+    for word in (w for word in _RUES for w in (word, word.capitalize())):
+        a.add_word(word, ("rue", len(word)))
+    for word in (w for word in _CALLES for w in (word, word.capitalize())):
+        a.add_word(word, ("calle", len(word)))
+    for word in _STREETS:  # Avenue and Boulevard stand on either side of the names
         a.add_word(word, ("street", len(word)))
     for word in _STREETS_BEFORE_NUMBER:
         a.add_word(word, ("strasse", len(word)))
@@ -86,7 +104,6 @@ class Finder:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found: list[tuple[int, int, int]] = []
         free = [0] * len(KINDS)  # per kind: where the next match may begin
-        size = len(text)
         for last, (what, length) in self._anchors.iter(text):
             at = last - length + 1
             if what == "digit":
@@ -130,18 +147,48 @@ class Finder:
             elif what == "account":
                 if not (at and text[at - 1].isalpha()) and (m := _ACCOUNT.match(text, last + 1)) and m.start(1) >= free[6]:
                     self._add(found, free, 6, m.start(1), m.end(1))
-            elif what == "street":
-                if (last + 1 == size or not text[last + 1].isalpha()) and (m := _HOUSE_BEFORE.search(text, max(free[7], at - 60), at)):
-                    self._add(found, free, 7, m.start(), last + 1)
+            elif what in ("street", "rue", "calle"):
+                if span := self._address(text, what, at, last + 1, free[7]):
+                    self._add(found, free, 7, *span)
             elif m := _HOUSE_AFTER.match(text, last + 1):
                 start = at
-                while start > max(free[7], at - 40) and text[start - 1].isalpha():
+                while start > free[7] and text[start - 1].isalpha():
                     start -= 1
                 if text[start].isupper():
                     self._add(found, free, 7, start, m.end())
         found.sort()
         return found
 
+    @staticmethod
+    def _house(text: str, at: int, free: int) -> int | None:
+        """Where the house number that ends right before ``at`` begins."""
+        m = _HOUSE.search(text, max(free, at - _HOUSE_CHARS), at)
+        return m.start() if m else None
+
+    def _address(self, text: str, what: str, at: int, end: int, free: int) -> tuple[int, int] | None:
+        """The address around the street word text[at:end], not before ``free``."""
+        if at and text[at - 1].isalnum() or text[end - 1] != "." and end < len(text) and text[end].isalnum():
+            return None
+        if what == "calle":
+            m = _CALLE_NAMES.match(text, end)
+            return (at, m.end()) if m else None
+        if what == "street":
+            word, names = at, 0
+            while names < 3 and word > free and text[word - 1] == " ":  # one name further to the left
+                begin = word - 1
+                while begin > free and (text[begin - 1].isalpha() or text[begin - 1] in "'’-"):
+                    begin -= 1
+                if word - 1 - begin < 2 or not text[begin].isupper():
+                    break
+                word, names = begin, names + 1
+                if (start := self._house(text, word, free)) is not None:
+                    point = text[at:end] in ("Ave", "Rd", "Blvd") and text.startswith(".", end)
+                    return start, end + point
+        if (what == "rue" or text[at:end].lower() in _RUES) and (start := self._house(text, at, free)) is not None:
+            m = _RUE_NAMES.match(text, end)
+            return (start, m.end()) if m else None
+        return None
+
     @staticmethod
     def _add(found: list, free: list[int], kind: int, start: int, end: int) -> None:
         found.append((start, kind, end))

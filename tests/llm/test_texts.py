@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.llm import decontaminate, langid, pii, quality, secret_scan, tokens, warc
+from ebbtide.session import scratch_path
 from tests.llm.conftest import prose, rows
 
 
@@ -38,15 +39,32 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
-def test_index_blocks_and_lookup(spark, tmp_path):
+def test_index_blocks_and_lookup(spark, tmp_path, monkeypatch):
     captures = [(f"com,h{i % 40:02d})/", i // 3, "f", i, 1) for i in range(3000)]
     df = spark.createDataFrame(captures, "url_key string, page_id long, file string, offset long, length long").repartition(4)
     parts = [tuple(r) for r in warc.write_index(df, str(tmp_path), block=16).collect()]
+    monkeypatch.setattr(warc, "TASK_KEYS", 400)
+    split = tmp_path / "split"
+    assert len(warc.write_index(df, str(split), block=16).collect()) > 4  # the ranges follow the number of keys
     index = warc.Index(str(tmp_path), parts)
     for key, page in {c[:2] for c in captures[::7]} | {("com,none)/", 1), ("", None)}:
         assert sorted(o for _, o, _ in index.find(key, page)) == sorted(c[3] for c in captures if c[:2] == (key, page))
 
 
+def test_records_are_read_by_as_many_tasks_as_their_bytes_need(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 4000)
+    monkeypatch.setattr(warc, "TASK_KEYS", 50)
+    pages = [(i, f"https://h{i % 7}.org/{i}", f"<p>{i}</p>" + prose(i, 60)) for i in range(200)]
+    folder = scratch_path(spark, "warc-tasks")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    parts = warc.write_index(warc.write_archives(df, folder), folder)
+    places = warc.look_up(parts, folder, df.select("url", "page_id"))
+    assert places.rdd.getNumPartitions() >= 4
+    records = warc.read_records(places, folder)
+    assert records.rdd.getNumPartitions() > 4
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in records.collect()) == pages
+
+
 # ---------------------------------------------------------------- 2
 
 def base_spans(text):
@@ -76,6 +94,25 @@ def test_added_kinds_and_redaction():
     assert not [s for s in pii.Finder().spans(clean) if s[1] != 2]
 
 
+def addresses(text):
+    return [text[a:b] for a, k, b in pii.Finder().spans(text) if pii.KINDS[k] == "address"]
+
+
+def test_addresses():
+    long_name = "Z" + "z" * 5000
+    for want in ("12 Oak Hill Road", "221 Baker St.", "7 Fifth Ave.", "7 Fifth Ave", "3b Élysée Avenue", "12 O'Connell Street", "9 Saint-Martin Ln.",
+                 f"5 {long_name} Street", "12 rue Victor Hugo", "12 bis, rue de l'Église", "4 Avenue Foch", "33, boulevard Saint-Germain",
+                 "1 allée des Érables", "5 place de la République", "Calle Mayor 5", "Calle de Alcalá, 42", "Avenida de la Constitución 12b",
+                 "plaza Mayor, 3", "Paseo del Prado n.º 8", "Hauptstraße 5", f"{long_name}straße 17", "Poststrasse 17a"):
+        for text in (want, f"({want})", f"he lives at {want}, they say", f"x; {want}\n"):
+            assert addresses(text) == [want], text
+    assert addresses("1 rue Hugo, 2 rue Zola et Calle Mayor 5") == ["1 rue Hugo", "2 rue Zola", "Calle Mayor 5"]
+    for clean in ("la rue de la paix", "le 12 rue", "12 rue de la paix", "Avenue Foch", "the Road to 12 Places", "on 5 May St John came", "calle mayor 5",
+                  "Calle Mayor", "Plaza 5", "12 roads", "Baker Street", "x12 rue Hugo", "123456 rue Hugo", "12 Hugorue Zola", "1 place", "12 oak Road",
+                  "12 A B Road", "in 2020 la Rue Hugo", "1 Un Deux Trois Quatre Road", "la calle de Alcalá tiene 42 casas", "Street " * 500, "rue Rue " * 500):
+        assert addresses(clean) == [], clean
+
+
 def test_pii_query(docs, empty):
     got = sorted(map(tuple, pii.digest(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").fillna(-1, "doc_id").collect()))
     want = []
@@ -224,6 +261,11 @@ def test_passages_within_the_budget_are_found(spark, docs, empty):
     assert {(x.doc_id, x.item_id) for x in got} == {(1000 + i, i % 5) for i in range(40)} and len(got) == 40
     assert decontaminate.clean(docs, bench).count() == docs.count() and decontaminate.clean(docs, bench).columns == docs.columns
     assert decontaminate.contaminated(all_docs, bench, block_bytes=300).count() == 40  # several blocks
+    assert decontaminate.clean(all_docs, bench, block_bytes=300).count() == docs.count()
+    folder, n = decontaminate.item_blocks(bench, block_bytes=40)
+    assert n > 10  # some of them empty
+    blocks = [decontaminate.read_block(folder, b) for b in range(n)]
+    assert sorted(x for b in blocks for x in b) == sorted([*enumerate(items), (10, " ")]) and [] in blocks
     assert decontaminate.contaminated(empty, bench).count() == decontaminate.contaminated(all_docs, bench.limit(0)).count() == 0
 
 
