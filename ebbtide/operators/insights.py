@@ -64,6 +64,11 @@ def categorical_profile(rows: DataFrame, max_cols: int | None = None, sample: in
     return rows.sparkSession.createDataFrame(kept[:max_cols], "ordinal int, column_name string")
 
 
+def categorical_columns(rows: DataFrame, max_cols: int | None = None) -> list[str]:
+    """The names of A22, in column order."""
+    return [r["column_name"] for r in categorical_profile(rows, max_cols).orderBy("ordinal").collect()]
+
+
 def risk_attributes(rows: DataFrame, columns: list[str], cfg: RetentionConfig = DEFAULT_CONFIG) -> DataFrame:
     """For each categorical column, value counts among high-risk rows (blank → ``unknown``),
     ranked by count, ties by first appearance in probability order; top 3 per column."""
@@ -134,6 +139,27 @@ def insight_facts(rows: DataFrame, cat_columns: list[str], cfg: RetentionConfig
             F.col("_safe.id"), _pct0(F.col("_safe.p")))).alias("stable_detail"))
 
 
+def insight_segments(rows: DataFrame, cat_columns: list[str], cfg: RetentionConfig = DEFAULT_CONFIG) -> DataFrame:
+    """A24's segments as (position, title, detail): the highest-risk and the most stable record, where there is one, then
+    for each of the first two ``cat_columns`` the three values most frequent among high-risk rows (none without such rows)."""
+    facts = insight_facts(rows, [], cfg)
+    records = facts.select(F.inline(F.array(
+        F.struct(F.lit(1).alias("position"), F.lit("Highest-risk record").alias("title"), F.col("top_detail").alias("detail")),
+        F.struct(F.lit(2).alias("position"), F.lit("Most stable record").alias("title"), F.col("stable_detail").alias("detail")))))
+    first = cat_columns[:2]
+    if not first:
+        return records.where("detail is not null")
+    position = F.array_position(F.array(*[F.lit(c) for c in first]), F.col("column_name")).cast("int") + 2
+    label = F.regexp_replace("column_name", "_", " ")
+    top = F.struct("rank", F.format_string("%s (%d)", F.col("value"), F.col("customers")).alias("text"))
+    values = F.transform(F.array_sort(F.collect_list(top)), lambda t: t["text"])  # at most three a column
+    by_column = risk_attributes(rows, first, cfg).groupBy("column_name").agg(values.alias("values")).select(
+        position.alias("position"), F.concat(F.lit("Risk by "), label).alias("title"),
+        F.concat(F.lit("High risk is most associated with "), F.array_join("values", ", "),
+                 F.lit(". Prioritize targeted retention for these "), label, F.lit(" segments.")).alias("detail"))
+    return records.where("detail is not null").unionByName(by_column)
+
+
 def context_summary(scored: DataFrame, sources: DataFrame, cfg: RetentionConfig = DEFAULT_CONFIG) -> dict[str, DataFrame]:
     """Totals, label breakdown (A1), top 15 (K2) and upload history (R5) as four small frames."""
     from ebbtide.operators import registry as R

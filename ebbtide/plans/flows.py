@@ -86,7 +86,7 @@ def dashboard_state(tables: Tables, cfg: RetentionConfig = DEFAULT_CONFIG, role:
     the same ACTIVE_SCORED."""
     scored = active_scored(tables.predictions, tables.customers, tables.sources)
     rows = PR.predictions_list(scored)
-    cats = [c for c in cfg.categorical_features if c in scored.columns]
+    cats = N.categorical_columns(rows, 4)
     return {
         "summary": A.risk_summary(scored),
         "predictions": rows,
@@ -95,7 +95,8 @@ def dashboard_state(tables: Tables, cfg: RetentionConfig = DEFAULT_CONFIG, role:
         "insights": A.business_summary(tables.predictions, cfg),
         "recommendations": N.role_recommendations(N.role_facts(all_scored(tables.predictions, tables.customers), cfg),
                                                   [role]),
-        "narrative": N.insight_facts(scored, cats, cfg),
+        "narrative": N.insight_facts(rows, cats, cfg),
+        "segments": N.insight_segments(rows, cats, cfg),
         "metrics": M.evaluate(scored, cfg) if cfg.target_column in scored.columns else None,
     }
 

@@ -1396,6 +1396,37 @@ def _insight_facts(spark, sf_dir):
     return N.insight_facts(W(spark, sf_dir).active_scored(), _CATS)
 
 
+def _a24_segments_sql() -> str:
+    """The segments over the columns that A22 finds, not over a given list."""
+    cells = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, coalesce(nullif(trim({_txt_sql(c)}), ''), 'unknown') AS value, "
+        f"{{'np': -predicted_probability, 'id': customer_id}} AS fk FROM (SELECT {_P1_COLS} FROM scored) h WHERE prediction_label = 'high_risk'"
+        for c in _A22_CANDS)
+    return _a22_sql().rsplit("SELECT ordinal, column_name FROM st", 1)[0] + f"""
+, cats AS (SELECT column_name, row_number() OVER (ORDER BY ordinal) AS place FROM st
+           WHERE n > 0 AND dc <= greatest(20, n // 3) AND k < n * 0.6 ORDER BY ordinal LIMIT 2),
+cells AS ({cells}),
+g AS (SELECT column_name, value, count(*) AS customers, min(fk) AS fk FROM cells JOIN cats USING (column_name) GROUP BY 1, 2),
+r AS (SELECT column_name, value, customers, row_number() OVER (PARTITION BY column_name ORDER BY customers DESC, fk) AS rank FROM g),
+f AS (SELECT min(CASE WHEN prediction_label = 'high_risk' THEN {{'k': -predicted_probability, 'id': customer_id, 'p': predicted_probability}} END) AS top,
+             min(CASE WHEN prediction_label = 'low_risk' THEN {{'k': predicted_probability, 'id': customer_id, 'p': predicted_probability}} END) AS safe
+      FROM scored)
+SELECT 1 AS position, 'Highest-risk record' AS title, printf('%s carries a %d%% churn probability. Review its attributes to understand the dominant risk drivers in this dataset.', top.id, CAST(round_even(top.p * 100, 0) AS BIGINT)) AS detail
+FROM f WHERE top IS NOT NULL
+UNION ALL SELECT 2, 'Most stable record', printf('%s shows only a %d%% churn probability, reflecting a healthy profile ideal for loyalty expansion.', safe.id, CAST(round_even(safe.p * 100, 0) AS BIGINT))
+FROM f WHERE safe IS NOT NULL
+UNION ALL SELECT CAST(2 + place AS INTEGER), 'Risk by ' || replace(column_name, '_', ' '),
+       'High risk is most associated with ' || string_agg(printf('%s (%d)', value, customers), ', ' ORDER BY rank)
+       || '. Prioritize targeted retention for these ' || replace(column_name, '_', ' ') || ' segments.'
+FROM r JOIN cats USING (column_name) WHERE rank <= 3 GROUP BY place, column_name"""
+
+
+@register("insight_segments", _a24_segments_sql())
+def _insight_segments(spark, sf_dir):
+    rows = _p1_rows(spark, sf_dir)
+    return N.insight_segments(rows, N.categorical_columns(rows, 4))
+
+
 @register("context_summary", q("""
 SELECT count(*) AS total_records, count(*) FILTER (WHERE prediction_label = 'high_risk') AS high_risk FROM scored"""))
 def _context_summary(spark, sf_dir):
